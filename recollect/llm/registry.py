@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import language_id, line_dedup, near_dup, packing, pii, quality_model, quality_rules, secrets
+from recollect.llm import ann, language_id, line_dedup, near_dup, packing, pieces, pii, quality_model, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": pii.op1_pii_crf,
     "op2_quality_bradley_terry": quality_model.op2_quality_bradley_terry,
+    "op3_ann_small_world": ann.op3_ann_small_world,
     "op4_minhash_tensored": near_dup.op4_minhash_tensored,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_language_naive_bayes": language_id.op6_language_naive_bayes,
+    "op7_sentencepiece_lattice": pieces.op7_sentencepiece_lattice,
     "op8_secrets_crf": secrets.op8_secrets_crf,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_packing_vector_best_fit": packing.op10_packing_vector_best_fit,

@@ -93,9 +93,13 @@ class LineRuns:
 
 
 def _keys(docs: DataFrame, rest: list[str]) -> DataFrame:
-    """One row for each distinct non-empty key of a document."""
-    hashes = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), key_hash), lambda h: h.isNotNull()))
-    return docs.select(*rest, F.explode(hashes).alias("h")).select(*rest, "h.h1", "h.h2")
+    """One row for each non-empty line of a document, with the hash of its key.
+
+    Keys are exploded before they are hashed: inside a lambda a key would be worked out for each use.
+    """
+    lines = docs.select(*rest, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    keys = lines.select(*rest, line_key(F.col("line")).alias("k")).where(F.length("k") >= 1)
+    return keys.select(*rest, F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
 
 
 def mark(docs: DataFrame, least: int = 10, batches: int = 4, fan: int = 4) -> tuple[DataFrame, str]:
@@ -114,7 +118,8 @@ def mark(docs: DataFrame, least: int = 10, batches: int = 4, fan: int = 4) -> tu
     drops = stored(drops.select(F.col(item).alias("line_owner"), F.col("gone").alias(hit)), "drops")
     release(seen)
     own = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    return docs.join(drops, own == drops["line_owner"], "left").drop(drops["line_owner"]), hit
+    # always dealt out by document: how much is dropped, and so whether it could be broadcast, depends on the corpus
+    return docs.join(drops.hint("merge"), own == drops["line_owner"], "left").drop(drops["line_owner"]), hit
 
 
 def _kept_lines(hit: str) -> Column:

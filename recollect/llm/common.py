@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,21 +87,30 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 class WordBytes(dict):
-    """Word -> fixed bytes, computed on first sight. Bounded: it starts again beyond `limit` words."""
+    """Word -> fixed bytes, computed on first sight, bounded.
+
+    Beyond `limit` words a new generation begins; the last one is kept, and what is still used
+    moves over, so frequent words are not computed again.
+    """
 
     def __init__(self, make: Callable[[bytes], bytes], limit: int = 400_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.before = make, limit, {}
 
     def __missing__(self, word):
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        out = self[word] = self.make(word)
+        out = self.before.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
         return out
 
 
+@functools.lru_cache(maxsize=1)
 def word_hashes() -> WordBytes:
-    """A cache of 64-bit word hashes as bytes; joined and read by numpy they give an array at once."""
-    return WordBytes(xxhash.xxh64_digest)
+    """A cache of 64-bit word hashes as bytes, one for each worker; joined and read by numpy they give an array at once."""
+    return WordBytes(xxhash.xxh64_digest, 250_000)
 
 

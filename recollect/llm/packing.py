@@ -21,6 +21,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from dataclasses import dataclass
@@ -54,41 +55,59 @@ class Capacity:
 class WordTokenizer:
     """Ids of a text as little-endian 32-bit bytes, by the tokenizer file, each distinct word encoded once.
 
-    The tokenizer's pre-tokens never span white space and its normalizer acts on each word alone,
-    so ids of white-space-separated words follow one another. Texts for which that is not certain
-    (special strings, control characters that only Python takes for spaces) are encoded whole.
+    The tokenizer's pre-tokens never span white space and its normalizer (NFC, lower case) acts
+    on each word alone, so the ids of white-space-separated words follow one another. Texts for
+    which that is not certain (special strings, combining marks, control characters that only
+    Python takes for spaces, letters whose lower case depends on context or on the version of
+    Unicode) are encoded whole.
     """
 
-    _WHOLE = re.compile(r"<\||[\x1c-\x1f̀-ͯ​-‏⁠﻿\ud800-\udfff]")
-    _SIMPLE = re.compile(r"([A-Za-zà-öø-ÿ]+)([.,!?;:]*)")
+    _WHOLE = re.compile("<\\||[\x1c-\x1f\u0300-\u036f\u03a3\u200b-\u200f\u2060\ufeff\ua7c0-\ua7ff\ud800-\udfff\U00010d40-\U00010dff]")
+    _SIMPLE = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.cache = WordBytes(self._word, 500_000)
-        self.parts = WordBytes(self._encode, 500_000)
+        self.parts = WordBytes(self._letters, 300_000)
+        self.signs = WordBytes(self._encode, 50_000)
+        # byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """A lower-case word of letters is one pre-token: the model alone does."""
+        mapped = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
         if m := self._SIMPLE.fullmatch(word):
-            return self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+            letters, signs = m.groups()
+            return self.parts[letters] + self.signs[signs] if signs else self.parts[letters]
         return self._encode(word)
 
     def ids(self, text: str) -> bytes:
         if self._WHOLE.search(text):
             return self._encode(text)
-        return b"".join(map(self.cache.__getitem__, text.split()))
+        return b"".join(map(self.cache.__getitem__, text.lower().split()))
+
+
+@functools.lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that its words serve all its tasks."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokens: int, path: str) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece; one pass over the texts."""
-    tokenizer = None
     end = np.array([END], "<u4").tobytes()
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal tokenizer
-        tokenizer = tokenizer or WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         at, cols = [], [[], [], [], []]
         for row, text in enumerate(b.column(1).to_pylist()):
             ids = tokenizer.ids(text or "") + end

@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Line numbers count within a file and stay in order: each file is read whole by one task.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
     lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
     rows = lines.withColumn("line", T.strip("line")).where("line <> ''").withColumn("v", F.try_parse_json("line"))
     return rows.where("v is not null and schema_of_variant(v) like 'OBJECT%'").select("file", "modified", "line_no", "v")

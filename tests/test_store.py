@@ -1,0 +1,243 @@
+import json
+import os
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from recollect.engine import MemoryEngine
+from recollect.operators import candidates, lifecycle, refresh, reports
+from recollect.schemas import TABLES
+from recollect.sources import files, history, manifest, sessions
+from recollect.sources.store import Store, equivalent, fingerprint
+
+NOW = datetime(2026, 1, 2)
+
+
+def _write(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+
+
+@pytest.fixture(scope="module")
+def engine(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("engine")
+    src = root / "project"
+    _write(str(src / "README.md"), "# Sample\nA small project about storage.")
+    _write(str(src / "docs/decisions.md"), "# Decisions\n## ADR-003: use a stdio transport\nThe transport for tools is stdio.\n")
+    _write(str(src / "docs/notes.txt"), "Plain notes on ranking.")
+    _write(str(src / ".git/config.md"), "hidden")
+    e = MemoryEngine(spark, str(root / "store"))
+    e.init()
+    e.index(str(src), NOW)
+    return e
+
+
+def test_index_and_search(engine):
+    assert engine._t("documents").count() == 3
+    top = engine.search("stdio transport", at=NOW).first()
+    assert top.heading_path == "Decisions > ADR-003: use a stdio transport"
+    log = engine.logs().first()
+    assert log["query"] == "stdio transport" and log["result_count"] == len(log["results"]) > 0
+    n = engine.logs().count()
+    engine.search("...", at=NOW)
+    assert engine.logs().count() == n
+
+
+def test_memory_calls(engine):
+    engine.add("Remember the\nmilk", at=NOW)
+    row = engine.list("active").first()
+    assert row.title == "Remember the" and row.content_hash
+    engine.set_status(row.id, "obsolete", NOW)
+    assert engine.list("active").count() == 0
+    with pytest.raises(LookupError):
+        engine.set_status("none", "active")
+    with pytest.raises(ValueError):
+        engine.add("  ")
+
+
+def test_tasks(engine):
+    t = engine.task_open("Fix it", "bugfix", "p", at=NOW)
+    assert [engine.task_step_add(t, tokens=a, seconds=s, judgment="ok", at=NOW) for a, s in ((50, 1.5), (80, 2.0))] == [0, 1]
+    engine.verifier_round_add(t, "style", True, at=NOW)
+    engine.task_close(t, 1, at=NOW)
+    row = engine.task_list(project="p").first()
+    assert (row.total_tokens, row.total_duration_s, row.status, row.human_outcome) == (130, 3.5, "closed", 1)
+    c = engine.calibration("p")
+    assert c["verifier"].first().acceptance_rate == 1.0 and c["judgments"].first().n == 2
+    for bad in (lambda: engine.task_open("x", "nope"), lambda: engine.task_open(" ", "bugfix"), lambda: engine.task_close(t, 5)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(LookupError):
+        engine.task_step_add("none")
+
+
+def test_export_restore(engine, spark, tmp_path):
+    engine.store.export(str(tmp_path / "x"))
+    other = Store(spark, str(tmp_path / "other"))
+    other.init()
+    other.load_export(str(tmp_path / "x"))
+    for t in TABLES:
+        assert equivalent(engine.store.read(t), other.read(t)), t
+    n = other.current()["n"]
+    other.publish({"documents": other.read("documents").limit(1)})
+    assert other.read("documents").count() == 1
+    other.restore(n)
+    assert other.read("documents").count() == 3
+    with pytest.raises(LookupError):
+        other.restore(999)
+
+
+def test_fingerprint(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "id int, t string")
+    b = spark.createDataFrame([(None, 2), ("x", 1)], "t string, id int")
+    assert fingerprint(a).collect() == fingerprint(b).collect()
+    assert fingerprint(a).collect() != fingerprint(a.where("id = 1")).collect()
+
+
+def test_classify(spark):
+    old = NOW - timedelta(hours=1)
+    listing = spark.createDataFrame([("n", "/n.md", "project_docs", "h", old), ("u", "/u.md", "project_docs", "h", old), ("m", "/m.md", "project_docs", "h2", old), ("e", "/e.md", "project_docs", "h", old), ("s", "/s.jsonl", "agent_session", "h2", NOW - timedelta(seconds=10))], "source_id string, source_path string, source_type string, content_hash string, modified timestamp")
+    led = [("u", "/u.md", "active", "h"), ("m", "/m.md", "active", "h"), ("e", "/e.md", "error", "h"), ("s", "/s.jsonl", "active", "h"), ("g", "/g.md", "active", "h"), ("k", "/k.md", "skipped", "h")]
+    ledger = spark.createDataFrame([(i, p, None, "x", "1", h, old, old, s, None, 1, old, old) for i, p, s, h in led], TABLES["source_ledger"])
+    now = F.lit(NOW)
+    done = refresh.classify(listing, ledger, now)
+    assert {r.source_id: r.action for r in done.collect()} == {"n": "new", "u": "unchanged", "m": "modified", "e": "new", "s": "skipped", "g": "missing"}
+    errors = spark.createDataFrame([("m", "bad")], "source_id string, error_message string")
+    after = {r.source_id: (r.status, r.content_hash) for r in refresh.ledger_after(done, ledger, now, errors).collect()}
+    assert after == {"n": ("active", "h"), "u": ("active", "h"), "m": ("error", "h"), "e": ("active", "h"), "s": ("active", "h"), "g": ("missing", "h"), "k": ("skipped", "h")}
+    again = refresh.classify(listing.where("source_id <> 's'"), refresh.ledger_after(done, ledger, now), now).where("source_id not in ('g', 's')")
+    assert {r.action for r in again.collect()} == {"unchanged"}
+
+
+def _chunk_rows(spark, rows):
+    docs = spark.createDataFrame([(f"d{i}", p) for i, (p, *_) in enumerate(rows)], "id string, path string")
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i}", i, None, t) for i, (_, _, t) in enumerate(rows)], "id string, document_id string, chunk_index int, heading_path string, content string")
+    ledger = spark.createDataFrame(sorted({(p, k, "active") for p, k, _ in rows}), "source_path_or_alias string, source_type string, status string")
+    return chunks, docs, ledger
+
+
+def _none(spark):
+    return candidates.blocklist(spark.createDataFrame([], TABLES["memory_nodes"]))
+
+
+def test_candidates(spark):
+    words = "one two three four five six seven eight nine"
+    meta = 'INGESTION_METADATA {"created_at": "2026-03-04T00:00:00", "exchange_index": 2, "is_compaction": %s}\n\n'
+    rows = [("/a.md", "project_docs", words), ("/b.py", "project_docs", words), ("/s.jsonl", "agent_session", "[User]: " + words), ("/t.jsonl", "agent_session", meta % "true" + words), ("/u.jsonl", "agent_session", meta % "false" + words), ("/c.md", "project_docs", "too short"), ("/d.md", "project_docs", '{"type": "x", ' + words)]
+    found = {r.source_path: r for r in candidates.candidates(*_chunk_rows(spark, rows)).collect()}
+    assert set(found) == {"/a.md", "/b.py", "/s.jsonl", "/t.jsonl", "/u.jsonl"}
+    assert {p: r.verdict for p, r in found.items()} == {"/a.md": "candidate", "/b.py": "non_document", "/s.jsonl": "noisy", "/t.jsonl": "candidate", "/u.jsonl": "candidate"}
+    assert found["/t.jsonl"].title == "Session Summary: 2026-03-04" and found["/t.jsonl"].confidence == 0.75
+    assert found["/u.jsonl"].title == "Session Exchange #2: " + words[:60] and found["/u.jsonl"].confidence == 0.6
+
+
+@pytest.mark.parametrize("limit,per_source", [(10, 2), (3, 0), (0, 1), (4, 3)])
+def test_caps_against_a_loop(spark, limit, per_source):
+    rows = [(f"/{p}.md", "project_docs", f"text number {i} of source {p} with several more words here") for p, n in (("a", 6), ("b", 1), ("c", 4)) for i in range(n)]
+    found = candidates.candidates(*_chunk_rows(spark, rows))
+    order = found.orderBy(*candidates.ranking()).collect()
+    want, used, made = {}, {}, 0
+    for r in order:
+        if per_source and used.get(r.source_path, 0) >= per_source:
+            want[r.source_chunk_id] = "source_limit"
+        elif limit and made >= limit:
+            want[r.source_chunk_id] = "limit"
+        else:
+            want[r.source_chunk_id], made = "created", made + 1
+            used[r.source_path] = used.get(r.source_path, 0) + 1
+    for f in (candidates.admit, candidates.admit_in_order):
+        assert {r.source_chunk_id: r.state for r in f(found, _none(spark), 0.0, limit, per_source).collect()} == want, f
+
+
+def test_in_order_blocks_within_the_run(spark):
+    t = "the same words in two places of the corpus at once"
+    found = candidates.candidates(*_chunk_rows(spark, [("/a.md", "project_docs", t), ("/b.md", "project_docs", t)]))
+    assert sorted(r.state for r in candidates.admit(found, _none(spark)).collect()) == ["created", "created"]
+    assert sorted(r.state for r in candidates.admit_in_order(found, _none(spark)).collect()) == ["created", "duplicate_unverified"]
+
+
+def test_noise(spark):
+    bad = ["please Continue the conversation from where it left off", "x\n 2. All user messages:", " [User]: hi", "1. run `git log`\n2. check `ls`"]
+    good = ["a plain fact", "1. run `git log`\n2. think\n3. write"]
+    rows = spark.createDataFrame([(t, i < 4) for i, t in enumerate(bad + good)], "t string, want boolean")
+    assert rows.where(candidates.noisy_transcript("t") != F.col("want")).count() == 0
+
+
+def _memory(spark, rows):
+    return spark.createDataFrame([(i, "default", "note", "t", c, s, k, None, None, "/p", h, b, None, None, NOW, NOW) for i, c, s, k, b, h in rows], TABLES["memory_nodes"])
+
+
+def test_lifecycle(spark):
+    m = _memory(spark, [("a", "x", "unverified", "auto", "auto", "h1"), ("b", "y", "unverified", "manual", "user", "h2"), ("c", "z", "obsolete", "auto", "auto", "h3")])
+    now = F.lit(NOW)
+    assert {r.id: r.status for r in lifecycle.approve(m, F.lit(True), now).collect()} == {"a": "active", "b": "unverified", "c": "obsolete"}
+    p = lifecycle.promote(m, "a", "Title", "curated", now)
+    assert sorted((r.status, r.source_kind) for r in p.collect()) == [("active", "curated_auto"), ("obsolete", "auto"), ("obsolete", "auto"), ("unverified", "manual")]
+    assert lifecycle.promote(p, "a", "Title", "curated", now).count() == 4
+    assert lifecycle.promote(m, "b", "Title", "curated", now).count() == 3
+    r = lifecycle.prune(m, now)
+    assert r.where(F.col("content") == lifecycle.TOMBSTONE).first().content_hash == "h3"
+    assert lifecycle.prunable(r).count() == 0
+    with pytest.raises(ValueError):
+        lifecycle.promote(m, "a", " ", "c", now)
+
+
+def test_cleanup_applies(spark):
+    led = spark.createDataFrame([("s", "/r/x.md", None, "project_docs", "1", "h", NOW, NOW, "missing", "previously indexed source file no longer exists", 1, NOW, NOW), ("t", "/q/y.md", None, "project_docs", "1", "h", NOW, NOW, "error", None, 1, NOW, NOW)], TABLES["source_ledger"])
+    cat = spark.createDataFrame([("i", "project_root", "/r", "r", ["x"], "confirmed", "l", 1.0, 1)], "id string, source_type string, path_or_alias string, project_name string, discovered_from array<string>, confirmation_status string, privacy_scope string, confidence double, evidence_count int")
+    acts = reports.cleanup_actions(led, cat)
+    assert {r.source_id: r.reason.split()[0] for r in acts.collect()} == {"s": "removed", "t": "stale"}
+    out = {r.source_id: r.error_message for r in reports.apply_cleanup(led, acts, F.lit(NOW)).where("status = 'skipped'").collect()}
+    assert out == {"s": "removed local source: no active local content", "t": "stale ledger: no confirmed catalog source"}
+
+
+DIALECTS = {
+    "nested": ['{"type":"user","message":{"role":"user","content":"first question"}}', '{"type":"assistant","message":{"role":"assistant","content":[{"type":"text","text":"an answer"},{"type":"tool_use","text":"hidden"}]}}', "not json", "[1]", '{"type":"user","message":{"role":"user","content":"second question"}}', '{"type":"compaction","message":{"content":"what happened"}}'],
+    "envelope": ['{"type":"session_meta","payload":{"id":"sess-1","timestamp":1770887989262}}', '{"type":"response_item","payload":{"type":"message","role":"developer","content":"no"}}', '{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"ask this"}]}}', '{"type":"event_msg","payload":{"type":"agent_message","message":"say that"}}', '{"type":"compacted","payload":{"summary":"short"}}'],
+}
+
+
+def test_sessions(spark, tmp_path):
+    for k, lines in DIALECTS.items():
+        _write(str(tmp_path / f"{k}.jsonl"), "\n".join(lines))
+    rows = sessions.session_records(spark, str(tmp_path), "p").collect()
+    by = {(os.path.basename(r.source_path), r.exchange_index): r for r in rows}
+    assert by["nested.jsonl", 0].text == "[User]: first question\n[Assistant]: an answer"
+    assert by["nested.jsonl", 1].text == "[User]: second question"
+    assert by["nested.jsonl", 2].is_compaction and by["nested.jsonl", 2].text == "## Compaction Summaries\n\nwhat happened"
+    assert by["envelope.jsonl", 0].text == "[User]: ask this\n[Assistant]: say that" and by["envelope.jsonl", 0].session_id == "sess-1"
+    assert by["envelope.jsonl", 1].text.endswith("short") and by["envelope.jsonl", 0].created_at.startswith("2026-02-12T")
+    assert by["nested.jsonl", 0].session_id == "session:nested" and len(rows) == 5
+
+
+def test_epochs(spark):
+    rows = spark.createDataFrame([(1767225600.0,), (1770887989262.0,), (1e30,)], "x double")
+    assert [r[0] for r in rows.select(sessions.epoch_to_iso("x")).collect()] == ["2026-01-01T00:00:00+00:00", "2026-02-12T09:19:49.262000+00:00", None]
+
+
+def test_manifest(spark, tmp_path):
+    _write(str(tmp_path / "docs/a.md"), "hello world")
+    good = {"manifest_version": "1", "project": "p", "sources": [{"source_type": "project_docs", "source_path": "docs"}, {"source_type": "operations_note", "source_path": "x"}, {"source_type": "agent_session", "source_path": "gone"}]}
+    _write(str(tmp_path / "m.json"), json.dumps(good))
+    records, report = manifest.ingest(spark, manifest.load_manifest(str(tmp_path / "m.json")), str(tmp_path))
+    assert [r["bucket"] for r in report] == ["index_now", "parse_later", "skipped"] and records.count() == 1
+    for bad in ({"manifest_version": "2"}, {"project": " "}, {"sources": []}, {"sources": [{"source_type": "?", "source_path": "x"}]}, {"sources": [{"source_type": "project_docs", "source_path": ""}]}):
+        with pytest.raises(ValueError):
+            manifest.parse_manifest(good | bad)
+
+
+def test_files(spark, tmp_path):
+    for p in ("a.md", "node_modules/b.md", "package.json", "c.bin", "deep/venv2/d.md", "deep/e.txt"):
+        _write(str(tmp_path / p), "some words")
+    _write(str(tmp_path / "digits.md"), "1234567890 a")
+    assert {os.path.basename(r.path) for r in files.scan_documents(spark, str(tmp_path)).collect()} == {"a.md", "e.txt"}
+    assert [os.path.basename(p) for p in files.pruned_paths(str(tmp_path))] == ["a.md", "e.txt", "digits.md"] or {os.path.basename(p) for p in files.pruned_paths(str(tmp_path))} == {"a.md", "e.txt", "digits.md"}
+
+
+def test_history():
+    assert history.line_texts('{"role":"system","text":"x"}') == []
+    assert history.line_texts('{"payload":{"cwd":"/w"},"text":"t","tool_use":{"text":"no"}}') == ["/w", "/w", "t"]
+    assert history.line_texts('{"message":{"role":"user","content":[{"type":"tool_result","text":"no"},{"text":"yes"}]}}') == ["yes"]
+    assert history.line_texts("{") == []

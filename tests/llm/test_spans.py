@@ -1,0 +1,107 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from recollect.llm import pii, secrets
+from recollect.llm.crf import LinearChainCRF, active_runs, collapsed
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+SECRETS = {"assign": r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+
+
+def _pii_ok(kind, m):
+    digits = re.sub(r"\D", "", m[0])
+    if kind == "ip":
+        return all(int(x) < 256 for x in m[0].split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and pii.luhn(digits)
+    return kind != "phone" or 9 <= len(digits) <= 15
+
+
+def _secret_ok(kind, m):
+    return {"assign": lambda: len(m[2]) >= 8, "access": lambda: len(m[0]) >= 16, "hex": lambda: len(m[0]) >= 32}[kind]()
+
+
+def _texts(alphabet, parts, n=1500, seed=1):
+    r = random.Random(seed)
+    for _ in range(n):
+        yield "".join(r.choice(parts) if r.random() < 0.3 else r.choice(alphabet) for _ in range(r.randint(0, 60)))
+
+
+def test_pii_base_is_the_plain_patterns():
+    for t in _texts("ab@..-_ 0123456789+() é", ["a.b@c.de", "4111 1111 1111 1111", "+1 (212) 555-0175", "10.0.0.1", "255.256."]):
+        got = pii.base_spans(t)
+        for k, p in PII.items():
+            assert got[k] == [m.span() for m in re.finditer(p, t) if _pii_ok(k, m)], (k, t)
+
+
+def test_secret_base_is_the_plain_patterns():
+    for t in _texts("abcdef0123 :='\"A_Kſ", ["token=", "API_KEY: ", "AKIA", "0123456789abcdef" * 2, "PassWord", "secret", "tokenſ"]):
+        got = secrets.base_spans(t)
+        for k, p in SECRETS.items():
+            assert got[k] == [m.span() for m in re.finditer(p, t) if _secret_ok(k, m)], (k, t)
+
+
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(0)
+    crf = LinearChainCRF(("O", "B", "I"), 2)
+    crf.features = {f"f{i}": i + 1 for i in range(6)}
+    crf.emit, crf.move, crf.start, crf.end = np.vstack([np.zeros(3), r.normal(size=(6, 3))]), r.normal(size=(3, 3)), r.normal(size=3), r.normal(size=3)
+    for length in (1, 2, 5):
+        run = [[f"f{r.integers(6)}", f"f{r.integers(6)}"] for _ in range(length)]
+        e = np.array([sum(crf.emit[crf.features[x]] for x in f) for f in run])
+        best = max(np.ndindex(*(3,) * length), key=lambda p: crf.start[p[0]] + crf.end[p[-1]] + sum(e[t, x] for t, x in enumerate(p)) + sum(crf.move[a, b] for a, b in zip(p, p[1:], strict=False)))
+        assert tuple(crf.decode([run])[0]) == best
+
+
+def test_field_beats_held_out_rows():
+    model = pii.train()
+    right = found = wanted = 0
+    for text, spans in pii.labelled_table(200, seed=99):
+        base, added = pii.find([text], model)[0]
+        got = {(k, s, e) for k in pii.KINDS for s, e in base[k]} | set(added)
+        right += sum(s in got for s in spans)
+        wanted += len(spans)
+        found += len(got)
+    assert right / wanted > 0.9 and right / found > 0.85
+
+
+def test_secret_field_beats_held_out_rows():
+    model = secrets.train()
+    hit = wanted = false = 0
+    for text, spans in secrets.labelled_table(200, seed=77):
+        base, added = secrets.find([text], model)[0]
+        got = [x for v in base.values() for x in v] + added
+        hit += sum(any(a < e and s < b for a, b in got) for s, e in spans)
+        false += sum(not any(a < e and s < b for s, e in spans) for a, b in added)
+        wanted += len(spans)
+    assert hit / wanted > 0.9 and false < 0.1 * wanted
+
+
+def test_added_spans_touch_no_base_span():
+    model = pii.train()
+    for text, _ in pii.labelled_table(100, seed=3):
+        base, added = pii.find([text], model)[0]
+        assert not any(s < b and a < e for _, s, e in added for v in base.values() for a, b in v)
+
+
+@pytest.mark.parametrize("f,n", [(pii.pii_spans, 8), (secrets.secret_spans, 7)])
+def test_odd_rows(f, n, odd, none):
+    rows = f(odd).collect()
+    assert len(rows) == odd.count() and len(rows[0]) == n and f(none).count() == 0
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(r.base_sha256 == empty and r.spans == "" for r in rows if r.doc_id in (0, 1, 2, 3))
+
+
+def test_redaction(odd):
+    rows = {r.doc_id: r for r in pii.redact(odd).collect()}
+    assert rows[12].text == 'mail <email> call <phone> card <card> at <ip> token = "abcdef0123456789abcdef0123456789"'
+    assert rows[0].text is None and rows[9].text.startswith("long text") and set(pii.redact(odd).columns) == set(odd.columns)
+
+
+def test_runs_and_shapes():
+    assert active_runs("a 1 2b c\n3", re.compile("[0-9]")) == [[(2, 3), (4, 6)], [(9, 10)]]
+    assert collapsed("(017)Ab-x") == "(9)Xx-x"

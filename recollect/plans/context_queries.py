@@ -17,8 +17,8 @@ from recollect.plans import sql as S
 from recollect.streaming import streams
 
 #: Texts with paths, documents and hosts in them, made from the test tables.
-_MIX = """concat('see /home/dev', doc_id % 7, '/proj', doc_id % 11, '/src/main.py, then C:\\\\Users\\\\me\\\\Documents\\\\App', doc_id % 5, '\\\\x.txt and docs/guide', doc_id % 3, '.md plus README.md; ssh root@host-', doc_id % 9, '.example.com or ssh db', doc_id % 4, '.internal', ' ', substring(text, 1, 60))"""
-_MIX_SQL = """concat('see /home/dev', doc_id % 7, '/proj', doc_id % 11, '/src/main.py, then C:\\Users\\me\\Documents\\App', doc_id % 5, '\\x.txt and docs/guide', doc_id % 3, '.md plus README.md; ssh root@host-', doc_id % 9, '.example.com or ssh db', doc_id % 4, '.internal', ' ', substr(text, 1, 60))"""
+_MIX = """concat('see /home/dev', doc_id % 7, '/proj', doc_id % 11, '/src/main.py, then C:\\\\Users\\\\me\\\\Documents\\\\App', doc_id % 5, '\\\\x.txt and docs/guide', doc_id % 3, '.md plus README.md; ssh root@host-', doc_id % 9, '.example.com or ssh db', doc_id % 4, '.internal', ' ', text)"""
+_MIX_SQL = """concat('see /home/dev', doc_id % 7, '/proj', doc_id % 11, '/src/main.py, then C:\\Users\\me\\Documents\\App', doc_id % 5, '\\x.txt and docs/guide', doc_id % 3, '.md plus README.md; ssh root@host-', doc_id % 9, '.example.com or ssh db', doc_id % 4, '.internal', ' ', text)"""
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
@@ -187,9 +187,22 @@ QUERIES = {
         rf"""{_MIXED}, w as (select doc_id, regexp_extract_all(t, '[A-Za-z]:[\\/][^\s"''<>|*?]+') as a, list_transform(regexp_extract_all(t, '(?:^|\s)/(?:[^\s"''*?|]+/)+[^\s"''*?|]*'), lambda x: trim(x)) as b from mx)
 , p as (select doc_id, list_transform(list_concat(a, b), lambda x: rtrim(x, '.,;:!?"''')) as ps from w) select doc_id, cast(u.i - 1 as int) as k, ps[u.i] as path from p, unnest(range(1, len(ps) + 1)) as u(i)""",
     ),
-    "extract_doc_paths": (extract_doc_paths, None),
-    "extract_hosts": (extract_hosts, None),
-    "project_roots": (project_roots, None),
+    "extract_doc_paths": (
+        extract_doc_paths,
+        rf"""{_MIXED}, w as (select doc_id, list_transform(regexp_extract_all(t, '(?i)[^\s"''<>|]*\.(?:md|txt|json|ya?ml|toml)'), lambda x: rtrim(x, '.,;:!?"''')) as ps from mx)
+, p as (select doc_id, list_filter(ps, lambda x: (contains(replace(x, chr(92), '/'), '/') or lower(x) in ('agents.md', 'claude.md', 'readme.md')) and not starts_with(lower(x), 'http') and not regexp_matches(x, '[<>\[\](){{}}`]')) as ps from w)
+select doc_id, cast(u.i - 1 as int) as k, ps[u.i] as path from p, unnest(range(1, len(ps) + 1)) as u(i)""",
+    ),
+    "extract_hosts": (
+        extract_hosts,
+        rf"""{_MIXED}, w as (select doc_id, list_filter(regexp_extract_all(t, '(?i)\bssh\s+(?:root@)?([\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_.-]*)\b', 1), lambda x: contains(x, '.') or contains(x, '-')) as hs from mx)
+select doc_id, cast(u.i - 1 as int) as k, hs[u.i] as host from w, unnest(range(1, len(hs) + 1)) as u(i)""",
+    ),
+    "project_roots": (
+        project_roots,
+        """with p as (select unnest(['/home/dev' || (doc_id % 7) || '/proj' || (doc_id % 11), 'C:' || chr(92) || 'Users' || chr(92) || 'me' || chr(92) || 'Documents' || chr(92) || 'App' || (doc_id % 5)]) as root from documents)
+select root, count(*) as n from p group by 1""",
+    ),
     "merge_sources": (
         merge_sources,
         f"""{_MIXED}{_HOST_ROWS}, e as (select lower(host) as key, label, min(doc_id) as pos, arg_min(case when doc_id % 2 = 0 then upper(host) else host end, doc_id) as name from h group by 1, 2)

@@ -54,9 +54,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").where("doc_id % 3 = 1").selectExpr(
-        "concat('m', doc_id) as id", "'default' as project_id", "case doc_id % 4 when 0 then 'note' when 1 then 'decision' when 2 then 'issue' else 'pattern' end as type", "substring(text, 1, 40) as title", "substring(text, 1, 400) as content", "case doc_id % 5 when 0 then 'active' when 1 then 'unverified' when 2 then 'obsolete' when 3 then 'superseded' else 'conflicting' end as status",
-        "case when doc_id % 2 = 0 then 'auto' else 'manual' end as source_kind", "concat('d', doc_id) as source_document_id", "concat('d', doc_id, '_chunk_0') as source_chunk_id", f"case when doc_id % 13 <> 0 then {_PATH} end as source_path", "sha2(cast(substring(text, 1, 400) as binary), 256) as content_hash", "case when doc_id % 2 = 0 then 'auto' else 'user' end as created_by", "cast(null as string) as model_name",
+    return load(spark, sf_dir, "documents").selectExpr(
+        "concat('m', doc_id) as id", "'default' as project_id", "case doc_id % 4 when 0 then 'note' when 1 then 'decision' when 2 then 'issue' else 'pattern' end as type", "substring(text, 1, 40) as title", "text as content", "case doc_id % 5 when 0 then 'active' when 1 then 'unverified' when 2 then 'obsolete' when 3 then 'superseded' else 'conflicting' end as status",
+        "case when doc_id % 2 = 0 then 'auto' else 'manual' end as source_kind", "concat('d', doc_id) as source_document_id", "concat('d', doc_id, '_chunk_0') as source_chunk_id", f"case when doc_id % 13 <> 0 then {_PATH} end as source_path", "sha2(cast(text as binary), 256) as content_hash", "case when doc_id % 2 = 0 then 'auto' else 'user' end as created_by", "cast(null as string) as model_name",
         "case when doc_id % 7 <> 0 then (doc_id % 10) / 10.0D end as confidence", f"{_at('doc_id % 400')} as created_at", f"{_at('doc_id % 450')} as updated_at",
     )
 
@@ -82,7 +82,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     status = "case when try_cast(substring(source, 4) as int) % 4 = 3 then 'pending' else 'confirmed' end"
     roots = docs.select("source").distinct().selectExpr("concat('root_', source) as id", "'project_root' as source_type", "concat('/srv/', source) as path_or_alias", "source as project_name", "array('codex-sessions') as discovered_from", f"{status} as confirmation_status", "1.0D as confidence", "1 as evidence_count")
-    some = docs.where("doc_id % 25 = 0").selectExpr("concat('doc_', doc_id) as id", "'document' as source_type", f"{_PATH} as path_or_alias", "cast(null as string) as project_name", "array('claude-projects', concat('root_src', doc_id % 20)) as discovered_from", f"{status} as confirmation_status", "0.5D as confidence", "2 as evidence_count")
+    some = docs.selectExpr("concat('doc_', doc_id) as id", "'document' as source_type", f"{_PATH} as path_or_alias", "cast(null as string) as project_name", "array('claude-projects', concat('root_src', doc_id % 20)) as discovered_from", f"{status} as confirmation_status", "0.5D as confidence", "2 as evidence_count")
     hosts = load(spark, sf_dir, "nation").selectExpr("concat('host_', n_nationkey) as id", "'server_alias' as source_type", "concat('host-', n_nationkey, '.example.com') as path_or_alias", "cast(null as string) as project_name", "array(concat('seen in src', n_nationkey, ' notes')) as discovered_from", "'confirmed' as confirmation_status", "1.5D as confidence", "1 as evidence_count")
     return roots.union(some).union(hosts)
 
@@ -124,10 +124,10 @@ with m_documents as (
          {_sql_at('doc_id % 500')} as last_modified_at, {_sql_at('doc_id % 600')} as last_indexed_at, {_STATUS} as status, {_ERROR} as error_message, {_sql_at('doc_id % 700')} as updated_at
   from labels join documents using (doc_id)
 ), m_memory as (
-  select doc_id, concat('m', doc_id) as id, 'default' as project_id, case doc_id % 4 when 0 then 'note' when 1 then 'decision' when 2 then 'issue' else 'pattern' end as type, substr(text, 1, 40) as title, substr(text, 1, 400) as content,
+  select doc_id, concat('m', doc_id) as id, 'default' as project_id, case doc_id % 4 when 0 then 'note' when 1 then 'decision' when 2 then 'issue' else 'pattern' end as type, substr(text, 1, 40) as title, text as content,
          case doc_id % 5 when 0 then 'active' when 1 then 'unverified' when 2 then 'obsolete' when 3 then 'superseded' else 'conflicting' end as status, case when doc_id % 2 = 0 then 'auto' else 'manual' end as source_kind, case when doc_id % 13 <> 0 then {_PATH} end as source_path,
-         sha256(substr(text, 1, 400)) as content_hash, case when doc_id % 2 = 0 then 'auto' else 'user' end as created_by, case when doc_id % 7 <> 0 then (doc_id % 10) / 10.0::double end as confidence, {_sql_at('doc_id % 400')} as created_at, {_sql_at('doc_id % 450')} as updated_at
-  from documents where doc_id % 3 = 1
+         sha256(text) as content_hash, case when doc_id % 2 = 0 then 'auto' else 'user' end as created_by, case when doc_id % 7 <> 0 then (doc_id % 10) / 10.0::double end as confidence, {_sql_at('doc_id % 400')} as created_at, {_sql_at('doc_id % 450')} as updated_at
+  from documents
 ), m_tasks as (
   select concat('task_', o_orderkey) as task_id, concat('Task ', o_orderkey) as title, case substr(o_orderpriority, 1, 1) when '1' then 'bugfix' when '2' then 'feature' when '3' then 'refactor' when '4' then 'review' else 'query' end as type, concat('p', o_custkey % 10) as project,
          case o_orderstatus when 'F' then 'closed' when 'O' then 'open' else 'unrated' end as status, case o_orderkey % 4 when 0 then 1 when 1 then 0 when 2 then -1 end as human_outcome, o_orderdate as created_at from orders
@@ -137,7 +137,7 @@ with m_documents as (
   select concat('task_', user_id) as task_id, event_type as suggestion_type, value > 50 as brain_accepted from events
 ), m_catalog as (
   select distinct concat('root_', source) as id, 'project_root' as source_type, concat('/srv/', source) as path_or_alias, source as project_name, ['codex-sessions'] as discovered_from, case when cast(substr(source, 4) as int) % 4 = 3 then 'pending' else 'confirmed' end as confirmation_status, 1.0::double as confidence from documents
-  union all select concat('doc_', doc_id), 'document', {_PATH}, null, ['claude-projects', concat('root_src', doc_id % 20)], case when cast(substr(source, 4) as int) % 4 = 3 then 'pending' else 'confirmed' end, 0.5 from documents where doc_id % 25 = 0
+  union all select concat('doc_', doc_id), 'document', {_PATH}, null, ['claude-projects', concat('root_src', doc_id % 20)], case when cast(substr(source, 4) as int) % 4 = 3 then 'pending' else 'confirmed' end, 0.5 from documents
   union all select concat('host_', n_nationkey), 'server_alias', concat('host-', n_nationkey, '.example.com'), null, [concat('seen in src', n_nationkey, ' notes')], 'confirmed', 1.5 from nation
 ), m_listing as (
   select doc_id, concat('s', doc_id) as source_id, {_LIST_PATH} as source_path, {_LIST_KIND} as source_type, sha256(text) as content_hash, timestamp '{NOW}' - to_seconds(doc_id % 300) as modified from documents where doc_id % 11 <> 0

@@ -167,7 +167,7 @@ def noise_user_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def epoch_values(spark: SparkSession, d: str) -> DataFrame:
     """Seconds, milliseconds and overflow."""
-    e = fx.load(spark, d, "events").where("event_id % 10 = 0")
+    e = fx.load(spark, d, "events")
     x = F.expr("case event_id % 3 when 0 then 1767225600.0D + event_id when 1 then 1770887989000.0D + event_id * 1000 else 1e30D end")
     return e.select("event_id", sessions.epoch_to_iso(x).alias("iso"))
 
@@ -240,5 +240,5 @@ select conv_id, cast(ex - 1 as int) as exchange_index, case when coalesce(a, '')
     ),
     "session_first_values": (session_first_values, "select conv_id, sha256(arg_min(text, turn) filter (where role = 'user')) as first_user, sha256(arg_min(text, turn) filter (where role = 'assistant')) as first_assistant, count(*) as n_turns from conversations group by 1"),
     "noise_user_filter": (noise_user_filter, f"select conv_id, turn from conversations where role = 'user' and turn % 4 <> 0 and turn % 7 <> 3 and length({S.strip('text')}) >= 3"),
-    "epoch_values": (epoch_values, "select event_id, case event_id % 3 when 0 then strftime(to_timestamp(1767225600 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' when 1 then strftime(to_timestamp(1770887989 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' end as iso from events where event_id % 10 = 0"),
+    "epoch_values": (epoch_values, "select event_id, case event_id % 3 when 0 then strftime(to_timestamp(1767225600 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' when 1 then strftime(to_timestamp(1770887989 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' end as iso from events"),
 }

@@ -24,10 +24,8 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
 
 def _blocked(spark: SparkSession, d: str) -> DataFrame:
     """Memories whose content is that of some candidates, so that all reasons occur."""
-    m = fx.memory(spark, d)
-    text = fx.load(spark, d, "documents").selectExpr("concat('m', doc_id) as t_id", "text")
-    whole = m.join(text, F.col("id") == F.col("t_id"))
-    return C.blocklist(whole.withColumn("content_hash", F.sha2(T.strip("text").cast("binary"), 256)))
+    m = fx.memory(spark, d).where("status <> 'active' or type = 'note'")
+    return C.blocklist(m.withColumn("content_hash", F.sha2(T.strip("content").cast("binary"), 256)))
 
 
 def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +255,7 @@ _CAND = f"""
 , cand1 as (select *, cast({S.token_estimate("content")} as int) as tokens, sha256(content) as content_hash, source_type = 'agent_session' and flag as is_compaction from cand0 where not regexp_matches(substr(content, 1, 300), '(?s)^\\s*\\{{.*"type"\\s*:'))
 , cand as (select *, case when is_compaction then 0.75 when source_type = 'project_docs' then 0.8 when source_type = 'agent_session' then 0.6 else 0.5 end::double as confidence,
     case when source_type = 'agent_session' then case when regexp_matches(content, '(?i)(^|\\n)\\s*\\[(user|assistant)\\]:') then 'noisy' else 'candidate' end when ends_with(source_path, '.py') then 'non_document' else 'candidate' end as verdict from cand1 where tokens >= 8)
-, blocked as (select sha256({S.strip("text")}) as b_hash, min(case status when 'active' then 0 when 'unverified' then 1 else 2 end) as r from m_memory join documents using (doc_id) where status in ('active', 'unverified') or (status = 'obsolete' and source_kind = 'auto' and created_by = 'auto') group by 1)
+, blocked as (select sha256({S.strip("content")}) as b_hash, min(case status when 'active' then 0 when 'unverified' then 1 else 2 end) as r from m_memory where (status <> 'active' or type = 'note') and (status in ('active', 'unverified') or (status = 'obsolete' and source_kind = 'auto' and created_by = 'auto')) group by 1)
 , judged as (select cand.*, case when verdict <> 'candidate' then verdict when r is not null then 'duplicate_' || ['active', 'unverified', 'rejected'][r + 1] when confidence < 0.55 then 'low_confidence' else 'eligible' end as state from cand left join blocked on b_hash = content_hash)
 """
 _RANK = "is_compaction desc, case when source_type = 'agent_session' then 0 else 1 end, tokens desc, source_path, chunk_index, source_chunk_id"

@@ -20,9 +20,12 @@ round trip differ (`round_trip` compares with that replaced).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
+import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -50,11 +53,35 @@ class PieceTable:
         n = sp.get_piece_size()
         self.byte0 = sp.piece_to_id("<0x00>")
         self.pieces = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+        self.scores = {p: s for p, (s, _) in self.pieces.items()}
         self.longest = max(map(len, self.pieces))
         self.raw = [bytes([i - self.byte0]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
 
     def ids(self, word: str) -> bytes:
-        """The same fold as fold(), for one word, with a queue of joins."""
+        """The same fold as the relational one, for one word: the scores of neighbouring pairs stand in a list."""
+        if len(word) > 64:
+            return self._long(word)
+        get, none = self.scores.get, -math.inf
+        parts = list(word)
+        pair = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pair and (best := max(pair)) > none:
+            i = pair.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pair[i]
+            if i:
+                pair[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pair):
+                pair[i] = get(parts[i] + parts[i + 1], none)
+        out: list[int] = []
+        for x in parts:
+            if p := self.pieces.get(x):
+                out.append(p[1])
+            else:
+                out += [self.byte0 + b for b in x.encode("utf-8", "surrogatepass")]
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _long(self, word: str) -> bytes:
+        """The same with a queue of joins, for words of any length."""
         get, n = self.pieces.get, len(word)
         end, left = list(range(1, n + 1)), list(range(-1, n - 1))  # segments by their starts
         queue: list[tuple[float, int, int]] = []
@@ -83,24 +110,66 @@ class PieceTable:
             i = end[i]
         return np.array(out, "<u4").tobytes()
 
+    def caches(self, shared) -> tuple[WordBytes, WordBytes]:
+        """Ids of words after a space, and of words at the start of a line.
+
+        From the broadcast table, else by the fold; kept for the tasks that share the broadcast.
+        """
+        if getattr(self, "_of", None) is not shared:
+            first = shared.value
+            self._caches = WordBytes(lambda w: first.get(SPACE + w) or self.ids(SPACE + w), 250_000), WordBytes(lambda w: first.get(w) or self.ids(w), 50_000)
+            self._of = shared
+        return self._caches
+
+    def encode(self, text: str, caches: tuple[WordBytes, WordBytes]) -> bytes:
+        """Ids of a text, line by line; lines with repeated spaces are cut by the pattern."""
+        if not text:
+            return b""
+        spaced, bare = caches
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if "" in words or SPACE in line:
+                out.append(b"".join(self.ids(w) for w in _WORD.findall((SPACE if k == 0 else "") + line.replace(" ", SPACE))))
+            elif k:
+                out.append(bare[words[0]] + b"".join(map(spaced.__getitem__, words[1:])))
+            else:
+                out.append(b"".join(map(spaced.__getitem__, words)))
+        return struct.pack("<I", self.byte0 + 10).join(out)
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text; the space that encoding puts first is taken off."""
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
 
+@functools.lru_cache(maxsize=2)
+def piece_table(path: str) -> PieceTable:
+    """One for each worker process."""
+    return PieceTable(path)
+
+
 def marked(text: str) -> str:
     """The text as the model sees it: spaces as U+2581, one put first."""
     return (SPACE + text.replace(" ", SPACE)) if text else ""
 
 
 def frequent_words(docs: DataFrame, most: int = MAX_WORDS) -> DataFrame:
-    """word: all words at least as frequent as a count, chosen so that there are at most `most`."""
+    """word: all words at least as frequent as a count, chosen so that there are at most `most`.
+
+    Which words are in the table decides about speed only.
+    """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter[str] = Counter()
+        first: Counter[str] = Counter()
         for t in b.column(0).to_pylist():
-            n.update(_WORD.findall(marked(t or "")))
-        words = {w: c for w, c in n.items() if len(w) <= MAX_CHARS}
+            for k, line in enumerate((t or "").split("\n")):
+                words = line.split(" ")
+                if k:
+                    first[words[0]] += 1
+                    del words[0]
+                n.update(words)
+        words = {SPACE + w: c for w, c in n.items() if w and len(w) < MAX_CHARS and SPACE not in w} | {w: c for w, c in first.items() if w and len(w) <= MAX_CHARS and SPACE not in w}
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
     counted = stored(over_batches(docs.select("text"), batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
@@ -156,18 +225,13 @@ def encode(docs: DataFrame, path: str | None = None, most: int = MAX_WORDS, keep
     words = word_ids(frequent_words(docs, most), PieceTable(path))
     known = {r.word: np.asarray(r.ids, "<u4").tobytes() for r in words.toPandas().itertuples()}  # at most `most` words of MAX_CHARS characters
     shared = spark.sparkContext.broadcast(known)
-    state = None
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal state
-        if state is None:
-            pieces = PieceTable(path)
-            first = shared.value
-            state = pieces, WordBytes(lambda w: first.get(w) or pieces.ids(w), 400_000)
-        pieces, cache = state
+        pieces = piece_table(path)
+        caches = pieces.caches(shared)
         out: list[list] = [[] for _ in range(5)]
         for t in b.column(1).to_pylist():
-            ids = b"".join(map(cache.__getitem__, _WORD.findall(marked(t or ""))))
+            ids = pieces.encode(t or "", caches)
             text = pieces.decode(ids)
             for c, v in zip(out, (len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text).hexdigest(), text == (t or "").replace(SPACE, " ").encode("utf-8", "surrogatepass"), np.frombuffer(ids, "<u4").astype(np.int32) if keep_ids else None), strict=True):
                 c.append(v)
@@ -183,11 +247,9 @@ def encode(docs: DataFrame, path: str | None = None, most: int = MAX_WORDS, keep
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text from doc_id and ids (a null or empty list gives the empty text; broken UTF-8 is replaced)."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-    state = None
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal state
-        state = state or PieceTable(path)
+        state = piece_table(path)
         texts = [state.decode(np.asarray(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 

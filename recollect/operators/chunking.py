@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import ids
 from recollect.functions.text import token_estimate
+from recollect.workers import ship
 
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
 
@@ -47,6 +48,7 @@ def split_text(text: str, max_chars: int) -> Iterator[tuple[str, str | None]]:
 
 def chunk(docs: DataFrame, text: str = "text", max_chars: int = 1200, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row for each chunk: the kept columns, chunk_index, heading_path, content, content_hash, token_count."""
+    ship(docs)
     fields = [f for f in docs.select(*keep).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import TOKEN
 from recollect.schemas import EMBEDDING_DIMENSIONS
+from recollect.workers import ship
 
 
 def bucket_of(token: str, dimensions: int = EMBEDDING_DIMENSIONS) -> tuple[int, float]:
@@ -53,6 +54,8 @@ def _embedded(docs: DataFrame, key: str, text: str, prefix: str, place, dimensio
 def embed(docs: DataFrame, key: str = "id", text: str = "content", prefix: str = "", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
     """key and embedding; `prefix` is put before each text ("query: ", "passage: "). A text without tokens gives zeros."""
 
+    ship(docs)
+
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at = [bucket_of(t, dimensions) for t in b["token"]]

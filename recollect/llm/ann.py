@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.common import stored, table
+from recollect.workers import ship
 
 
 @dataclass(frozen=True)
@@ -191,6 +192,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, g: Graph = Graph()) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of each row whose vec_id `every` divides."""
     spark = vectors.sparkSession
+    ship(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     sizes = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()

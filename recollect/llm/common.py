@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.workers import ship
+
 #: The six characters that separate words, as the contracts define them.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -68,6 +70,8 @@ def held_out(doc_id) -> F.Column:
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply `fn` to each Arrow batch; no shuffle, memory bounded by one batch."""
 
+    ship(df)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if (out := fn(batch)) is not None and out.num_rows:

@@ -65,6 +65,10 @@ def gated_chunks(chunks: DataFrame, documents: DataFrame, ledger: DataFrame | No
     return joined.join(seen, F.col("path") == F.col("l_path"), "left").where(F.col("l_path").isNull() | visible).drop("l_path", "ledger_status")
 
 
+def _occurrences(array: str, term: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == F.lit(term)))
+
+
 def bm25(corpus: DataFrame, terms: list[str], text: Column | str = "content", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Rows of `corpus` that hold a term, with `raw_score` (Okapi, distinct query terms).
 
@@ -74,11 +78,11 @@ def bm25(corpus: DataFrame, terms: list[str], text: Column | str = "content", k1
     q = _terms(terms)
     toks = T.tokens(text)
     own = corpus.withColumn("_toks", toks).withColumn("_dl", F.size("_toks")).withColumn("_hits", F.filter("_toks", lambda t: F.array_contains(q, t))).drop("_toks")
-    tf = F.transform(q, lambda t: F.size(F.filter("_hits", lambda x: x == t)))
-    own = own.withColumn("_tf", tf).drop("_hits")
+    # one reference for each term: a single one inside a lambda would be inlined and tokenize anew for each term
+    own = own.withColumn("_tf", F.array(*(_occurrences("_hits", t) for t in terms))).drop("_hits")
     stats = own.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), F.array(*(F.sum((F.col("_tf")[i] > 0).cast("long")) for i in range(len(terms)))).alias("_df"))
-    # a row of statistics for any corpus: a join on true with a broadcast side of one row
-    both = own.where(F.exists("_tf", lambda x: x > 0)).join(F.broadcast(stats))
+    # one row of statistics for any corpus: a join on true with a broadcast side of one row
+    both = own.join(F.broadcast(stats))
     parts = F.zip_with("_tf", "_df", lambda f, df: F.when(f > 0, F.log((F.col("_n") - df + 0.5) / (df + 0.5) + 1) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_dl") / F.col("_avgdl")))).otherwise(F.lit(0.0)))
     score = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
     return both.withColumn("raw_score", score).where("raw_score > 0").drop("_dl", "_tf", "_n", "_avgdl", "_df")

@@ -47,8 +47,9 @@ def _embedded(docs: DataFrame, key: str, text: str, prefix: str, place, dimensio
     cells = place(counts).groupBy(key, "cell").agg(F.sum(F.col("n") * F.col("sign")).alias("x"))
     # at most `dimensions` pairs for each text
     sparse = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "x")))).alias("pairs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    scaled = F.transform("pairs", lambda p: F.struct(p["cell"].alias("cell"), F.when(F.col("norm") > 0, p["x"] / F.col("norm")).otherwise(p["x"]).alias("x")))
-    return sparse.select(key, scaled.alias("pairs")).select(key, _dense(dimensions).alias("embedding"))
+    # scaled after it is dense: inside the lambda of _dense a computed array would be worked out anew for each element
+    unit = F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))
+    return sparse.select(key, F.transform(_dense(dimensions), lambda x: x / unit).alias("embedding"))
 
 
 def embed(docs: DataFrame, key: str = "id", text: str = "content", prefix: str = "", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:

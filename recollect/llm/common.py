@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,12 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="recollect-shared-")
+        own = tempfile.mkdtemp(prefix="recollect-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = "file://" + own
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and return it as read from there.
 
     This cuts lineage in a way that survives the loss of executors: the table is in
@@ -39,12 +43,8 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recollect/{uuid.uuid4().hex}-{name}"
-    schema = df.schema
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    out = spark.read.schema(schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._recollect_path = path
     return out
 
@@ -58,6 +58,12 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder; results that read them are lost."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/recollect")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

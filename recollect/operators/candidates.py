@@ -136,10 +136,8 @@ def admit(found: DataFrame, blocked: DataFrame, min_confidence: float = DEFAULT_
 def admit_in_order(found: DataFrame, blocked: DataFrame, min_confidence: float = DEFAULT_CONFIDENCE, limit: int = CANDIDATE_LIMIT, per_source: int = CANDIDATE_SOURCE_LIMIT) -> DataFrame:
     """The real run: as admit(), but a created memory blocks its content for the rest of the run.
 
-    Deduplicating in order is sequential. Each source can give at most `per_source` memories, of
-    distinct content, so first every source keeps its first row of each content; what follows in
-    order after the global cap is filled needs only its count. Rows reach the one ordered task
-    without their contents, and for the sequential scan only eligible ones do.
+    What is admitted depends on all that came before, so eligible rows go through one task in
+    order, as ids and hashes without their contents; admit() is the form that stays parallel.
     """
     rows = _judged(found, blocked, min_confidence)
     order = ranking()

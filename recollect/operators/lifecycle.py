@@ -63,7 +63,6 @@ def promote(memory: DataFrame, memory_id: str, title: str, content: str, now: Co
         raise ValueError("title and content cannot be empty")
     if memory_type not in CURATED_TYPES:
         raise ValueError(f"type must be one of {', '.join(CURATED_TYPES)}")
-    spark = memory.sparkSession
     digest = ids.content_hash(F.lit(content))
     there = memory.where((F.col("content_hash") == digest) & (F.col("status") == "active")).agg((F.count("*") == 0).alias("free"))
     source = memory.where((F.col("id") == memory_id) & reviewable()).join(F.broadcast(there)).where("free").drop("free")
@@ -75,7 +74,6 @@ def promote(memory: DataFrame, memory_id: str, title: str, content: str, now: Co
     hit = F.col("done") & (F.col("id") == memory_id) & reviewable()
     rest = memory.join(F.broadcast(done)).withColumn("_hit", hit)
     rest = rest.withColumn("updated_at", F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))).withColumn("status", F.when(F.col("_hit"), F.lit("obsolete")).otherwise(F.col("status"))).drop("done", "_hit")
-    del spark
     return rest.unionByName(copy.select(*rest.columns))
 
 

@@ -12,9 +12,11 @@ compared with its least and greatest member, not with each other, which finds mo
 tables, buckets that then hold several components are kept, and as long as a turn finds links,
 members of different components are compared: all of them in buckets of up to `small` members
 (a bounded number for each), in larger ones delegates of each component with those of the outer
-components, others in each turn. Two similar documents share about 26 of 100 buckets. A link is
-thus lost only if its two documents meet in large buckets alone, are linked with nothing else
-there, and neither is ever sent.
+components, others in each turn. The turns only make components larger. Afterwards, the members
+of all larger buckets that still hold several components go through an exact join by prefixes of
+their full sets, across components: values stand in an order of rising counts, and two similar
+sets share a value among their first ones. A link is thus lost only if its two documents share
+no table and are not linked by way of others.
 Every link is confirmed by the exact condition on the full sets. Components come from a
 distributed algorithm; no links, components or fingerprints reach the driver.
 
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ from recollect.llm.common import over_batches, release, stored, table, word_hash
 from recollect.llm.components import components
 
 _CHUNK = 1 << 15
+#: Counts of shingles are kept in so many slots. They only order the values; any order is exact.
+_SLOTS = 1 << 20
 #: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -173,6 +178,61 @@ def _ordered(a: str, b: str) -> list[F.Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _values(lists: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """For each slot, in how many of the sets (column s) its values stand."""
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.bincount((_values(b.column(0)) & np.uint64(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS)
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    found = over_batches(sets.select("s"), batch, "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(_SLOTS, np.int32)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def crossing(sets: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs a < b of different components among `sets` (id, c, s) that hold all similar ones.
+
+    A set of n values that is similar to one at least as large shares at least 2 n num / (num + den)
+    values with it, to one at most as large n num / den; so the two have a value in common among
+    the first n - that + 1 of each, in any order that is the same for all sets.
+    """
+    num, den = plan.num, plan.den
+    counts = _slot_counts(sets)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        values, sizes = _values(b.column(2)), pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        first, inner = sizes + 1 + (-num * sizes) // den, sizes + 1 + (-2 * num * sizes) // (num + den)
+        first[sizes == 0] = 0
+        chosen = []
+        for end, n, k in zip(ends, sizes, first, strict=True):
+            s = values[end - n : end]
+            chosen.append(s[np.argsort(counts[s & np.uint64(_SLOTS - 1)], kind="stable")[:k]])
+        row = np.repeat(np.arange(len(sizes)), first)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(first) - first, first)
+        ids, c = (pa.compute.take(b.column(i), pa.array(row)) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([_signed(np.concatenate([np.zeros(0, np.uint64), *chosen])), ids, c, pa.array(sizes[row], pa.int64()), pa.array(pos, pa.int64()), pa.array(pos < inner[row])], ["v", "id", "c", "n", "pos", "inner"])
+
+    firsts = stored(over_batches(sets.select("id", "c", "s"), batch, "v long, id long, c long, n long, pos long, inner boolean"), "firsts")
+    # of each value, rows outside its most frequent component meet all: few pairs within a component are looked at
+    top = firsts.groupBy("v", "c").agg(F.count("*").alias("k")).groupBy("v").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts"))
+    top = top.where("parts > 1").select("v", F.col("top.c").alias("top"))
+    shared = stored(firsts.join(top, "v"), "shared")
+    release(firsts)
+    one, two = (shared.select("v", "top", *(F.col(x).alias(x + side) for x in ("id", "c", "n", "pos", "inner"))) for side in "12")
+    near = f"c1 <> c2 and (c2 = top or id1 < id2) and {den} * least(n1, n2) >= {num} * greatest(n1, n2) and {num + den} * least(n1 - pos1, n2 - pos2) >= {num} * (n1 + n2)"
+    small = "if(n1 < n2 or (n1 = n2 and id1 < id2), inner1, inner2)"
+    pairs = stored(one.where("c1 <> top").join(two.drop("top"), "v").where(f"{near} and {small}").select(*_ordered("id1", "id2")).distinct(), "crossing")
+    release(shared)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document."""
     sketch = stored(sketches(docs, plan), "sketches")
@@ -218,6 +278,17 @@ def near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
             part = components(links.all())
         for done in (own, sent, open_, met):
             release(done)
+    # what the turns leave: every pair across components in larger buckets, by their full sets
+    own = stored(members.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "own")
+    open_ = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {plan.small}").select("key")
+    left = stored(own.join(open_, "key").select(F.col("rep").alias("id"), "c").distinct(), "left")
+    if not left.isEmpty():
+        pairs = crossing(links.sets.join(left, "id"), plan)
+        if links.test(pairs):
+            part = components(links.all())
+        release(pairs)
+    release(own)
+    release(left)
     whole = stored(classes.select("h1", "h2", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("found")), "whole")
     for done in (members, mixed, buckets, hubs, placed, *links.tested):
         release(done)

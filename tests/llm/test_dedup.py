@@ -64,6 +64,31 @@ def test_large_bucket_of_near_copies(spark):
     assert {x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Plan(width=2)).collect()} == {0}
 
 
+def test_pairs_within_a_family_below_the_threshold(spark):
+    """600 documents of one template at 0.789; 40 pairs in the middle of the ids share one word more (0.817)."""
+    def text(i):
+        w = [f"w{k}" for k in range(120)]
+        for k in range(7):
+            w[10 + 15 * k] = f"p{i // 2}" if k == 0 and 200 <= i < 280 else f"x{i}s{k}"
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs, Plan(width=2)).collect()}
+    assert got == {i: i - i % 2 if 200 <= i < 280 else i for i in range(600)}
+
+
+def test_crossing_pairs_hold_all_similar_ones(spark):
+    r = random.Random(8)
+    sets = []
+    for i in range(150):
+        s = set(range(60)) - set(r.sample(range(60), 4)) | {r.randrange(60, 500) for _ in range(r.randint(0, 12))}
+        sets.append((i, i % 7, sorted(s)))
+    plan = Plan()
+    got = {(x.a, x.b) for x in near_dup.crossing(spark.createDataFrame(sets, "id long, c long, s array<long>").repartition(3), plan).collect()}
+    want = {(a, b) for a, c, s in sets for b, d, t in sets if a < b and c != d and 100 * len({*s} & {*t}) >= 80 * len({*s} | {*t})}
+    assert want and want <= got and all(a % 7 != b % 7 for a, b in got)
+
+
 def test_short_keys_are_minhashes():
     plan = Plan(side=2, rows=2)
     a, b = np.arange(100, dtype=np.uint64) * np.uint64(7919), np.arange(100, dtype=np.uint64) * np.uint64(7919)

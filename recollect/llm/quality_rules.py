@@ -1,6 +1,6 @@
 """Quality rules (operator 9): fixed base rules, then cutoffs whose false rejections are bounded.
 
-A rule rejects a document whose metric lies above a cutoff. Labelled rows are dealt into two
+A rule rejects a document whose metric lies above a cutoff. All labelled rows are dealt into two
 halves by a hash of their id. The tuning half proposes cutoffs; the holdout half certifies
 them: per stratum and rule, cutoffs are tried from the laxest to the strictest, each by the
 exact (Clopper-Pearson) upper bound of its rate of false rejections, and the first that fails
@@ -18,6 +18,7 @@ input with clashing names are kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import SPACES, over_batches, table, word_hashes
+from recollect.llm.common import SPACES, over_batches, release, stored, table, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Metrics that rules cut off, as functions of the counts.
 RULES = ("symbol_rate", "repeat_rate", "dup_line_rate", "upper_rate", "shout_rate")
-#: At most so many labelled rows are used (those with the least hashes of their ids).
-MAX_LABELLED = 40_000
 _WINDOW = 8
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(_WINDOW)], np.uint64)
 
@@ -93,44 +92,78 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def certify(rows: list[tuple[str | None, int, bool, tuple[float, ...]]], alpha: float = 0.025, delta: float = 0.05, grid: int = 24) -> dict[str | None, list[float]]:
-    """Cutoffs for each stratum (infinite where none is certified). rows: stratum, label, tuning half, metrics."""
-    strata = sorted({r[0] for r in rows}, key=str)
+def within(k: int, n: int, most: float, level: float) -> bool:
+    """Whether the upper bound of k of n is at most `most`: the chance of k or fewer at that rate is no more than `level`."""
+    if k >= n * most:
+        return False
+    logs = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(most) + (n - i) * math.log1p(-most) for i in range(k + 1))
+    return math.fsum(map(math.exp, logs)) <= level
+
+
+def _settle(strata: list[str | None], cuts: dict, good: dict, above: Callable[[str | None, int, int], int], alpha: float, delta: float) -> dict[str | None, list[float]]:
+    """Fixed sequences from the laxest cutoff. cuts: by stratum and rule, rising; good: good holdouts; above: those above a cutoff, by its place."""
     level = delta / max(1, len(strata) * len(RULES))
     out = {}
     for stratum in strata:
-        tune = [r for r in rows if r[0] == stratum and r[2]]
-        good = [r[3] for r in rows if r[0] == stratum and not r[2] and r[1] == 1]
-        cuts = [math.inf] * len(RULES)
+        out[stratum] = [math.inf] * len(RULES)
         for j in range(len(RULES)):
-            # proposals lie between the values of bad rows and above what good rows show
-            top = sorted({r[3][j] for r in tune if r[1] == 0}, reverse=True)
-            proposals = [(a + b) / 2 for a, b in zip(top, top[1:], strict=False)][:: max(1, len(top) // grid)]
-            for cut in proposals:
-                if upper_bound(sum(g[j] > cut for g in good), len(good), level) > alpha / len(RULES):
+            for i, cut in reversed(list(enumerate(cuts.get((stratum, j), [])))):
+                if not within(above(stratum, j, i), good.get(stratum, 0), alpha / len(RULES), level):
                     break
-                cuts[j] = cut
-        out[stratum] = cuts
+                out[stratum][j] = cut
     return out
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, stratum: str, most: int) -> list[tuple[str | None, int, bool, tuple[float, ...]]]:
-    """The bounded sample of labelled rows, with metrics. Only their ids are broadcast."""
+def certify(rows: list[tuple[str | None, int, bool, tuple[float, ...]]], alpha: float = 0.025, delta: float = 0.05, grid: int = 24) -> dict[str | None, list[float]]:
+    """Cutoffs for each stratum (infinite where none is certified), from rows in memory: stratum, label, tuning half, metrics."""
+    strata = sorted({r[0] for r in rows}, key=str)
+    cuts, held = {}, {s: [r[3] for r in rows if r[0] == s and not r[2] and r[1] == 1] for s in strata}
+    for stratum in strata:
+        for j in range(len(RULES)):
+            # proposals lie between the values of bad rows and above what good rows show
+            top = sorted({r[3][j] for r in rows if r[0] == stratum and r[2] and r[1] == 0}, reverse=True)
+            cuts[stratum, j] = [(a + b) / 2 for a, b in zip(top, top[1:], strict=False)][:: max(1, len(top) // grid)][::-1]
+    return _settle(strata, cuts, {s: len(x) for s, x in held.items()}, lambda s, j, i: sum(g[j] > cuts[s, j][i] for g in held[s]), alpha, delta)
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """part, q, tune and metrics m of all labelled rows. Metrics come first, so that no text is shuffled and no id broadcast."""
     ids = labels.select(F.col("doc_id").alias("label_id"), "quality").dropna().groupBy("label_id").agg(F.min("quality").alias("label_quality"))
-    ids = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    chosen = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col(stratum).cast("string").alias("part")).join(F.broadcast(ids), F.col("id") == F.col("label_id"))
+
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         hashes = word_hashes()
         m = [metrics(counts(t, hashes)) for t in b.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(m, pa.list_(pa.float64()))], ["part", "q", "tune", "m"])
-
-    inputs = chosen.select("part", F.col("label_quality").cast("int").alias("q"), "body", (F.xxhash64("id", F.lit(9)) % 2 == 0).alias("tune"))
-    return [(r["part"], r["q"], r["tune"], tuple(r["m"])) for r in over_batches(inputs, batch, "part string, q int, tune boolean, m array<double>").collect()]
-
-
-def learn(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.025, delta: float = 0.05, most: int = MAX_LABELLED) -> dict[str | None, list[float]]:
-    rows = _labelled(docs, labels, stratum, most)
-    return certify(rows, alpha, delta)
+        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(m, pa.list_(pa.float64()))], ["id", "part", "m"])
+
+    inputs = docs.where("doc_id is not null").select("doc_id", F.col(stratum).cast("string").alias("part"), F.col("text").alias("body"))
+    rows = over_batches(inputs, batch, "id long, part string, m array<double>").join(ids, F.col("id") == F.col("label_id"))
+    return rows.select("part", F.col("label_quality").cast("int").alias("q"), (F.xxhash64("id", F.lit(9)) % 2 == 0).alias("tune"), "m")
+
+
+def _placed(values: DataFrame, edges: dict[tuple[str | None, int], list[float]], inside: bool) -> DataFrame:
+    """Values with `at`, how many of their stratum's and rule's edges lie below (or, with `inside`, not above) them."""
+    rows = [(part, j, e) for (part, j), e in edges.items()]
+    small = values.sparkSession.createDataFrame(rows, "edge_part string, edge_j int, edges array<double>")
+    both = values.join(F.broadcast(small), F.col("part").eqNullSafe(F.col("edge_part")) & (F.col("j") == F.col("edge_j")))
+    return both.withColumn("at", F.expr(f"size(filter(edges, e -> e {'<=' if inside else '<'} v))"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.025, delta: float = 0.05, grid: int = 48) -> dict[str | None, list[float]]:
+    """Cutoffs certified on all labelled rows. The driver gets, for each stratum and rule, `grid` proposals and counts at most."""
+    rows = stored(_labelled(docs, labels, stratum), "labelled")
+    total = {r["part"]: r["good"] for r in rows.groupBy("part").agg(F.expr("count_if(q = 1 and not tune)").alias("good")).collect()}
+    strata = sorted(total, key=str)
+    values = rows.select("part", "q", "tune", F.posexplode("m").alias("j", "v"))
+    bad = values.where("q = 0 and tune").select("part", "j", "v").distinct()
+    shares = [k / grid for k in range(1, grid + 1)]
+    tops = {(r["part"], r["j"]): sorted(set(r["tops"])) for r in bad.groupBy("part", "j").agg(F.percentile_approx("v", shares, 100_000).alias("tops")).collect()}
+    # a proposal lies between a value of bad rows and the next lower one
+    lower = {(r["part"], r["j"], r["at"]): r["v"] for r in _placed(bad, tops, True).groupBy("part", "j", "at").agg(F.max("v").alias("v")).collect()}
+    cuts = {(s, j): [(v + lower[s, j, i]) / 2 for i, v in enumerate(top) if (s, j, i) in lower] for (s, j), top in tops.items()}
+    held = _placed(values.where("q = 1 and not tune"), cuts, False).groupBy("part", "j", "at").count().collect()
+    count = {(r["part"], r["j"], r["at"]): r["count"] for r in held}
+    release(rows)
+    return _settle(strata, cuts, total, lambda s, j, i: sum(count.get((s, j, at), 0) for at in range(i + 1, len(cuts[s, j]) + 1)), alpha, delta)
 
 
 def _verdict(stratum: str | None, c: tuple[int, ...], cuts: dict[str | None, list[float]]) -> bool:

@@ -111,6 +111,21 @@ def test_cutoffs_are_certified():
     assert 0.01 < cuts["en"][0] < 0.3 and cuts["en"][1:] == [math.inf] * 4 and cuts["de"] == [math.inf] * 5
 
 
+def test_all_labels_count(spark):
+    """A language with 2,600 good labels among 60,000 is certified; a common sample of 40,000 rows leaves it too few."""
+    rare, bad = F.col("doc_id") % 20 == 0, F.col("doc_id") % 300 < 40
+    good = F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("doc_id")) for k in range(22)))
+    docs = spark.range(60_000).withColumnRenamed("id", "doc_id").select("doc_id", F.when(rare, "xx").otherwise("en").alias("lang"), F.when(bad, F.concat(good, F.expr("repeat(' ####', 1 + cast(doc_id % 7 as int))"))).otherwise(good).alias("text"))
+    cuts = quality_rules.learn(docs, docs.select("doc_id", F.when(bad, 0).otherwise(1).alias("quality")))
+    assert 0 < cuts["en"][0] < 0.2 and 0 < cuts["xx"][0] < 0.2
+
+
+def test_cutoffs_from_tables_and_rows_agree(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    rows = [(r.part, r.q, r.tune, tuple(r.m)) for r in quality_rules._labelled(docs, labels, "lang").collect()]
+    assert rows and quality_rules.learn(docs, labels, alpha=0.9, grid=2000) == quality_rules.certify(rows, alpha=0.9, grid=2000)
+
+
 def test_odd_rules(odd, none, labels):
     cuts = quality_rules.learn(odd, labels)
     rows = quality_rules.quality_rules(odd, cuts).collect()

@@ -7,16 +7,22 @@ and rows = 3, a pair of similarity 0.8 shares no table with probability 0.0015,
 0.0002, one of 0.9 with 0.000004; within a group of several copies other links make up for one.
 
 Documents with equal sets form a class and are represented by their least id, so exact copies
-never meet in a table. In the `side` tables of equally numbered keys, members of a bucket are
-compared with its least and greatest member, not with each other, which finds most links. In all
-tables, buckets that then hold several components are kept, and as long as a turn finds links,
-members of different components are compared: all of them in buckets of up to `small` members
-(a bounded number for each), in larger ones delegates of each component with those of the outer
-components, others in each turn. The turns only make components larger. Afterwards, the members
-of all larger buckets that still hold several components go through an exact join by prefixes of
-their full sets, across components: values stand in an order of rising counts, and two similar
-sets share a value among their first ones. A link is thus lost only if its two documents share
-no table and are not linked by way of others.
+never meet in a table. Candidates are then looked for in three steps, each with components known
+so far, so that a large group of near copies is one node before its inner pairs would count:
+
+1. In the `side` tables of equally numbered keys, members of a bucket meet its least and greatest
+   member, which finds most links at two pairs a member.
+2. In all tables, only buckets that still hold several components are of interest. In those of up
+   to `small` members, all pairs across components meet; in larger ones, members meet two
+   delegates of other components, picked by a mix of id and bucket.
+3. Members of larger buckets that then still hold several components go through an exact join by
+   prefixes of their full sets, across components: values stand in an order of rising counts, and
+   two similar sets share a value among their first ones.
+
+So every pair across components that shares a bucket is looked at; a link is lost only if its two
+documents share no table and are not linked by way of others. Before full sets are read, pairs are
+sieved by sizes and by a parity bitmap of 512 bits: the bits in which two bitmaps differ are at
+most as many as the values in which the sets differ, so no link is lost there.
 Every link is confirmed by the exact condition on the full sets. Components come from a
 distributed algorithm; no links, components or fingerprints reach the driver.
 
@@ -43,13 +49,15 @@ from recollect.llm.components import components
 _CHUNK = 1 << 15
 #: Counts of shingles are kept in so many slots. They only order the values; any order is exact.
 _SLOTS = 1 << 20
+#: Longs of a parity bitmap.
+_BITS = 8
 #: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Words of a shingle, the least similarity as num / den, keys on a side, minhashes of a key, the small bucket, delegates of a component in larger ones in a turn, and the least number of turns."""
+    """Words of a shingle, the least similarity as num / den, keys on a side, minhashes of a key, and the small bucket, in which all pairs meet at once."""
 
     width: int = 5
     num: int = 80
@@ -57,8 +65,6 @@ class Plan:
     side: int = 10
     rows: int = 3
     small: int = 24
-    delegates: int = 4
-    turns: int = 2
 
     def constants(self) -> tuple[np.ndarray, np.ndarray]:
         n = 2 * self.side * self.rows
@@ -98,21 +104,39 @@ def short_keys(sets: list[np.ndarray], plan: Plan) -> np.ndarray:
     return keys
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of `_BITS` longs for each set: bit k is set if an odd number of values fall on k."""
+    out = np.zeros((len(sets), 8 * _BITS), np.uint8)
+    for i, s in enumerate(sets):
+        at = ((s >> np.uint64(20)) & np.uint64(64 * _BITS - 1)).astype(np.int64)
+        out[i] = np.packbits((np.bincount(at, minlength=64 * _BITS) & 1).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _rows(a: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], _signed(np.ascontiguousarray(a).reshape(-1)))
+
+
+def _sieve(plan: Plan, n1: str, bits1: str, n2: str, bits2: str) -> str:
+    """SQL: whether sizes and bitmaps leave it open that two sets are similar."""
+    apart = " + ".join(f"bit_count({bits1}[{i}] ^ {bits2}[{i}])" for i in range(_BITS))
+    return f"{plan.den} * least({n1}, {n2}) >= {plan.num} * greatest({n1}, {n2}) and {plan.num + plan.den} * ({apart}) <= {plan.den - plan.num} * ({n1} + {n2})"
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
 def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, the size of its set, a 128-bit name of the set, and its short keys (null for an empty set)."""
+    """doc_id, the size of its set, a 128-bit name of the set, its short keys and its parity bitmap."""
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         hashes = word_hashes()
         sets = [shingles(t, plan.width, hashes) for t in b.column(1).to_pylist()]
-        keys = short_keys(sets, plan)
         name = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (3, 4)] for s in sets], np.uint64).reshape(-1, 2)
-        lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1], _signed(keys.reshape(-1)))
-        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed(name[:, 0].copy()), _signed(name[:, 1].copy()), lists], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+        columns = [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed(name[:, 0].copy()), _signed(name[:, 1].copy()), _rows(short_keys(sets, plan)), _rows(parity(sets))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "keys", "bits"])
 
-    return over_batches(docs.select("doc_id", "text"), batch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return over_batches(docs.select("doc_id", "text"), batch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>")
 
 
 def table_keys(classes: DataFrame, plan: Plan, diagonal: bool, *more: str) -> DataFrame:
@@ -124,16 +148,18 @@ def table_keys(classes: DataFrame, plan: Plan, diagonal: bool, *more: str) -> Da
 
 
 class _Links:
-    """Confirms candidate pairs on full sets, once each, and keeps the links found so far."""
+    """Sieves candidate pairs by `thin` (rep, n, bits), confirms them on full sets, and keeps the links found so far."""
 
-    def __init__(self, docs: DataFrame, plan: Plan):
-        self.docs, self.plan = docs, plan
-        self.sets: DataFrame | None = None
-        self.tested: list[DataFrame] = []
+    def __init__(self, docs: DataFrame, thin: DataFrame, plan: Plan):
+        self.docs, self.thin, self.plan = docs, thin, plan
+        self.sets: list[DataFrame] = []
         self.found: list[DataFrame] = []
 
-    def load(self, members: DataFrame) -> None:
-        """Full sets of the documents that share a bucket with others and are not there yet; nobody else's are needed."""
+    def all_sets(self) -> DataFrame:
+        return _union(self.sets)
+
+    def load(self, ids: DataFrame) -> None:
+        """Full sets of the documents in column `wanted` that are not there yet; nobody else's are needed."""
         plan = self.plan
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,35 +169,42 @@ class _Links:
             lists = pa.ListArray.from_arrays(ends, _signed(np.concatenate(sets)) if ends[-1] else pa.array([], pa.int64()))
             return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), lists], ["id", "s"])
 
-        wanted = members.select(F.col("rep").alias("wanted")).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("id"), F.col("wanted") == F.col("id"), "left_anti")
+        wanted = ids.select("wanted").distinct()
+        if self.sets:
+            wanted = wanted.join(self.all_sets().select("id"), F.col("wanted") == F.col("id"), "left_anti")
         wanted = stored(wanted, "wanted")
         few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
         chosen = self.docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("wanted"), "left_semi")
-        more = stored(over_batches(chosen, batch, "id long, s array<long>"), "sets")
-        self.sets = more if self.sets is None else self.sets.union(more)
+        self.sets.append(stored(over_batches(chosen, batch, "id long, s array<long>"), "sets"))
+        release(wanted)
 
     def test(self, pairs: DataFrame) -> bool:
-        """Confirm pairs (a < b) not tested before; True if that gave a new link."""
-        new = pairs.distinct()
-        for old in self.tested:
-            new = new.join(old, ["a", "b"], "left_anti")
-        new = stored(new, "pairs")
-        self.tested.append(new)
-        one, two = self.sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), self.sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        p, q = F.size("sa"), F.size("sb")
-        both = new.join(one, "a").join(two, "b").where((self.plan.den * F.least(p, q) >= self.plan.num * F.greatest(p, q)))
-        sized = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (p + q).cast("long").alias("total"))
-        links = stored(sized.where(self.plan.den * F.col("common") >= self.plan.num * (F.col("total") - F.col("common"))).select("a", "b").distinct(), "links")
+        """Confirm pairs a < b; True if that gave a link."""
+        plan = self.plan
+        one, two = (self.thin.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x)) for x in "ab")
+        close = pairs.distinct().join(one, "a").join(two, "b").where(_sieve(plan, "na", "bitsa", "nb", "bitsb")).select("a", "b")
+        close = stored(close.distinct(), "close")
+        self.load(close.select(F.explode(F.array("a", "b")).alias("wanted")))
+        one, two = (self.all_sets().select(F.col("id").alias(x), F.col("s").alias("s" + x)) for x in "ab")
+        sized = close.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
+        links = stored(sized.where(plan.den * F.col("common") >= plan.num * (F.col("total") - F.col("common"))).select("a", "b").distinct(), "links")
+        release(close)
         self.found.append(links)
         return not links.isEmpty()
 
-    def all(self) -> DataFrame:
-        out = self.found[0]
-        for more in self.found[1:]:
-            out = out.union(more)
-        return out
+    def components(self) -> DataFrame:
+        return components(_union(self.found))
+
+    def drop(self) -> None:
+        for done in (*self.sets, *self.found):
+            release(done)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
 def _ordered(a: str, b: str) -> list[F.Column]:
@@ -214,19 +247,20 @@ def crossing(sets: DataFrame, plan: Plan) -> DataFrame:
         for end, n, k in zip(ends, sizes, first, strict=True):
             s = values[end - n : end]
             chosen.append(s[np.argsort(counts[s & np.uint64(_SLOTS - 1)], kind="stable")[:k]])
+        maps = parity([values[end - n : end] for end, n in zip(ends, sizes, strict=True)])
         row = np.repeat(np.arange(len(sizes)), first)
         pos = np.arange(len(row)) - np.repeat(np.cumsum(first) - first, first)
         ids, c = (pa.compute.take(b.column(i), pa.array(row)) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([_signed(np.concatenate([np.zeros(0, np.uint64), *chosen])), ids, c, pa.array(sizes[row], pa.int64()), pa.array(pos, pa.int64()), pa.array(pos < inner[row])], ["v", "id", "c", "n", "pos", "inner"])
+        return pa.RecordBatch.from_arrays([_signed(np.concatenate([np.zeros(0, np.uint64), *chosen])), ids, c, pa.array(sizes[row], pa.int64()), pa.array(pos, pa.int64()), pa.array(pos < inner[row]), _rows(maps[row])], ["v", "id", "c", "n", "pos", "inner", "bits"])
 
-    firsts = stored(over_batches(sets.select("id", "c", "s"), batch, "v long, id long, c long, n long, pos long, inner boolean"), "firsts")
+    firsts = stored(over_batches(sets.select("id", "c", "s"), batch, "v long, id long, c long, n long, pos long, inner boolean, bits array<long>"), "firsts")
     # of each value, rows outside its most frequent component meet all: few pairs within a component are looked at
     top = firsts.groupBy("v", "c").agg(F.count("*").alias("k")).groupBy("v").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts"))
     top = top.where("parts > 1").select("v", F.col("top.c").alias("top"))
     shared = stored(firsts.join(top, "v"), "shared")
     release(firsts)
-    one, two = (shared.select("v", "top", *(F.col(x).alias(x + side) for x in ("id", "c", "n", "pos", "inner"))) for side in "12")
-    near = f"c1 <> c2 and (c2 = top or id1 < id2) and {den} * least(n1, n2) >= {num} * greatest(n1, n2) and {num + den} * least(n1 - pos1, n2 - pos2) >= {num} * (n1 + n2)"
+    one, two = (shared.select("v", "top", *(F.col(x).alias(x + side) for x in ("id", "c", "n", "pos", "inner", "bits"))) for side in "12")
+    near = f"c1 <> c2 and (c2 = top or id1 < id2) and {num + den} * least(n1 - pos1, n2 - pos2) >= {num} * (n1 + n2) and {_sieve(plan, 'n1', 'bits1', 'n2', 'bits2')}"
     small = "if(n1 < n2 or (n1 = n2 and id1 < id2), inner1, inner2)"
     pairs = stored(one.where("c1 <> top").join(two.drop("top"), "v").where(f"{near} and {small}").select(*_ordered("id1", "id2")).distinct(), "crossing")
     release(shared)
@@ -237,64 +271,49 @@ def near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document."""
     sketch = stored(sketches(docs, plan), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    links = _Links(docs, plan)
-    # first a few tables: buckets' ends by document. A class has a table's key once, so a bucket holds two if its least and greatest differ
+    classes = stored(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
+    links = _Links(docs, classes.select("rep", "n", "bits"), plan)
+
+    def placed(part: DataFrame, *more: str) -> DataFrame:
+        """Classes with the component that they are in so far."""
+        return classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", *more, F.coalesce("component", "rep").alias("c"))
+
+    # 1: a class has a table's key once, so a bucket holds two if its least and greatest differ
     keys = table_keys(classes, plan, True)
     buckets = stored(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi"), "buckets")
-    hubs = stored(keys.join(buckets, "key").select("rep", "lo", "hi").distinct(), "hubs")
-    links.load(hubs)
-    ends = hubs.select("rep", F.col("lo").alias("hub")).union(hubs.select("rep", F.col("hi").alias("hub"))).where("rep <> hub")
+    ends = keys.join(buckets, "key").select("rep", F.explode(F.array("lo", "hi")).alias("hub")).where("rep <> hub")
     links.test(ends.select(*_ordered("rep", "hub")))
-    part = components(links.all())
-    # then all of them, of which only buckets that hold several components are still of interest
-    placed = stored(classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "keys", F.coalesce("component", "rep").alias("c")), "placed")
-    rest = table_keys(placed, plan, False, "c")
-    mixed = stored(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    members = stored(rest.select("key", "rep").join(mixed, "key"), "members")
-    links.load(members)
-    go_on, turn = True, 0
-    while go_on or turn < plan.turns:
-        turn += 1
-        own = members.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        own = stored(own, "own")
-        # each component sends delegates to a bucket, others in each turn; partial minima leave the map side
-        chance = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(plan.delegates * turn + i)).alias("h"), F.col("rep").alias("r"))) for i in range(plan.delegates)]
-        sent = stored(own.groupBy("key", "c").agg(F.array(*(x["r"] for x in chance)).alias("who"), F.count("*").alias("n")), "sent")
-        side = F.struct("c", "who")
-        open_ = stored(sent.groupBy("key").agg(F.min(side).alias("lo"), F.max(side).alias("hi"), F.sum("n").alias("size")).where("lo.c <> hi.c"), "open")
-        pairs = None
-        if turn == 1:
-            few = own.join(open_.where(F.col("size") <= plan.small).select("key"), "key")
-            other = few.select("key", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-            pairs = few.join(other, "key").where("rep < rep2 and c <> c2").select(*_ordered("rep", "rep2"))
-        met = stored(sent.join(open_.where(F.col("size") > plan.small), "key").select("c", "who", "lo", "hi"), "met")
-        for end in ("lo", "hi"):
-            for i in range(plan.delegates):
-                more = met.where(f"c <> {end}.c").select(F.col("who")[i].alias("p"), F.col(f"{end}.who")[i].alias("q")).select(*_ordered("p", "q"))
-                pairs = more if pairs is None else pairs.union(more)
-        go_on = links.test(pairs)
-        if go_on:
-            part = components(links.all())
-        for done in (own, sent, open_, met):
-            release(done)
-    # what the turns leave: every pair across components in larger buckets, by their full sets
-    own = stored(members.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "own")
-    open_ = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {plan.small}").select("key")
-    left = stored(own.join(open_, "key").select(F.col("rep").alias("id"), "c").distinct(), "left")
+    part = links.components()
+    # 2: all tables, buckets of several components
+    own = stored(placed(part, "n", "keys"), "placed")
+    rest = table_keys(own, plan, False, "n", "c")
+    mixed = stored(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size"), "mixed")
+    members = stored(rest.join(mixed, "key"), "members")
+    few, large = members.where(F.col("size") <= plan.small), members.where(F.col("size") > plan.small)
+    other = few.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    pairs = few.join(other, "key").where(f"rep < rep2 and c <> c2 and {plan.den} * least(n, n2) >= {plan.num} * greatest(n, n2)").select(*_ordered("rep", "rep2"))
+    chance = F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "c")
+    sent = stored(large.groupBy("key").agg(F.min(chance).alias("lo"), F.max(chance).alias("hi")), "sent")
+    met = large.join(sent, "key").select("rep", "c", F.explode(F.array("lo", "hi")).alias("to")).where("c <> to.c").select("rep", F.col("to.rep").alias("hub"))
+    if links.test(pairs.union(met.select(*_ordered("rep", "hub")))):
+        part = links.components()
+    # 3: what is left of larger buckets, by full sets
+    now = large.select("key", "rep").join(placed(part), "rep")
+    open_ = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    left = stored(now.join(open_, "key").select(F.col("rep").alias("id"), "c").distinct(), "left")
     if not left.isEmpty():
-        pairs = crossing(links.sets.join(left, "id"), plan)
+        links.load(left.select(F.col("id").alias("wanted")))
+        pairs = crossing(links.all_sets().join(left, "id"), plan)
         if links.test(pairs):
-            part = components(links.all())
+            part = links.components()
         release(pairs)
-    release(own)
-    release(left)
     whole = stored(classes.select("h1", "h2", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("found")), "whole")
-    for done in (members, mixed, buckets, hubs, placed, *links.tested):
+    links.drop()
+    for done in (classes, buckets, own, mixed, members, sent, left):
         release(done)
     joined = sketch.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("found")), "doc_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    of = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("found")), "doc_id"))
+    return joined.select("doc_id", "n_shingles", of.alias("component_id"), F.coalesce(F.col("doc_id") == of, F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:

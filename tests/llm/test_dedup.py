@@ -103,6 +103,30 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_components_of_a_long_chain_take_few_steps(spark, monkeypatch, shuffled):
+    """100,000 nodes in a row: the number of tables written grows with the logarithm."""
+    from recollect.llm import components as module
+
+    names, n = [], 100_000
+    monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: names.append(name) or f(df, name))
+    ids = list(range(n))
+    if shuffled:
+        random.Random(2).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long").repartition(4)
+    assert components(links).groupBy().agg(F.min("component"), F.max("component"), F.count("*")).collect() == [(0, 0, n)]
+    assert names.count("least") <= (1 if not shuffled else 17) and names.count("up") <= 20 + 4 * names.count("least")
+
+
+def test_parity_bitmaps_differ_in_no_more_bits_than_sets():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 30, 500, 5000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 9], r.integers(0, 2**63, n // 7).astype(np.uint64)]))
+        x, y = near_dup.parity([a, b])
+        assert sum(int(v).bit_count() for v in x ^ y) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_odd_near_duplicates(odd, none):
     rows = near_dup.near_duplicates(odd, Plan(width=2)).collect()
     assert len(rows) == odd.count() and near_dup.near_duplicates(none, Plan()).count() == 0

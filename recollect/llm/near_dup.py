@@ -51,7 +51,7 @@ _CHUNK = 1 << 15
 _SLOTS = 1 << 20
 #: Longs of a parity bitmap.
 _BITS = 8
-#: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
+#: So many ids or keys (16 bytes each at most) may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
 
@@ -173,8 +173,7 @@ class _Links:
         if self.sets:
             wanted = wanted.join(self.all_sets().select("id"), F.col("wanted") == F.col("id"), "left_anti")
         wanted = stored(wanted, "wanted")
-        few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
-        chosen = self.docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("wanted"), "left_semi")
+        chosen = self.docs.select("doc_id", "text").join(_bounded(wanted), F.col("doc_id") == F.col("wanted"), "left_semi")
         self.sets.append(stored(over_batches(chosen, batch, "id long, s array<long>"), "sets"))
         release(wanted)
 
@@ -200,6 +199,11 @@ class _Links:
             release(done)
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A stored table of one or two longs a row, marked for broadcast if it has few rows."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
@@ -288,13 +292,13 @@ def near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     own = stored(placed(part, "n", "keys"), "placed")
     rest = table_keys(own, plan, False, "n", "c")
     mixed = stored(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size"), "mixed")
-    members = stored(rest.join(mixed, "key"), "members")
+    members = stored(rest.join(_bounded(mixed), "key"), "members")
     few, large = members.where(F.col("size") <= plan.small), members.where(F.col("size") > plan.small)
     other = few.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     pairs = few.join(other, "key").where(f"rep < rep2 and c <> c2 and {plan.den} * least(n, n2) >= {plan.num} * greatest(n, n2)").select(*_ordered("rep", "rep2"))
     chance = F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "c")
     sent = stored(large.groupBy("key").agg(F.min(chance).alias("lo"), F.max(chance).alias("hi")), "sent")
-    met = large.join(sent, "key").select("rep", "c", F.explode(F.array("lo", "hi")).alias("to")).where("c <> to.c").select("rep", F.col("to.rep").alias("hub"))
+    met = large.join(sent, "key").select("rep", F.explode(F.expr("filter(array(lo, hi), x -> x.c <> c)")).alias("to")).select("rep", F.col("to.rep").alias("hub"))
     if links.test(pairs.union(met.select(*_ordered("rep", "hub")))):
         part = links.components()
     # 3: what is left of larger buckets, by full sets

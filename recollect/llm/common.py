@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import functools
 import shutil
 import tempfile
 import uuid
@@ -18,16 +17,21 @@ from recollect.workers import ship
 
 #: The six characters that separate words, as the contracts define them.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of Arrow data that become Python objects at once (one row at least).
+SLICE = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine), a folder of this process
-    takes its place and the setting is filled in.
+    Where the setting is absent and all executors are threads of this process (tests on one
+    machine), a folder of this process takes its place and the setting is filled in; on a cluster
+    that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="recollect-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = "file://" + own
@@ -74,14 +78,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply `fn` to each Arrow batch; no shuffle, memory bounded by one batch."""
+    """Apply `fn` to each Arrow batch, in slices of some `SLICE` bytes; no shuffle, memory bounded by one slice's objects."""
 
     ship(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            rows = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(at, rows))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -118,9 +124,20 @@ class WordBytes(dict):
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> WordBytes:
-    """A cache of 64-bit word hashes as bytes, one for each worker; joined and read by numpy they give an array at once."""
-    return WordBytes(xxhash.xxh64_digest, 250_000)
+_held: dict[str, object] = {}
+
+
+def worker_state(name: str, make: Callable[[], object]):
+    """What this worker process keeps under `name` for all its tasks; what it kept under another name goes.
+
+    A worker outlives stages and operators, so otherwise their caches would add up.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
+def word_hashes() -> WordBytes:
+    """A cache of 64-bit word hashes as bytes; joined and read by numpy they give an array at once."""
+    return worker_state("word_hashes", lambda: WordBytes(xxhash.xxh64_digest, 120_000))

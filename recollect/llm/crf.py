@@ -2,16 +2,35 @@
 
 Tokens come in runs. Tokens that cannot be part of an entity (plain words) are fixed to the
 outside tag by the lattice, in training as in decoding, so the chain falls apart into the
-runs between them without any approximation; plain neighbours still count as features.
+runs between them; plain neighbours still count as features, whole. A token of more than `PIECE`
+characters is cut at quotes, brackets and separators and into pieces of at most `PIECE`
+characters, each a token of the chain, so the whole of it is looked at. Runs are cut after `RUN`
+tokens, which bounds the memory of one text.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 
+#: Characters of a piece, tokens of a run, tokens decoded at once.
+PIECE, RUN, AT_ONCE = 64, 4096, 1 << 15
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SEPARATORS = r"""["'`,;{}\[\]<>&|]"""
+_CUT = re.compile(rf"(?:{_SEPARATORS}|(?<=[\"'`]):)+|([^{_SEPARATORS[1:]}{{1,%d}})" % PIECE)
+
+
+class Run(NamedTuple):
+    """Tokens as [start, end) in code points, and the plain words before and after them in lower case ("": none)."""
+
+    tokens: list[tuple[int, int]]
+    before: str
+    after: str
+
 
 class LinearChainCRF:
     """Weights over string features, transitions between tags, and start and end weights."""
@@ -121,45 +140,33 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 def collapsed(word: str) -> str:
     """Shape of a word with repeats collapsed: 'AKIA12' -> 'X9', '(017)' -> '(9)'."""
     out = []
-    for c in word[:64]:
+    for c in word:
         s = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != s:
             out.append(s)
     return "".join(out)
 
 
-def active_runs(text: str, trigger, spaces: str = " \t\n\x0b\x0c\r") -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring whitespace-separated tokens that hold a match of `trigger`.
-
-    Tokens are [start, end) in code points. Every other token is plain. Linear in the text.
-    """
-    runs: list[list[tuple[int, int]]] = []
-    done, n = 0, len(text)
-    for m in trigger.finditer(text):
-        p = m.start()
-        if p < done:
-            continue
-        left = done
-        for c in spaces:
-            left = max(left, text.rfind(c, left, p) + 1)
-        right = n
-        for c in spaces:
-            if (q := text.find(c, p, right)) >= 0:
-                right = q
-        if runs and not text[runs[-1][-1][1] : left].strip(spaces) and left > runs[-1][-1][1]:
-            runs[-1].append((left, right))
-        else:
-            runs.append([(left, right)])
-        done = right
-    return runs
-
-
-def word_before(text: str, at: int, reach: int = 40) -> str:
-    """The last word that ends before `at`, lower case, looking back at most `reach` characters."""
-    parts = text[max(0, at - reach) : at].split()
-    return parts[-1].lower() if parts else ""
-
-
-def word_after(text: str, at: int, reach: int = 40) -> str:
-    parts = text[at : at + reach].split(None, 1)
-    return parts[0].lower() if parts else ""
+def _last_word(gap: str, spaces: str) -> str:
+    gap = gap.rstrip(spaces)
+    return gap[max(gap.rfind(c) for c in spaces) + 1 :].lower()
+
+
+def active_runs(text: str, active: Iterator[tuple[int, int]], spaces: str = " \t\n\x0b\x0c\r") -> list[Run]:
+    """Runs of neighbouring active tokens; `active` gives their [start, end) in rising order. Linear in the text."""
+    groups: list[tuple[int, list[tuple[int, int]]]] = []  # where the gap before begins, tokens
+    done = 0
+    for start, end in active:
+        pieces = [(start, end)] if end - start <= PIECE else [m.span() for m in _CUT.finditer(text, start, end) if m[1]]
+        near = groups and not text[done:start].strip(spaces)
+        for piece in pieces:
+            if not near or len(groups[-1][1]) >= RUN:
+                groups.append((done, []))
+                near = True
+            groups[-1][1].append(piece)
+            done = piece[1]
+    out = []
+    for at, tokens in groups:
+        after = _WORD.search(text, tokens[-1][1])
+        out.append(Run(tokens, _last_word(text[at : tokens[0][0]], spaces), after[0].lower() if after else ""))
+    return out

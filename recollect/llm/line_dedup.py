@@ -11,8 +11,8 @@ A line's key is the line without the six white space characters at both ends, A-
 case; runs hold its 128-bit hash. Texts are not shuffled until the lines to drop are known.
 
 Edge cases: a null or empty text is one empty line; the empty key is never dropped; a null
-doc_id counts as a document of its own row and keeps its row; repeated rows of an id count as
-one document for a key when both have it; an empty table gives an empty result; columns of the
+doc_id keeps its row, and rows of one text without an id count as one document, apart from any
+with an id; repeated rows of an id count as one document for a key when both have it; an empty table gives an empty result; columns of the
 input with clashing names are kept.
 """
 
@@ -102,24 +102,30 @@ def _keys(docs: DataFrame, rest: list[str]) -> DataFrame:
     return keys.select(*rest, F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
 
 
+def _owner(docs: DataFrame) -> list[Column]:
+    """What tells documents apart: the id and 0, or for rows without an id a hash of the text and 1."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.when(F.col("doc_id").isNull(), 1).otherwise(0)]
+
+
 def mark(docs: DataFrame, least: int = 10, batches: int = 4, fan: int = 4) -> tuple[DataFrame, str]:
     """`docs` with a column of the hashes of its lines to drop (null: none), and that column's name."""
-    batch, item = fresh(docs, "batch"), fresh(docs, "doc_key")
+    own, hit = _owner(docs), fresh(docs, "gone")
     # a document's lines fall into one batch; its id alone decides which
-    names = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias(item))
-    seen = stored(_keys(names, [item]).distinct().withColumn(batch, F.pmod(F.xxhash64(item), F.lit(batches)).cast("int")), "keys")
+    names = docs.select("text", own[0].alias("line_owner"), own[1].alias("line_nameless"))
+    item = ["line_owner", "line_nameless"]
+    seen = stored(_keys(names, item).distinct().withColumn("batch", F.pmod(F.xxhash64(*item), F.lit(batches)).cast("int")), "keys")
     runs = LineRuns(fan)
     for i in range(batches):
-        runs.add(seen.where(F.col(batch) == i).groupBy("h1", "h2").agg(F.count("*").alias("n")))
+        runs.add(seen.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.count("*").alias("n")))
     gone = stored(runs.frequent(least), "frequent")
     runs.drop()
-    drops = seen.join(gone, ["h1", "h2"], "left_semi").groupBy(item).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    hit = fresh(docs, "gone")
-    drops = stored(drops.select(F.col(item).alias("line_owner"), F.col("gone").alias(hit)), "drops")
+    drops = seen.join(gone, ["h1", "h2"], "left_semi").groupBy(*item).agg(F.collect_set(F.struct("h1", "h2")).alias(hit))
+    drops = stored(drops.select(*(F.col(c).alias(fresh(docs, c)) for c in item), hit), "drops")
     release(seen)
-    own = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    release(gone)
+    key = [drops[fresh(docs, c)] for c in item]
     # always dealt out by document: how much is dropped, and so whether it could be broadcast, depends on the corpus
-    return docs.join(drops.hint("merge"), own == drops["line_owner"], "left").drop(drops["line_owner"]), hit
+    return docs.join(drops.hint("merge"), (own[0] == key[0]) & (own[1] == key[1]), "left").drop(*key), hit
 
 
 def _kept_lines(hit: str) -> Column:

@@ -21,7 +21,6 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from dataclasses import dataclass
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recollect.llm.common import WordBytes, over_batches, stored, table
+from recollect.llm.common import WordBytes, over_batches, stored, table, worker_state
 
 END = 1
 
@@ -68,9 +67,9 @@ class WordTokenizer:
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.cache = WordBytes(self._word, 500_000)
-        self.parts = WordBytes(self._letters, 300_000)
-        self.signs = WordBytes(self._encode, 50_000)
+        self.cache = WordBytes(self._word, 250_000)
+        self.parts = WordBytes(self._letters, 120_000)
+        self.signs = WordBytes(self._encode, 20_000)
         # byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -96,10 +95,9 @@ class WordTokenizer:
         return b"".join(map(self.cache.__getitem__, text.lower().split()))
 
 
-@functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each worker process, so that its words serve all its tasks."""
-    return WordTokenizer(path)
+    return worker_state("tokenizer " + path, lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokens: int, path: str) -> DataFrame:

@@ -20,7 +20,6 @@ round trip differ (`round_trip` compares with that replaced).
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import math
@@ -37,7 +36,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import WordBytes, over_batches, stored, table
+from recollect.llm.common import WordBytes, over_batches, stored, table, worker_state
 
 SPACE = "▁"
 #: Bounds of the broadcast table: its words, and the characters of each.
@@ -142,10 +141,9 @@ class PieceTable:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
 
-@functools.lru_cache(maxsize=2)
 def piece_table(path: str) -> PieceTable:
     """One for each worker process."""
-    return PieceTable(path)
+    return worker_state("pieces " + path, lambda: PieceTable(path))
 
 
 def marked(text: str) -> str:

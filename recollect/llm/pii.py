@@ -3,7 +3,8 @@
 Patterns give the base spans of e-mail addresses, IP addresses, cards and telephone numbers.
 The field, trained from a small labelled table, adds spans that the patterns miss, such as
 telephone numbers without a country code. A base span is never dropped or changed; an added
-span never overlaps a base span.
+span never overlaps a base span. Tokens that hold neither a digit nor `@` are plain: their tag is
+fixed to outside, so spelled-out forms ("name at host dot com") are never found.
 
 Edge cases: a null text counts as empty and gives no spans; a null doc_id stays null; repeated
 rows each give their own row; an empty table gives an empty result; other columns are not read.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.common import over_batches, table
-from recollect.llm.crf import LinearChainCRF, active_runs, collapsed, word_after, word_before
+from recollect.llm.crf import AT_ONCE, LinearChainCRF, Run, active_runs, collapsed
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -29,7 +30,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: Whole tokens with a digit or @; only token starts are tried, so the scan is linear.
+_ACTIVE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'<[{,;:!?|*", "\"'>]},;:!?.|*"
 WIDTH = 12
 
@@ -74,20 +76,23 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
+def _runs(text: str) -> list[Run]:
+    return active_runs(text, (m.span() for m in _ACTIVE.finditer(text)))
+
+
+def _features(text: str, run: Run) -> list[list[str]]:
     """Word shape features of each token and of its neighbours."""
-    words = [text[s:e] for s, e in run]
+    words = [text[s:e] for s, e in run.tokens]
     shapes = [collapsed(w) for w in words]
-    before, after = word_before(text, run[0][0]), word_after(text, run[-1][1])
     out = []
     for i, w in enumerate(words):
-        digits = "".join(c for c in w[:80] if "0" <= c <= "9")
-        left, right = (words[i - 1].lower() if i else before), (words[i + 1].lower() if i + 1 < len(words) else after)
+        digits = "".join(c for c in w if "0" <= c <= "9")
+        left, right = (words[i - 1].lower() if i else run.before), (words[i + 1].lower() if i + 1 < len(words) else run.after)
         out.append([
-            "s=" + shapes[i], f"n={min(len(digits), 20)}", f"l={min(len(w), 24) // 3}", "p=" + left.strip(".,:;()")[:16], "q=" + right.strip(".,:;()")[:16],
+            "s=" + shapes[i], f"n={min(len(digits), 20)}", f"l={min(len(w), 24) // 3}", "p=" + left.strip(".,:;()"), "q=" + right.strip(".,:;()"),
             "ps=" + (shapes[i - 1] if i else "-"), "ns=" + (shapes[i + 1] if i + 1 < len(words) else "-"),
             f"a={'@' in w}{w[:1] == '('}{'.' in w}{'-' in w}{w[:1] == '+'}", f"k={13 <= len(digits) <= 19}{13 <= len(digits) <= 19 and luhn(digits)}",
-            f"g={max(map(len, re.findall('[A-Za-z]+', w[:80])), default=0) > 1}", f"pn={min(sum(c.isdigit() for c in words[i - 1]), 9) if i else '-'}", "b",
+            f"g={max(map(len, re.findall('[A-Za-z]+', w)), default=0) > 1}", f"pn={min(sum(c.isdigit() for c in words[i - 1]), 9) if i else '-'}", "b",
         ])
     return out
 
@@ -113,7 +118,7 @@ def labelled_table(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[s
         if kind == "card":
             c = card()
             return r.choice(["card", "visa", "pay", "number", "the"]), kind, r.choice([c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), "-".join(c[i : i + 4] for i in range(0, 16, 4)), ".".join(c[i : i + 4] for i in range(0, 16, 4))])
-        body = r.choice([f"({d(3)}) 555-{d(4)}", f"{d(3)}-555-{d(4)}", f"{d(3)}.555.{d(4)}", f"({d(3)}) {d(3)}-{d(4)}"])
+        body = r.choice([f"({d(3)}) 555-{d(4)}", f"{d(3)}-555-{d(4)}", f"{d(3)}.555.{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}){d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"])
         return r.choice(["call", "phone", "tel", "fax", "the"]), kind, r.choice(["", "+1 ", "+49 "]) + body
 
     def other() -> str:
@@ -139,9 +144,9 @@ def labelled_table(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[s
 def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None) -> LinearChainCRF:
     runs, tags = [], []
     for text, spans in labelled_table() if rows is None else rows:
-        for run in active_runs(text, _TRIGGER):
+        for run in _runs(text):
             own = []
-            for s, e in run:
+            for s, e in run.tokens:
                 hit = next(((k, a) for k, a, b in spans if a < e and s < b), None)
                 own.append("O" if hit is None else ("B-" if s <= hit[1] else "I-") + hit[0])
             runs.append(_features(text, run))
@@ -171,17 +176,26 @@ def _added(text: str, run: list[tuple[int, int]], tags, taken: list[tuple[int, i
 
 
 def find(texts: list[str], model: LinearChainCRF) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]]:
-    """For each text its base spans and the spans that the field adds."""
-    bases, runs, owner = [], [], []
-    for i, text in enumerate(texts):
-        bases.append(base_spans(text))
-        for run in active_runs(text, _TRIGGER):
-            runs.append(run)
-            owner.append(i)
+    """For each text its base spans and the spans that the field adds; a bounded number of tokens is decoded at once."""
+    bases = [base_spans(text) for text in texts]
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for run, i, tags in zip(runs, owner, model.decode([_features(texts[i], r) for r, i in zip(runs, owner, strict=True)]), strict=True):
-        if tags.any():
-            added[i] += _added(texts[i], run, tags, [x for spans in bases[i].values() for x in spans])
+    waiting: list[tuple[int, Run]] = []
+
+    def decode() -> None:
+        for (i, run), tags in zip(waiting, model.decode([_features(texts[i], run) for i, run in waiting]), strict=True):
+            if tags.any():
+                added[i] += _added(texts[i], run.tokens, tags, [x for spans in bases[i].values() for x in spans])
+        waiting.clear()
+
+    tokens = 0
+    for i, text in enumerate(texts):
+        for run in _runs(text):
+            waiting.append((i, run))
+            tokens += len(run.tokens)
+            if tokens >= AT_ONCE:
+                decode()
+                tokens = 0
+    decode()
     return list(zip(bases, added, strict=True))
 
 

@@ -33,14 +33,42 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.97
 
 
+def test_batch_scores_are_those_of_single_texts(monkeypatch):
+    r = np.random.default_rng(3)
+    model = language_id.NaiveBayes(["a", "b", "c"], r.normal(size=(language_id.BUCKETS, 3)).astype(np.float32), np.log([0.5, 0.25, 0.25]))
+    texts = ["a", "ab", "İstanbul", "x" * 70, "abc déf", "日本語 text", "q", "long " * 40]
+    plain = [model.prior + sum(model.logs[g].sum(0, dtype=np.float64) for g in language_id.grams(t)) for t in texts]
+    for piece in (1 << 16, 64, 8):
+        monkeypatch.setattr(language_id, "_PIECE", piece)
+        assert np.allclose(model.sums(texts), plain, atol=1e-3)
+
+
+def test_bayes_training_against_a_plain_count(spark):
+    """Counts, log probabilities and priors of a small table; held-out rows and null languages are not learnt from."""
+    import zlib
+    from collections import Counter
+
+    rows = [(i, ["xx", "yy", None][i % 3], f"Text {i} abc " * (i % 4 + 1)) for i in range(40)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3))
+    used = [(lang, t) for i, lang, t in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = Counter(lang for lang, _ in used)
+    assert model.langs == ["xx", "yy"] and np.allclose(model.prior, np.log([docs[x] / len(used) for x in model.langs]))
+    for k, lang in enumerate(model.langs):
+        n = np.full(language_id.BUCKETS, 0.5)
+        for other, t in used:
+            for g in language_id.grams(t) if other == lang else ():
+                np.add.at(n, g, 1)
+        assert np.allclose(model.logs[:-1, k], np.log(n / n.sum()), atol=1e-4)
+
+
 def test_bayes_against_a_plain_count():
     logs = np.log(np.random.default_rng(1).dirichlet(np.ones(language_id.BUCKETS), 2).T.astype(np.float64)).astype(np.float32)
     model = language_id.NaiveBayes(["a", "b"], logs, np.log([0.5, 0.5]))
     text = "Hello été"
     s = [sum(float(logs[i, k]) for g in language_id.grams(text) for i in g) for k in range(2)]
-    lang, score = model.predict(text)
+    (lang, score), *rest = model.predict([text, "12 !", None])
     assert lang == "ab"[int(s[1] > s[0])] and abs(score - 1 / (1 + math.exp(-abs(s[0] - s[1])))) < 1e-6
-    assert model.predict("12 !") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
+    assert rest == [("und", 0.0)] * 2
 
 
 def test_grams_do_not_depend_on_pieces(monkeypatch):

@@ -13,8 +13,8 @@ so far, so that a large group of near copies is one node before its inner pairs
 1. In the `side` tables of equally numbered keys, members of a bucket meet its least and greatest
    member, which finds most links at two pairs a member.
 2. In all tables, only buckets that still hold several components are of interest. In those of up
-   to `small` members, all pairs across components meet; in larger ones, members meet two
-   delegates of other components, picked by a mix of id and bucket.
+   to `small` members, all pairs across components meet; in larger ones, members outside the most
+   frequent component meet two delegates of it, picked by a mix of id and bucket.
 3. Members of larger buckets that then still hold several components go through an exact join by
    prefixes of their full sets, across components: values stand in an order of rising counts, and
    two similar sets share a value among their first ones.
@@ -294,11 +294,13 @@ def near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     mixed = stored(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size"), "mixed")
     members = stored(rest.join(_bounded(mixed), "key"), "members")
     few, large = members.where(F.col("size") <= plan.small), members.where(F.col("size") > plan.small)
-    other = few.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    pairs = few.join(other, "key").where(f"rep < rep2 and c <> c2 and {plan.den} * least(n, n2) >= {plan.num} * greatest(n, n2)").select(*_ordered("rep", "rep2"))
-    chance = F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "c")
-    sent = stored(large.groupBy("key").agg(F.min(chance).alias("lo"), F.max(chance).alias("hi")), "sent")
-    met = large.join(sent, "key").select("rep", F.explode(F.expr("filter(array(lo, hi), x -> x.c <> c)")).alias("to")).select("rep", F.col("to.rep").alias("hub"))
+    few = stored(few.select("key", "rep", "c").join(links.thin, "rep"), "few")
+    other = few.select("key", *(F.col(x).alias(x + "2") for x in ("rep", "c", "n", "bits")))
+    pairs = few.join(other, "key").where(f"rep < rep2 and c <> c2 and {_sieve(plan, 'n', 'bits', 'n2', 'bits2')}").select(*_ordered("rep", "rep2"))
+    chance = F.struct(F.xxhash64("rep", "key").alias("h"), "rep")
+    each = large.groupBy("key", "c").agg(F.count("*").alias("k"), F.min(chance).alias("lo"), F.max(chance).alias("hi"))
+    sent = stored(each.groupBy("key").agg(F.max(F.struct("k", "c", "lo", "hi")).alias("top")).select("key", F.col("top.c").alias("top"), F.array("top.lo.rep", "top.hi.rep").alias("hubs")), "sent")
+    met = large.join(sent, "key").where("c <> top").select("rep", F.explode("hubs").alias("hub"))
     if links.test(pairs.union(met.select(*_ordered("rep", "hub")))):
         part = links.components()
     # 3: what is left of larger buckets, by full sets
@@ -313,7 +315,7 @@ def near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
         release(pairs)
     whole = stored(classes.select("h1", "h2", "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("found")), "whole")
     links.drop()
-    for done in (classes, buckets, own, mixed, members, sent, left):
+    for done in (classes, buckets, own, mixed, members, few, sent, left):
         release(done)
     joined = sketch.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2"], "left")
     of = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("found")), "doc_id"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions import ids
 from recollect.functions import text as T
-from recollect.operators import candidates, chunking, context, embedding, lifecycle, refresh, reports, retrieval
-from recollect.schemas import CHUNK_CHARS, JUDGMENTS, SESSION_CHUNK_CHARS, TABLES, TASK_TYPES
+from recollect.operators import candidates, chunking, context, embedding, entries, lifecycle, refresh, reports, retrieval, vector_store
+from recollect.schemas import CHUNK_CHARS, JUDGMENTS, MEMORY_STATUSES, RECORD, SESSION_CHUNK_CHARS, STABILITY_SECONDS, TABLES, TASK_TYPES
 from recollect.sources import files, manifest, store
 from recollect.sources.store import Store
 
@@ -23,8 +25,9 @@ def _now(at: datetime | None):
 class MemoryEngine:
     """Times can be given as `at` to make runs repeatable."""
 
-    def __init__(self, spark: SparkSession, root: str, vectors: bool = True):
-        self.spark, self.store, self.vectors = spark, Store(spark, root), vectors
+    def __init__(self, spark: SparkSession, root: str, vectors: bool = True, embedder: vector_store.Embedder | None = None):
+        """embedder: takes the place of the built-in hashing one for chunks and queries."""
+        self.spark, self.store, self.vectors, self.embedder = spark, Store(spark, root), vectors, embedder
 
     def init(self) -> None:
         self.store.init()
@@ -44,6 +47,8 @@ class MemoryEngine:
         return (rows.where(F.col("status") == status) if status else rows).orderBy("created_at", "id")
 
     def set_status(self, memory_id: str, status: str, at: datetime | None = None) -> None:
+        if status not in MEMORY_STATUSES:
+            raise ValueError(f"status must be one of {', '.join(MEMORY_STATUSES)}")
         rows = self._t("memory_nodes")
         new = lifecycle.set_status(rows, memory_id, status, _now(at))
         if rows.where(F.col("id") == memory_id).isEmpty():
@@ -52,11 +57,21 @@ class MemoryEngine:
 
     # indexing
 
-    def index_records(self, records: DataFrame, at: datetime | None = None) -> int:
-        """Chunk, embed and store ingestion records (RECORD columns); each record is a document. Returns the version."""
-        now = _now(at)
-        path = ids.exchange_path("source_path", "exchange_index") if "exchange_index" in records.columns else F.col("source_path")
-        docs = records.select(ids.document_id(path).alias("id"), F.lit("default").alias("project_id"), path.alias("path"), T.basename(T.physical_path("source_path")).alias("filename"), ids.content_hash("text").alias("content_hash"), now.alias("last_indexed_at"), now.alias("created_at"), now.alias("updated_at"), "text", "source_type").dropDuplicates(["id"])
+    def _indexed(self, records: DataFrame, now, preamble: bool) -> dict[str, DataFrame]:
+        """The tables of documents and chunks with ingestion records (RECORD columns) taken in; each record is a document."""
+        columns = {c: F.col(c) for c in records.columns}
+        path = ids.exchange_path("source_path", "exchange_index") if "exchange_index" in columns else F.col("source_path")
+        text = F.col("text")
+        if preamble:
+            fields = {k: columns[k] for k in ("project", "source_type", "source_tool", "source_path", "session_id", "created_at", "privacy_scope", "exchange_index", "session_line_count") if k in columns}
+            if "last_modified" in columns:
+                fields["last_modified"] = F.date_format("last_modified", "yyyy-MM-dd'T'HH:mm:ssXXX")
+            if "is_compaction" in columns:
+                fields["is_compaction"] = F.when(F.col("is_compaction"), F.lit(True))
+            text = T.with_preamble("text", fields)
+        docs = records.select(ids.document_id(path).alias("id"), F.lit("default").alias("project_id"), path.alias("path"), T.basename(T.physical_path("source_path")).alias("filename"), ids.content_hash("text").alias("content_hash"), now.alias("last_indexed_at"), now.alias("created_at"), now.alias("updated_at"), text.alias("text"), "source_type")
+        # of several records of one document, the one of the greatest hash counts, in every run
+        docs = docs.groupBy("id").agg(F.max_by(F.struct(*(c for c in docs.columns if c != "id")), "content_hash").alias("r")).select("id", "r.*")
         parts = None
         for kind, size in (("agent_session", SESSION_CHUNK_CHARS), (None, CHUNK_CHARS)):
             own = docs.where(F.col("source_type") == kind) if kind else docs.where(~F.col("source_type").eqNullSafe("agent_session"))
@@ -64,20 +79,28 @@ class MemoryEngine:
             parts = cut if parts is None else parts.unionByName(cut)
         rows = parts.withColumnRenamed("id", "document_id").withColumn("id", ids.chunk_id("document_id", "chunk_index")).withColumn("vector_point_id", ids.vector_point_id("id"))
         none = F.lit(None).cast("array<double>")
-        if self.vectors:
+        if self.embedder is not None:
+            embed = vector_store.register(self.spark, self.embedder)
+            rows = rows.withColumn("embedding", embed("content")).withColumn("embedding_model", F.lit(self.embedder.name))
+        elif self.vectors:
             v = embedding.embed(rows.select("id", "content")).withColumnRenamed("id", "v_id")
             rows = rows.join(v, F.col("id") == F.col("v_id"), "left").withColumn("embedding_model", F.lit("hashing"))
         else:
             rows = rows.withColumn("embedding", none).withColumn("embedding_model", F.lit(None).cast("string"))
         rows = rows.withColumn("created_at", now).withColumn("updated_at", now)
         names = [f.strip().split(" ")[0] for f in TABLES["chunks"].split(", ")]
-        new_chunks = refresh.replace_chunks(self._t("chunks"), rows.select(*names))
-        new_docs = refresh.upsert(self._t("documents"), docs.drop("text", "source_type"), "id")
-        return self.store.publish({"documents": new_docs, "chunks": new_chunks})
+        new_docs = docs.drop("text", "source_type")
+        # a document whose new text gives no chunks loses its old ones, too
+        old = self._t("chunks").join(new_docs.select(F.col("id").alias("n_doc")), F.col("document_id") == F.col("n_doc"), "left_anti")
+        return {"documents": refresh.upsert(self._t("documents"), new_docs, "id"), "chunks": old.unionByName(rows.select(*names))}
+
+    def index_records(self, records: DataFrame, at: datetime | None = None, preamble: bool = True) -> int:
+        """Chunk, embed and store ingestion records, each with a line of metadata before its text. Returns the version."""
+        return self.store.publish(self._indexed(records, _now(at), preamble))
 
     def index(self, path: str, at: datetime | None = None) -> int:
         rows = files.scan_project(self.spark, path).select(F.col("path").alias("source_path"), "text", F.lit("project_docs").alias("source_type"))
-        return self.index_records(rows, at)
+        return self.index_records(rows, at, preamble=False)
 
     def ingest(self, manifest_path: str, project_root: str, dry_run: bool = False, at: datetime | None = None) -> list[dict[str, str]]:
         records, report = manifest.ingest(self.spark, manifest.load_manifest(manifest_path), project_root)
@@ -85,16 +108,94 @@ class MemoryEngine:
             self.index_records(records, at)
         return report
 
+    def _applied(self, done: DataFrame, records: DataFrame, ledger: DataFrame, now) -> dict[str, DataFrame]:
+        """The tables after new and modified sources of a classified listing are indexed. records has a source_id."""
+        todo = done.where("action in ('new', 'modified')").select(F.col("source_id").alias("t_id"))
+        own = records.join(todo, F.col("source_id") == F.col("t_id"), "left_semi")
+        tables = self._indexed(own, now, True)
+        path = ids.exchange_path("source_path", "exchange_index") if "exchange_index" in records.columns else F.col("source_path")
+        documents = own.select("source_id", ids.document_id(path).alias("c_doc")).distinct()
+        counts = documents.join(tables["chunks"].groupBy("document_id").agg(F.count("*").alias("chunk_count")), F.col("c_doc") == F.col("document_id"), "left").groupBy("source_id").agg(F.sum("chunk_count").alias("chunk_count"))
+        after = refresh.touched(done, refresh.ledger_after(done, ledger, now, chunk_counts=counts))
+        if "project" in records.columns:
+            names = records.groupBy(F.col("source_id").alias("p_id")).agg(F.max("project").alias("p_name"))
+            after = after.join(names, F.col("source_id") == F.col("p_id"), "left").withColumn("project_name", F.coalesce("project_name", "p_name")).drop("p_id", "p_name")
+        return tables | {"source_ledger": after}
+
     def refresh(self, listing: DataFrame, records: DataFrame, at: datetime | None = None, dry_run: bool = True) -> DataFrame:
-        """Classify a listing against the ledger; unless dry, index the new and modified sources and update the ledger."""
-        now = _now(at)
+        """Classify a listing against the ledger; unless dry, index the new and modified sources and update the ledger, all in one version."""
+        now, base = _now(at), self.store.current()
         done = refresh.classify(listing, self._t("source_ledger"), now)
         if not dry_run:
-            todo = done.where("action in ('new', 'modified')").select(F.col("source_id").alias("t_id"))
-            self.index_records(records.join(todo, F.col("source_id") == F.col("t_id"), "left_semi"), at)
-            self.store.publish({"source_ledger": refresh.ledger_after(done, self._t("source_ledger"), now)})
+            self.store.publish(self._applied(done, records, self._t("source_ledger"), now), base)
         return done
 
+    def global_refresh(self, catalog: DataFrame, at: datetime | None = None, dry_run: bool = True, seconds: int = STABILITY_SECONDS) -> DataFrame:
+        """Walk the catalog's confirmed entries and bring store and ledger up to date, in one version.
+
+        Returns one row for each entry that is not walked and each source found or gone, with its
+        action. What a run reads is written below <store>/runs once and serves all its steps. An
+        entry that cannot be read becomes an error; its earlier documents and the other entries
+        stay as they are.
+        """
+        now, base = _now(at), self.store.current()
+        rows = catalog.where("confirmation_status = 'confirmed'").collect()  # a configuration, not data
+        present = self.spark.createDataFrame([(r["path_or_alias"],) for r in rows if r["path_or_alias"] and files.exists(self.spark, r["path_or_alias"])], "path string")
+        plan = entries.dispatch(catalog, present)
+        actions = {r["id"]: r["action"] for r in plan.collect()}
+        found, failed, run = [], [], f"{self.store.root}/runs/{uuid.uuid4().hex}"
+        for i, r in enumerate(x for x in rows if actions.get(x["id"]) == "walk"):
+            name = r["project_name"] or os.path.basename(r["path_or_alias"].replace("\\", "/").rstrip("/"))
+            tool = (r["discovered_from"] or ["global-refresh"])[0]
+            try:
+                own = manifest.PARSERS[entries.PARSED_AS[r["source_type"]]](self.spark, r["path_or_alias"], name, tool, r["privacy_scope"] or "local_only")
+                own.write.parquet(f"{run}/{i}")
+                found.append((r["path_or_alias"], self.spark.read.schema(own.schema).parquet(f"{run}/{i}")))
+            except Exception as e:  # one entry's failure is its own
+                failed.append((r["id"], f"{type(e).__name__}: {e}"[:200]))
+        if failed:
+            errors = self.spark.createDataFrame(failed, "f_id string, f_text string")
+            plan = plan.join(F.broadcast(errors), F.col("id") == F.col("f_id"), "left").select("id", "path_or_alias", "source_type", F.when(F.col("f_id").isNotNull(), "error").otherwise(F.col("action")).alias("action"), F.coalesce("f_text", "reason").alias("reason"))
+        records = self.spark.createDataFrame([], RECORD)
+        for _, own in found:
+            records = records.unionByName(own, allowMissingColumns=True)
+        path = ids.exchange_path("source_path", "exchange_index")
+        records = records.withColumn("source_id", ids.source_id(F.col("source_type"), path))
+        listing = records.select("source_id", path.alias("source_path"), "source_type", ids.content_hash("text").alias("content_hash"), F.col("last_modified").alias("modified")).dropDuplicates(["source_id"])
+        ledger = self._t("source_ledger")
+        gone = [r["path_or_alias"] for r in rows if actions.get(r["id"]) == "missing"]
+        seen = ledger.join(listing.select(F.col("source_id").alias("l_id")), F.col("source_id") == F.col("l_id"), "left_semi")
+        physical = listing.select(T.physical_path("source_path").alias("f_path")).distinct()
+        lost = ledger.where(entries.inside_any(T.physical_path(files.plain("source_path_or_alias")), [*(files.plain_text(p) for p, _ in found), *gone])).join(seen.select(F.col("source_id").alias("k_id")), F.col("source_id") == F.col("k_id"), "left_anti")
+        lost = lost.join(physical, T.physical_path("source_path_or_alias") == F.col("f_path"), "left_anti")  # the file itself is gone, not just a part of it
+        done = refresh.classify(listing, seen.unionByName(lost), now, seconds)
+        if not dry_run:
+            tables = self._applied(done, records, ledger, now)
+            tables["source_ledger"] = refresh.upsert(tables["source_ledger"], entries.ledger_rows(plan, catalog, now), "source_id")
+            self.store.publish(tables, base)
+        return done.unionByName(entries.as_actions(plan))
+
+    def refresh_report(self, actions: DataFrame) -> DataFrame:
+        """One row of counters over the actions of a refresh."""
+        n = lambda a: F.count_if(F.col("action") == a).alias(f"n_{a}")
+        return actions.agg(F.count("*").alias("total"), *(n(a) for a in ("new", "modified", "unchanged", "missing", "skipped", "error")))
+
+    # plain texts and lookups
+
+    def add_text(self, text: str, metadata: dict | None = None, at: datetime | None = None) -> DataFrame:
+        """Append to the plain text table; ids count up from 1."""
+        base = self.store.current()
+        row = store.legacy_text(self._t("memories"), text, metadata, _now(at))
+        self.store.publish({"memories": self._t("memories").unionByName(row)}, base)
+        return self._t("memories").orderBy(F.desc("id")).limit(1)
+
+    def memory_by_hash(self, content: str) -> DataFrame:
+        """The oldest memory of this content, if there is one."""
+        return self._t("memory_nodes").where(F.col("content_hash") == hashlib.sha256(content.encode()).hexdigest()).orderBy("created_at", "id").limit(1)
+
+    def ledger_row(self, source_id: str) -> DataFrame:
+        return self._t("source_ledger").where(F.col("source_id") == source_id)
+
     # search
 
     def search(self, query: str, top_k: int = 5, at: datetime | None = None, log: bool = True) -> DataFrame:
@@ -102,7 +203,7 @@ class MemoryEngine:
         retrieval.check_top_k(top_k)
         if not retrieval.query_terms(query):
             return retrieval.project_search(self._t("chunks"), self._t("documents"), None, self._t("memory_nodes"), query, top_k)
-        vector = embedding.embed_text(query) if self.vectors else None
+        vector = self.embedder.embed([query])[0] if self.embedder is not None else embedding.embed_text(query) if self.vectors else None
         hits = retrieval.project_search(self._t("chunks"), self._t("documents"), self._t("source_ledger"), self._t("memory_nodes"), query, top_k, vector)
         if log:
             self._log(hits, query, top_k, _now(at))
@@ -137,6 +238,23 @@ class MemoryEngine:
     def readiness(self, catalog: DataFrame, at: datetime | None = None) -> DataFrame:
         return reports.readiness(self._t("source_ledger"), catalog, _now(at))
 
+    def auto_status(self, catalog: DataFrame, at: datetime | None = None) -> dict[str, DataFrame]:
+        """Everything on one page: counts, readiness, expected skips, their reasons, unstable files, passing and stale ones, candidates."""
+        ledger, now = self._t("source_ledger"), _now(at)
+        found = candidates.candidates(self._t("chunks"), self._t("documents"), ledger)
+        return {
+            "status": self.status(catalog), "readiness": self.readiness(catalog, at), "skips": reports.skip_split(ledger), "reasons": reports.skip_reasons(ledger), "unstable": reports.unstable_files(ledger, now),
+            "freshness": reports.freshness_split(ledger, now), "candidates": candidates.telemetry(found, candidates.blocklist(self._t("memory_nodes"))),
+        }
+
+    def cleanup(self, catalog: DataFrame, dry_run: bool = True, at: datetime | None = None) -> DataFrame:
+        """What the health report would do to the ledger; unless dry, it is done."""
+        base = self.store.current()
+        actions = reports.cleanup_actions(self._t("source_ledger"), catalog)
+        if not dry_run:
+            self.store.publish({"source_ledger": reports.apply_cleanup(self._t("source_ledger"), actions, _now(at))}, base)
+        return actions
+
     def project_context(self, catalog: DataFrame, project: str, limit: int = 20) -> dict[str, DataFrame]:
         if not project.strip():
             raise ValueError("project cannot be empty")

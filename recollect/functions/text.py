@@ -96,6 +96,20 @@ def strip_preamble_context(x: Column | str, marker: str = METADATA_MARKER) -> Co
     return F.when(F.startswith(_c(x), F.lit(marker)), F.when(F.size(parts) > 1, strip(F.element_at(parts, -1))).otherwise(F.lit(""))).otherwise(_c(x))
 
 
+def with_preamble(text: Column | str, fields: dict[str, Column], marker: str = METADATA_MARKER) -> Column:
+    """The text after a line of metadata: a JSON object with sorted keys, without null and empty values.
+
+    A null text counts as empty; without any value the object is {}.
+    """
+    parts = []
+    for key in sorted(fields):
+        value = fields[key]
+        written = F.to_json(F.array(value))  # as JSON inside brackets, whatever the type
+        parts.append(F.when(value.isNotNull() & (value.cast("string") != ""), F.concat(F.lit(f'"{key}": '), F.substring(written, F.lit(2), F.length(written) - 2))))
+    body = F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ", ")
+    return F.concat(F.lit(marker + " {"), body, F.lit("}\n\n"), F.coalesce(_c(text), F.lit("")))
+
+
 def basename(x: Column | str) -> Column:
     """The last segment of a path with either separator."""
     clean = F.rtrim(F.regexp_replace(strip(x), r"\\", "/"), F.lit("/"))

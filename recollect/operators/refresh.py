@@ -113,6 +113,13 @@ def ledger_after(classified: DataFrame, ledger: DataFrame, now: Column, errors:
     )
 
 
+def touched(classified: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The ledger with the file times of unchanged sources, so that the next run need not read them again."""
+    times = classified.where("action = 'unchanged'").select(F.col("source_id").alias("u_id"), F.col("modified").alias("u_time"))
+    rows = ledger.join(times, F.col("source_id") == F.col("u_id"), "left")
+    return rows.select(*(F.coalesce("u_time", c).alias(c) if c == "last_modified_at" else F.col(c) for c in ledger.columns))
+
+
 def counters(classified: DataFrame) -> DataFrame:
     """One row: how many sources each action has."""
     n = lambda a: F.coalesce(F.sum(F.when(F.col("action") == a, 1).otherwise(0)), F.lit(0)).cast("long")

@@ -12,6 +12,7 @@ from recollect.functions import text as T
 from recollect.operators import catalog as K
 from recollect.operators import context as X
 from recollect.operators import discovery as D
+from recollect.operators import entries as N
 from recollect.plans import fixtures as fx
 from recollect.plans import sql as S
 from recollect.streaming import streams
@@ -177,6 +178,20 @@ def stream_exchanges(spark: SparkSession, d: str) -> DataFrame:
 
 _MIXED = f"with mx as (select doc_id, {_MIX_SQL} as t, concat('root', doc_id % 6) as label from documents)"
 _HOST_ROWS = ", h as (select doc_id, label, unnest(['host-' || (doc_id % 9) || '.example.com', 'db' || (doc_id % 4) || '.internal']) as host from mx)"
+def entry_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog with entries of unknown types and foreign paths beside it; roots and Markdown files of even length are there."""
+    catalog = fx.catalog(spark, d).withColumn("path_or_alias", F.expr("case when source_type = 'document' and length(path_or_alias) % 5 = 0 then concat('C:\\\\', path_or_alias) else path_or_alias end"))
+    catalog = catalog.withColumn("source_type", F.expr("case when source_type = 'project_root' and project_name like '%7' then 'mailbox' else source_type end"))
+    present = catalog.where("source_type in ('project_root', 'document') and length(path_or_alias) % 2 = 0").select(F.col("path_or_alias").alias("path"))
+    return N.dispatch(catalog, present).select("id", "action", "reason")
+
+
+def metadata_preamble(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.load(spark, d, "documents")
+    fields = {"project": F.col("source"), "source_type": F.col("lang"), "source_path": F.expr("concat('/srv/\"q\" ', source)"), "session_id": F.expr("case when n_chars % 2 = 0 then '' else lang end"), "exchange_index": F.expr("case when n_chars % 3 = 0 then n_chars end"), "is_compaction": F.expr("case when n_chars % 5 = 0 then true end")}
+    return docs.select("doc_id", T.with_preamble("text", fields).alias("t")).select("doc_id", F.substring_index("t", "\n\n", 1).alias("line"), F.sha2("t", 256).alias("digest"))
+
+
 _DOCS_OF = """, own as (select source_path_or_alias as p from m_ledger where starts_with(source_path_or_alias, '/srv/src5/') {more})
 , dd as (select *, case when project_id = 'src5' or starts_with(path, '/srv/src5/') then 0 else 1 end as origin from m_documents where project_id = 'src5' or starts_with(path, '/srv/src5/') or path in (select p from own))"""
 _CONTEXT_BODY = "case when starts_with(content, 'INGESTION_METADATA') then case when contains(content, chr(10) || chr(10)) then {strip} else '' end else content end".format(strip=S.strip(r"case when len(string_split(content, chr(10) || chr(10))) = 2 then string_split(content, chr(10) || chr(10))[2] else array_to_string(list_slice(string_split(content, chr(10) || chr(10)), 3, 100000), chr(10) || chr(10)) end"))
@@ -213,6 +228,17 @@ select key, arg_min(name, pos) as host, string_agg(label, ',' order by pos, labe
     "section_limits": (section_limits, S.model("select section, path, cast(position as int) as position from (select source_type as section, path_or_alias as path, row_number() over (partition by source_type order by confidence desc, lower(path_or_alias), path_or_alias) as position from m_catalog) where position <= 7")),
     "document_projects": (document_projects, "select doc_id, case when doc_id % 2 = 0 then case doc_id % 3 when 0 then 'app' || (doc_id % 5) when 1 then 'lib' || (doc_id % 5) else '..' || (doc_id % 5) end end as project from documents"),
     "catalog_filter": (catalog_filter, S.model(", h as (select id, lower(concat_ws(' ', id, source_type, path_or_alias, coalesce(project_name, ''), array_to_string(discovered_from, ' '))) as hay from m_catalog) select id from h where (contains(hay, 'src1') or contains(hay, 'host-2')) and not contains(hay, 'notes/1')")),
+    "entry_dispatch": (
+        entry_dispatch,
+        S.model(r""", c as (select id, case when source_type = 'document' and length(path_or_alias) % 5 = 0 then 'C:\' || path_or_alias else path_or_alias end as p, case when source_type = 'project_root' and project_name like '%7' then 'mailbox' else source_type end as t from m_catalog where confirmation_status = 'confirmed')
+, r as (select id, case when t = 'server_alias' then 'server_alias not indexable' when t = 'mailbox' then 'no parser registered for catalog source type' when length(p) % 2 = 0 then null when starts_with(p, 'C:') then 'non-local absolute path not indexable on this platform' else 'source path not found' end as reason from c)
+select id, case when reason is null then 'walk' when reason = 'source path not found' then 'missing' else 'skipped' end as action, reason from r"""),
+    ),
+    "metadata_preamble": (
+        metadata_preamble,
+        """with p as (select doc_id, text, list_filter([case when n_chars % 3 = 0 then '"exchange_index": ' || n_chars end, case when n_chars % 5 = 0 then '"is_compaction": true' end, '"project": ' || to_json(source), case when n_chars % 2 <> 0 then '"session_id": ' || to_json(lang) end, '"source_path": ' || to_json('/srv/"q" ' || source), '"source_type": ' || to_json(lang)], lambda x: x is not null) as f from documents)
+, q as (select doc_id, 'INGESTION_METADATA {' || array_to_string(f, ', ') || '}' as line, text from p) select doc_id, line, sha256(line || chr(10) || chr(10) || text) as digest from q""",
+    ),
     "confirmed_only": (confirmed_only, S.model("select id, source_type from m_catalog where confirmation_status = 'confirmed'")),
     "project_resolution": (
         project_resolution,

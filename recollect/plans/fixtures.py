@@ -91,14 +91,14 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scan finds now."""
     kind = "case when doc_id % 3 = 1 then 'agent_session' else 'project_docs' end"
     path = "concat('/srv/', source, '/', doc_id, case when doc_id % 3 = 1 then '.jsonl' else '.md' end)"
-    return load(spark, sf_dir, "documents").where("doc_id % 11 <> 0").selectExpr("concat('s', doc_id) as source_id", f"{path} as source_path", f"{kind} as source_type", "sha2(cast(text as binary), 256) as content_hash", f"timestampadd(SECOND, -cast(doc_id % 300 as int), timestamp'{NOW}') as modified")
+    return load(spark, sf_dir, "documents").where("lang <> 'es'").selectExpr("concat('s', doc_id) as source_id", f"{path} as source_path", f"{kind} as source_type", "sha2(cast(text as binary), 256) as content_hash", f"timestampadd(SECOND, -cast(doc_id % 300 as int), timestamp'{NOW}') as modified")
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger before that scan."""
     kind = "case when doc_id % 3 = 1 then 'agent_session' else 'project_docs' end"
     path = "concat('/srv/', source, '/', doc_id, case when doc_id % 3 = 1 then '.jsonl' else '.md' end)"
-    return load(spark, sf_dir, "documents").where("doc_id % 10 <> 0").selectExpr(
+    return load(spark, sf_dir, "documents").where("lang <> 'fr'").selectExpr(
         "concat('s', doc_id) as source_id", f"{path} as source_path_or_alias", "cast(null as string) as project_name", f"{kind} as source_type", "'1' as parser_version", "sha2(cast(concat(text, case when doc_id % 7 = 0 then 'x' else '' end) as binary), 256) as content_hash",
         f"timestampadd(SECOND, -cast(doc_id % 300 as int), timestamp'{NOW}') as last_modified_at", f"{_at('doc_id % 60')} as last_indexed_at", "case when doc_id % 9 = 0 then 'error' else 'active' end as status", "cast(null as string) as error_message", "1 as chunk_count", f"{_at('0')} as created_at", f"{_at('doc_id % 60')} as updated_at",
     )
@@ -140,9 +140,9 @@ with m_documents as (
   union all select concat('doc_', doc_id), 'document', {_PATH}, null, ['claude-projects', concat('root_src', doc_id % 20)], case when cast(substr(source, 4) as int) % 4 = 3 then 'pending' else 'confirmed' end, 0.5 from documents
   union all select concat('host_', n_nationkey), 'server_alias', concat('host-', n_nationkey, '.example.com'), null, [concat('seen in src', n_nationkey, ' notes')], 'confirmed', 1.5 from nation
 ), m_listing as (
-  select doc_id, concat('s', doc_id) as source_id, {_LIST_PATH} as source_path, {_LIST_KIND} as source_type, sha256(text) as content_hash, timestamp '{NOW}' - to_seconds(doc_id % 300) as modified from documents where doc_id % 11 <> 0
+  select doc_id, concat('s', doc_id) as source_id, {_LIST_PATH} as source_path, {_LIST_KIND} as source_type, sha256(text) as content_hash, timestamp '{NOW}' - to_seconds(doc_id % 300) as modified from documents where lang <> 'es'
 ), m_known as (
   select doc_id, concat('s', doc_id) as source_id, {_LIST_PATH} as source_path_or_alias, {_LIST_KIND} as source_type, sha256(concat(text, case when doc_id % 7 = 0 then 'x' else '' end)) as content_hash, timestamp '{NOW}' - to_seconds(doc_id % 300) as last_modified_at,
-         case when doc_id % 9 = 0 then 'error' else 'active' end as status, {_sql_at('0')} as created_at, {_sql_at('doc_id % 60')} as updated_at from documents where doc_id % 10 <> 0
+         case when doc_id % 9 = 0 then 'error' else 'active' end as status, {_sql_at('0')} as created_at, {_sql_at('doc_id % 60')} as updated_at from documents where lang <> 'fr'
 )
 """

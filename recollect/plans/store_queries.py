@@ -159,6 +159,13 @@ def ledger_after_run(spark: SparkSession, d: str) -> DataFrame:
     return R.ledger_after(done, known, _now(), errors).select("source_id", "status", "content_hash", "error_message")
 
 
+def ledger_touch(spark: SparkSession, d: str) -> DataFrame:
+    """Unchanged files whose times have moved on by an hour."""
+    known = fx.known(spark, d)
+    later = fx.listing(spark, d).withColumn("modified", F.expr("modified + interval 1 hour"))
+    return R.touched(R.classify(later, known, _now(), 0), known).select("source_id", "last_modified_at", "content_hash")
+
+
 def document_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Chunks after documents with ids that three divides came again in two chunks."""
     old = fx.chunks(spark, d).select("id", "document_id", "chunk_index", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
@@ -326,6 +333,7 @@ select previous, following, case coalesce(previous, 'none') when 'missing' then
 , ch as (select *, case when failed then 'error' when action in ('new', 'modified') then 'active' when action = 'missing' then 'missing' else 'skipped' end as st, (failed and coalesce(previous_status, '') = 'active') or action = 'missing' as keep from e where action in ('new', 'modified', 'missing') or (action = 'skipped' and coalesce(previous_status, '') <> 'active'))
 select coalesce(o.source_id, ch.source_id) as source_id, coalesce(ch.st, o.status) as status, case when ch.source_id is not null and not (keep and o.source_id is not null) then ch.n_hash else o.content_hash end as content_hash, case when failed then 'cannot be read' when ch.source_id is not null then ch.reason end as error_message from m_known o full join ch on o.source_id = ch.source_id"""),
     ),
+    "ledger_touch": (ledger_touch, S.model("select k.source_id, case when l.source_id is not null and k.status = 'active' and l.content_hash is not distinct from k.content_hash then l.modified + interval 1 hour else k.last_modified_at end as last_modified_at, k.content_hash from m_known k left join m_listing l on l.source_id = k.source_id")),
     "document_upsert": (document_upsert, S.model("select id, document_id, cast(chunk_index as int) as chunk_index, sha256(content) as digest from m_chunks where doc_id % 3 <> 0 union all select document_id || '_chunk_' || k, document_id, cast(k as int), sha256(content || k) from m_chunks cross join (select unnest([0, 1]) as k) where doc_id % 3 = 0")),
     "table_counts": (table_counts, S.model("select 'documents' as name, count(*) as n from m_documents union all select 'chunks', count(*) from m_chunks union all select 'memory_nodes', count(*) from m_memory union all select 'source_ledger', count(*) from m_ledger")),
     "ledger_status_counts": (ledger_status_counts, S.model("select 'status' as facet, status as value, count(*) as n from m_ledger group by 2 union all select 'source_type', source_type, count(*) from m_ledger group by 2")),

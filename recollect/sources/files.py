@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,19 +46,27 @@ def scan_project(spark: SparkSession, root: str, content: bool = True) -> DataFr
     return rows.select(*cols, F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text")) if content else rows.select(*cols)
 
 
-def pruned_paths(root: str) -> list[str]:
-    """Document files below a local root, not descending into excluded directories; sorted.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on any file system that Spark reads; a malformed one is not."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    except Exception:
+        return False
 
-    Spark's listing cannot prune before descent, so very deep local trees are listed on the
-    driver: names only, never contents.
-    """
-    if os.path.isfile(root):
-        return [root]
-    out = []
-    for at, dirs, files in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in DOC_EXCLUDED and not d.startswith(DOC_EXCLUDED_PREFIXES)]
-        out += [os.path.join(at, f) for f in files if os.path.splitext(f)[1].lower() in DOC_EXTENSIONS and f not in DOC_EXCLUDED_NAMES]
-    return sorted(out)
+
+def is_dir(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def plain(path: Column | str) -> Column:
+    """A path without its scheme."""
+    return F.regexp_replace(T._c(path), "^[a-z0-9]+:/+", "/")
+
+
+def plain_text(path: str) -> str:
+    return re.sub("^[a-z0-9]+:/+", "/", path)
 
 
 def scan_documents(spark: SparkSession, root: str) -> DataFrame:

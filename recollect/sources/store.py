@@ -1,13 +1,16 @@
-"""A store of versioned Parquet snapshots: every change of a table is a new version and a pointer swap.
+"""A store of versioned Parquet snapshots: every change of tables is a new version, named by one small file.
 
-<root>/<table>/v=<n>/ holds version n; <root>/CURRENT.json names the versions in force. Several
-tables change together in one pointer write, so readers see all of a change or nothing. Paths
-go through Hadoop's file system, so the store can lie on any that Spark reads.
+<root>/<table>/v=<n>-<key>/ holds a table as version n wrote it; <root>/history/<n>.json names the
+folders of all tables in version n. That file is created last and never replaced, so readers see
+all of a change or nothing, and of two writers of one version the later one fails. The greatest
+complete file is the version in force. Paths go through Hadoop's file system, so the store can
+lie on any that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,10 @@ from recollect.functions import ids
 from recollect.schemas import KEYS, SCHEMA_VERSION, TABLES
 
 
+class ConflictError(RuntimeError):
+    """Another writer has published a version meanwhile."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -38,22 +45,42 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, at: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
-        fs, tmp, to = self._fs(), self._path(at + ".tmp"), self._path(at)
-        out = fs.create(tmp, True)
+    def _create(self, at: str, text: str) -> None:
+        """A new file; ConflictError if there is one already."""
+        fs, to = self._fs(), self._path(at)
+        if fs.exists(to):
+            raise ConflictError(at)
+        try:
+            out = fs.create(to, False)
+        except Exception as e:
+            raise ConflictError(at) from e
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if not fs.rename(tmp, to):
-            fs.delete(to, False)
-            fs.rename(tmp, to)
 
     # versions
 
+    def _state(self, version: int) -> dict | None:
+        """A version's tables, or None if its file is not there or was not written to its end."""
+        text = self._read(f"{self.root}/history/{version:010d}.json")
+        try:
+            return json.loads(text) if text else None
+        except ValueError:
+            return None
+
     def current(self) -> dict:
-        return json.loads(self._read(f"{self.root}/CURRENT.json") or '{"n": 0, "tables": {}}')
+        for version in self._versions():
+            if state := self._state(version):
+                return state
+        return {"n": 0, "tables": {}}
+
+    def _versions(self) -> list[int]:
+        fs, at = self._fs(), self._path(f"{self.root}/history")
+        if not fs.exists(at):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(at))
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
 
     def init(self) -> None:
         """Create every table that is not there yet; safe to repeat."""
@@ -72,33 +99,33 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={at}")
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write new versions of the tables and swap the pointer once."""
-        now = self.current()
-        n = now["n"] + 1
+    def publish(self, tables: dict[str, DataFrame], base: dict | None = None) -> int:
+        """Write new versions of the tables, then the file that names them.
+
+        base: the state that the tables were made from (by default the present one); if another
+        version has come since, ConflictError, and nothing changes.
+        """
+        now = base or self.current()
+        n, key = max([now["n"], *self._versions()[:1]]) + 1, uuid.uuid4().hex[:12]
+        if base is not None and self.current()["n"] != base["n"]:
+            raise ConflictError(f"version {self.current()['n']} has come since {base['n']}")
         for t, df in tables.items():
             names = [f.strip().split(" ")[0] for f in _fields(TABLES[t])]
-            df.select(*names).write.mode("overwrite").parquet(f"{self.root}/{t}/v={n}")
-        state = {"n": n, "schema_version": SCHEMA_VERSION, "tables": now["tables"] | {t: n for t in tables}}
-        self._write(f"{self.root}/history/{n:010d}.json", json.dumps(state))
-        self._write(f"{self.root}/CURRENT.json", json.dumps(state))
+            df.select(*names).write.parquet(f"{self.root}/{t}/v={n}-{key}")
+        state = {"n": n, "schema_version": SCHEMA_VERSION, "tables": now["tables"] | {t: f"{n}-{key}" for t in tables}}
+        self._create(f"{self.root}/history/{n:010d}.json", json.dumps(state))
         return n
 
     def backups(self) -> list[int]:
         """Versions that can be restored, newest first."""
-        fs, at = self._fs(), self._path(f"{self.root}/history")
-        if not fs.exists(at):
-            return []
-        return sorted((int(s.getPath().getName()[:-5]) for s in fs.listStatus(at) if s.getPath().getName().endswith(".json")), reverse=True)
+        return [v for v in self._versions() if self._state(v)]
 
     def restore(self, version: int) -> int:
         """Point at an earlier version's tables again; the present one stays restorable."""
         if version not in self.backups():
             raise LookupError(f"no version {version}")
-        old, now = json.loads(self._read(f"{self.root}/history/{version:010d}.json")), self.current()
-        state = old | {"n": now["n"] + 1}
-        self._write(f"{self.root}/history/{state['n']:010d}.json", json.dumps(state))
-        self._write(f"{self.root}/CURRENT.json", json.dumps(state))
+        state = self._state(version) | {"n": max(self._versions()) + 1}
+        self._create(f"{self.root}/history/{state['n']:010d}.json", json.dumps(state))
         return state["n"]
 
     # export
@@ -153,9 +180,29 @@ def equivalent(a: DataFrame, b: DataFrame) -> bool:
     return set(a.columns) == set(b.columns) and fingerprint(a).collect() == fingerprint(b).collect()
 
 
+ENVELOPE = "schema_version string, exported_at string, metadata string, record string"
+
+
 def envelope(records: DataFrame, exported_at: str, metadata: dict[str, str] | None = None) -> DataFrame:
-    """Records of a memory export in an envelope, a line each."""
-    return records.select(F.lit("1").alias("schema_version"), F.lit(exported_at).alias("exported_at"), F.lit(json.dumps(metadata or {}, sort_keys=True)).alias("metadata"), F.struct(*records.columns).alias("record"))
+    """Records of a memory export in an envelope, a line each (ENVELOPE columns, the record as JSON)."""
+    record = F.to_json(F.struct(*records.columns))
+    return records.select(F.lit("1").alias("schema_version"), F.lit(exported_at).alias("exported_at"), F.lit(json.dumps(metadata or {}, sort_keys=True)).alias("metadata"), record.alias("record"))
+
+
+def open_envelope(lines: DataFrame, schema: str) -> DataFrame:
+    """The records of an envelope. ValueError for another schema version, a missing time or a record that is no object."""
+    bad = lines.where("schema_version is null or schema_version <> '1' or coalesce(trim(exported_at), '') = '' or coalesce(trim(record), '') not like '{%'")
+    if not bad.isEmpty():
+        raise ValueError("not a valid export envelope")
+    return lines.select(F.from_json("record", schema).alias("r")).select("r.*")
+
+
+def legacy_text(texts: DataFrame, text: str, metadata: dict | None, now) -> DataFrame:
+    """A row for the plain text table: the text stripped, metadata as JSON with sorted keys, the next free id."""
+    if not text.strip():
+        raise ValueError("text cannot be empty")
+    row = texts.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id"))
+    return row.select("id", F.lit(text.strip()).alias("text"), F.lit(json.dumps(metadata or {}, sort_keys=True)).alias("metadata"), now.alias("created_at"))
 
 
 def new_memory(spark: SparkSession, content: str, now, memory_type: str = "note", title: str | None = None, status: str = "active", source_kind: str = "manual", created_by: str = "user", project_id: str = "default") -> DataFrame:

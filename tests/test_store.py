@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 from datetime import datetime, timedelta
@@ -7,9 +8,9 @@ from pyspark.sql import functions as F
 
 from recollect.engine import MemoryEngine
 from recollect.operators import candidates, lifecycle, refresh, reports
-from recollect.schemas import TABLES
+from recollect.schemas import CATALOG, TABLES
 from recollect.sources import files, history, manifest, sessions
-from recollect.sources.store import Store, equivalent, fingerprint
+from recollect.sources.store import ConflictError, Store, equivalent, fingerprint
 
 NOW = datetime(2026, 1, 2)
 
@@ -233,11 +234,122 @@ def test_files(spark, tmp_path):
         _write(str(tmp_path / p), "some words")
     _write(str(tmp_path / "digits.md"), "1234567890 a")
     assert {os.path.basename(r.path) for r in files.scan_documents(spark, str(tmp_path)).collect()} == {"a.md", "e.txt"}
-    assert {os.path.basename(p) for p in files.pruned_paths(str(tmp_path))} == {"a.md", "e.txt", "digits.md"}
 
 
-def test_history():
-    assert history.line_texts('{"role":"system","text":"x"}') == []
-    assert history.line_texts('{"payload":{"cwd":"/w"},"text":"t","tool_use":{"text":"no"}}') == ["/w", "/w", "t"]
-    assert history.line_texts('{"message":{"role":"user","content":[{"type":"tool_result","text":"no"},{"text":"yes"}]}}') == ["yes"]
-    assert history.line_texts("{") == []
+def test_history(spark):
+    lines = [
+        '{"role":"system","text":"x"}', '{"payload":{"cwd":"/w"},"text":"t","tool_use":{"text":"no"}}', '{"message":{"role":"user","content":[{"type":"tool_result","text":"no"},{"text":"yes"}]}}', "{", "[1]",
+        '{"a":{"path":"p","deep":[{"text":"q"},"r"]},"other":"s"}', '{"message":{"role":"developer","content":"hidden"}}', '{"type":"event_msg","payload":{"type":"user_message","message":" hi ","text":"no"}}',
+    ]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
+    got = {}
+    for r in sorted(history.line_rows(df).collect(), key=lambda r: (r.line_no, r.k)):
+        got.setdefault(r.line_no, []).append(r.text)
+    assert got == {1: ["/w", "/w", "t"], 2: ["yes"], 5: ["p", "q"], 7: ["hi"]}
+
+
+def test_history_files(spark, tmp_path):
+    _write(str(tmp_path / "skills/a/SKILL.md"), "Deploy from /srv/app/docs/run.md")
+    _write(str(tmp_path / "skills/b.bin"), "no")
+    _write(str(tmp_path / "skills/log.jsonl"), "".join(json.dumps({"text": f"line {i}"}) + "\n" for i in range(700)))
+    rows = history.history_texts(spark, str(tmp_path / "skills"), "claude-skills").collect()
+    logs = [r.text for r in sorted((r for r in rows if r.file.endswith("jsonl")), key=lambda r: r.position)]
+    assert logs == [f"line {i}" for i in range(500)] and {r.text for r in rows if r.file.endswith("md")} == {"Deploy from /srv/app/docs/run.md"}
+    found = history.skill_documents(history.history_texts(spark, str(tmp_path / "skills"), "claude-skills")).collect()
+    assert {os.path.basename(r.path) for r in found} == {"SKILL.md", "log.jsonl"} and {r.confidence for r in found} == {1.0}
+
+
+def _catalog(spark, rows):
+    return spark.createDataFrame([(i, kind, path, None, ["codex-sessions"], status, "local_only", 1.0, 1) for i, kind, path, status in rows], CATALOG)
+
+
+def test_global_refresh(spark, tmp_path):
+    """New, unchanged, touched, edited, deleted and broken sources, and entries that are not walked."""
+    root, later = tmp_path / "app", NOW + timedelta(days=1)
+    for name in ("a", "b", "c"):
+        _write(str(root / f"{name}.md"), f"# Title {name}\nSome text about the {name} part of this project.\n")
+        os.utime(root / f"{name}.md", (1_700_000_000, 1_700_000_000))
+    catalog = _catalog(spark, [("app", "project_root", str(root), "confirmed"), ("host", "server_alias", "h.example.com", "confirmed"), ("odd", "strange", "x", "confirmed"), ("gone", "document", str(tmp_path / "no.md"), "confirmed"), ("win", "project_root", "C:\\work", "confirmed"), ("idle", "project_root", "/x", "pending")])
+    e = MemoryEngine(spark, str(tmp_path / "store"), vectors=False)
+    e.init()
+    assert e.global_refresh(catalog, NOW).where("action = 'new'").count() == 3 and e._t("source_ledger").count() == 0
+    version = e.store.current()["n"]
+    done = {r.source_path.rsplit("/", 1)[-1]: (r.action, r.reason) for r in e.global_refresh(catalog, NOW, dry_run=False).collect()}
+    assert e.store.current()["n"] == version + 1  # one version for documents, chunks and ledger
+    assert {k: v[0] for k, v in done.items()} == {"a.md": "new", "b.md": "new", "c.md": "new", "h.example.com": "skipped", "x": "skipped", "no.md": "missing", "C:\\work": "skipped"}
+    ledger = {r.source_path_or_alias.rsplit("/", 1)[-1]: r for r in e._t("source_ledger").collect()}
+    a = ledger["a.md"]
+    assert (a.status, a.project_name, a.source_type, a.parser_version, a.chunk_count, a.error_message, a.last_indexed_at, a.created_at, a.updated_at) == ("active", "app", "project_docs", "1", 2, None, NOW, NOW, NOW)
+    assert a.content_hash == hashlib.sha256((root / "a.md").read_bytes()).hexdigest() and int(a.last_modified_at.timestamp()) == 1_700_000_000
+    assert ledger["h.example.com"].error_message == "server_alias: no network/SSH indexing" and ledger["no.md"].status == "missing" and ledger["C:\\work"].status == "skipped"
+    text = e._t("chunks").where("chunk_index = 0").first().content
+    assert text.startswith("INGESTION_METADATA {") and json.loads(text.split("\n")[0].split(" ", 1)[1])["project"] == "app"
+    os.utime(root / "a.md", (1_700_000_500, 1_700_000_500))
+    _write(str(root / "b.md"), "# Title b\nQuite another text.\n")
+    os.remove(root / "c.md")
+    broken = catalog.where("id = 'app'").unionByName(_catalog(spark, [("bad", "agent_root", str(root), "confirmed")]))
+    real = manifest.PARSERS["agent_session"]
+    manifest.PARSERS["agent_session"] = lambda *a: (_ for _ in ()).throw(ValueError("broken"))
+    try:
+        done = {r.source_path.rsplit("/", 1)[-1]: (r.action, r.reason) for r in e.global_refresh(broken, later, dry_run=False).collect()}
+    finally:
+        manifest.PARSERS["agent_session"] = real
+    assert done == {"a.md": ("unchanged", None), "b.md": ("modified", None), "c.md": ("missing", refresh.GONE), "app": ("error", "ValueError: broken")}
+    ledger = {r.source_path_or_alias.rsplit("/", 1)[-1]: r for r in e._t("source_ledger").collect()}
+    assert int(ledger["a.md"].last_modified_at.timestamp()) == 1_700_000_500 and ledger["a.md"].updated_at == NOW
+    assert ledger["b.md"].last_indexed_at == later and ledger["c.md"].status == "missing" and ledger["app"].status == "error" and ledger["h.example.com"].status == "skipped"
+    assert e._t("chunks").where("content like '%Quite another%'").count() == 1 and e._t("documents").count() == 3
+    assert e.refresh_report(e.global_refresh(broken, later)).first().n_unchanged == 2
+
+
+def test_two_writers_and_a_crash(spark, tmp_path):
+    one, two = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    one.init()
+    base = two.current()
+    row = spark.createDataFrame([(1, "t", "{}", NOW)], TABLES["memories"])
+    one.publish({"memories": row})
+    with pytest.raises(ConflictError):
+        two.publish({"memories": row.union(row)}, base)
+    assert two.read("memories").count() == 1
+    # tables written but no version file, and a file cut short: readers stay at the last complete version
+    row.union(row).write.parquet(str(tmp_path / "s/memories/v=9-crash"))
+    with open(tmp_path / "s/history/0000000009.json", "w") as f:
+        f.write('{"n": 9, "tab')
+    assert one.read("memories").count() == 1 and one.backups()[0] == 2
+    assert one.publish({"memories": row.union(row)}) == 10 and two.read("memories").count() == 2 and one.restore(2) == 11 and two.read("memories").count() == 1
+
+
+def test_vectors_embedders_and_texts(spark, tmp_path):
+    from recollect.operators import vector_store
+    from recollect.sources import store
+
+    points = spark.createDataFrame([("a", [1.0, 0.0, 0.0], "x"), ("b", [0.0, 1.0, 0.0], None), ("z", [0.0, 0.0, 0.0], None), ("n", None, None), (None, [1.0, 0.0, 0.0], None), ("c", [-1.0, 0.0, 0.0], None)], vector_store.FrameVectorStore.SCHEMA)
+    v = vector_store.FrameVectorStore(spark)
+    v.upsert(points)
+    assert [r.id for r in v.search([0.9, 0.1, 0.0]).collect()] == ["a", "b"] and v.count() == 5
+    v.upsert(spark.createDataFrame([("b", [0.9, 0.1, 0.0], "new")], vector_store.FrameVectorStore.SCHEMA))
+    v.delete(["a"])
+    v.rounded = False
+    assert [r.id for r in v.search([0.9, 0.1, 0.0]).collect()] == ["b", "c"] and v.count() == 4
+
+    class Lengths:
+        name, dimensions = "lengths", 2
+
+        def embed(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    vector_store.register(spark, Lengths(), "lengths")
+    assert [r.e for r in spark.sql("select lengths(t) as e from values ('ab'), (null) as x(t)").collect()] == [[2.0, 1.0], [0.0, 1.0]]
+    e = MemoryEngine(spark, str(tmp_path / "e"), embedder=Lengths())
+    e.init()
+    e.index_records(spark.createDataFrame([("p", "project_docs", "/p/a.md", "some words here")], "project string, source_type string, source_path string, text string"), NOW)
+    assert e._t("chunks").first().embedding_model == "lengths" and e.search("words", at=NOW, log=False).count() == 1
+    assert [e.add_text(t, {"b": 1, "a": 2}, NOW).first().id for t in (" one ", "two")] == [1, 2] and e._t("memories").orderBy("id").first().metadata == '{"a": 2, "b": 1}'
+    with pytest.raises(ValueError):
+        e.add_text("  ")
+    e.add("same words", at=NOW)
+    assert e.memory_by_hash("same words").count() == 1 and e.memory_by_hash("none").count() == 0
+    wrapped = store.envelope(e._t("memories"), "2026-01-01", {"k": "v"})
+    assert store.open_envelope(wrapped, TABLES["memories"]).count() == 2
+    with pytest.raises(ValueError):
+        store.open_envelope(wrapped.withColumn("schema_version", F.lit("2")), TABLES["memories"])

@@ -1,8 +1,8 @@
 """Ranked retrieval: BM25, token overlap, cosine, the freshness gate, project and global search.
 
-Every ranking has a total order. Texts are not shuffled: per-row terms are matched within the
-row, corpus statistics come from one aggregate over the same scan, and only the best rows'
-contents are joined back.
+Every ranking has a total order. Texts and vectors are not shuffled: terms are counted and
+similarities worked out within the row, before the gate's joins; corpus statistics come from one
+aggregate over the counts, and contents are joined back for the best rows only.
 """
 
 from __future__ import annotations
@@ -69,17 +69,20 @@ def _occurrences(array: str, term: str) -> Column:
     return F.size(F.filter(array, lambda x: x == F.lit(term)))
 
 
-def bm25(corpus: DataFrame, terms: list[str], text: Column | str = "content", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Rows of `corpus` that hold a term, with `raw_score` (Okapi, distinct query terms).
-
-    The number of rows, their average length and document frequencies cover the whole corpus
-    and come back as a single broadcast row; the rows themselves do not move.
-    """
+def term_counts(corpus: DataFrame, terms: list[str], text: Column | str = "content") -> DataFrame:
+    """`corpus` with `_dl`, the number of tokens, and `_tf`, how often each term occurs; worked out within the row."""
     q = _terms(terms)
-    toks = T.tokens(text)
-    own = corpus.withColumn("_toks", toks).withColumn("_dl", F.size("_toks")).withColumn("_hits", F.filter("_toks", lambda t: F.array_contains(q, t))).drop("_toks")
+    own = corpus.withColumn("_toks", T.tokens(text)).withColumn("_dl", F.size("_toks")).withColumn("_hits", F.filter("_toks", lambda t: F.array_contains(q, t))).drop("_toks")
     # one reference for each term: a single one inside a lambda would be inlined and tokenize anew for each term
-    own = own.withColumn("_tf", F.array(*(_occurrences("_hits", t) for t in terms))).drop("_hits")
+    return own.withColumn("_tf", F.array(*(_occurrences("_hits", t) for t in terms))).drop("_hits")
+
+
+def bm25_scores(own: DataFrame, terms: list[str], k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Rows of term_counts() that hold a term, with `raw_score` (Okapi, distinct query terms).
+
+    The number of rows, their average length and document frequencies cover all rows and come
+    back as a single broadcast row; the rows themselves do not move.
+    """
     stats = own.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), F.array(*(F.sum((F.col("_tf")[i] > 0).cast("long")) for i in range(len(terms)))).alias("_df"))
     # one row of statistics for any corpus: a join on true with a broadcast side of one row
     both = own.join(F.broadcast(stats))
@@ -88,6 +91,10 @@ def bm25(corpus: DataFrame, terms: list[str], text: Column | str = "content", k1
     return both.withColumn("raw_score", score).where("raw_score > 0").drop("_dl", "_tf", "_n", "_avgdl", "_df")
 
 
+def bm25(corpus: DataFrame, terms: list[str], text: Column | str = "content", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    return bm25_scores(term_counts(corpus, terms, text), terms, k1, b)
+
+
 def build_postings(chunks: DataFrame, path: str, buckets: int = 256, text: Column | str = "content") -> None:
     """Write postings (term, chunk_id, tf, dl), sorted by term within term-hash buckets, and corpus statistics.
 
@@ -129,10 +136,22 @@ def search_memories(memory: DataFrame, query: str, include_inactive: bool = Fals
 
 
 def search_chunks(chunks: DataFrame, documents: DataFrame, ledger: DataFrame | None, query: str, stripped: bool = False, semi: bool = False) -> DataFrame:
-    """BM25 over visible chunks, boosted by source; `stripped` leaves out metadata blocks."""
-    rows = gated_chunks(chunks, documents, ledger, semi)
-    rows = rows.withColumn("body", T.strip_preamble_search(F.coalesce("content", F.lit(""))) if stripped else F.coalesce("content", F.lit("")))
-    return bm25(rows, query_terms(query), "body").withColumn("score", F.round(F.col("raw_score") * source_boost("source_type"), 6)).drop("raw_score")
+    """id, document_id, heading_path, source_type, path, filename and score of visible chunks, by BM25, boosted by source.
+
+    `stripped` leaves out metadata blocks. Terms are counted before the gate, so no text is shuffled;
+    contents() gives those of the best.
+    """
+    terms, text = query_terms(query), F.coalesce("content", F.lit(""))
+    thin = term_counts(chunks.select("id", "document_id", "heading_path", "source_type", (T.strip_preamble_search(text) if stripped else text).alias("body")), terms, "body").drop("body")
+    rows = bm25_scores(gated_chunks(thin, documents, ledger, semi), terms)
+    return rows.withColumn("score", F.round(F.col("raw_score") * source_boost("source_type"), 6)).drop("raw_score")
+
+
+def contents(best: DataFrame, chunks: DataFrame, stripped: bool = False) -> DataFrame:
+    """The hits `best` (a bounded number, as by limit()) with the content of their chunks: one scan, no shuffle."""
+    text = F.coalesce("content", F.lit("")) if stripped else F.col("content")
+    texts = chunks.select(F.col("id").alias("x_id"), (T.strip_preamble_search(text) if stripped else text).alias("content"))
+    return texts.join(F.broadcast(best), F.col("x_id") == F.col("id")).drop("x_id")
 
 
 def chunk_title(with_filename: bool = True) -> Column:
@@ -144,14 +163,16 @@ PAYLOAD = ("title", "content", "source_path", "heading_path", "memory_type", "st
 
 
 def semantic_hits(chunks: DataFrame, documents: DataFrame, ledger: DataFrame | None, vector: list[float], top_k: int, true_cosine: bool = False) -> DataFrame:
-    """Persisted vectors by similarity above 0: the best chunk ids first, then one join for their rows.
+    """Persisted vectors by similarity above 0: the best chunks by id, path and similarity first, then their contents.
 
     Missing or undecodable vectors take no part. Rounding comes after the test for 0.
     """
     q = F.array(*(F.lit(float(x)) for x in vector))
     sim = V.cosine("embedding", q) if true_cosine else V.dot("embedding", q)
-    rows = gated_chunks(chunks.where("embedding is not null"), documents, ledger).withColumn("sim", sim).where("sim > 0")
-    return rows.withColumn("score", F.round("sim", 4)).orderBy(F.desc("score"), "id").limit(top_k)
+    thin = chunks.where("embedding is not null").select("id", "document_id", "heading_path", "source_type", sim.alias("sim")).where("sim > 0")
+    rows = gated_chunks(thin, documents, ledger)
+    best = rows.withColumn("score", F.round("sim", 4)).orderBy(F.desc("score"), "id").limit(top_k)
+    return contents(best, chunks)
 
 
 def project_search(chunks: DataFrame, documents: DataFrame, ledger: DataFrame | None, memory: DataFrame, query: str, top_k: int = 5, vector: list[float] | None = None) -> DataFrame:
@@ -169,7 +190,8 @@ def project_search(chunks: DataFrame, documents: DataFrame, ledger: DataFrame |
     if not terms:
         return mem.where(F.lit(False))
     order = (F.desc("score"), "kind_rank", "id")
-    lexical = mem.unionByName(shaped(search_chunks(chunks, documents, ledger, query)))
+    found = search_chunks(chunks, documents, ledger, query).orderBy(F.desc("score"), "id").limit(top_k)
+    lexical = mem.unionByName(shaped(contents(found, chunks)))
     if vector is None:
         return lexical.orderBy(*order).limit(top_k)
     semantic = shaped(semantic_hits(chunks, documents, ledger, vector, top_k))
@@ -189,8 +211,9 @@ def global_search(chunks: DataFrame, documents: DataFrame, ledger: DataFrame | N
     terms = query_terms(query)
     mem = overlap(active(memory, include_inactive), terms, _text("title", "content", "source_path"), 10.0) if terms else memory.withColumn("score", F.lit(0.0)).where(F.lit(False))
     mem = mem.select("id", F.lit("memory_node").alias("kind"), F.lit(0).alias("kind_rank"), F.coalesce("title", F.lit("")).alias("title"), "content", "source_path", F.lit(None).cast("string").alias("heading_path"), F.col("type").alias("memory_type"), "status", "score", "source_kind", "source_document_id", "source_chunk_id", "confidence")
-    hits = search_chunks(chunks, documents, ledger, query, stripped=True)
-    hits = hits.select("id", F.lit("document_chunk").alias("kind"), F.lit(1).alias("kind_rank"), chunk_title().alias("title"), F.col("body").alias("content"), F.col("path").alias("source_path"), "heading_path", F.lit("document_chunk").alias("memory_type"), F.lit("active").alias("status"), "score")
+    hits = search_chunks(chunks, documents, ledger, query, stripped=True).withColumn("title", chunk_title())
+    hits = contents(hits.orderBy(F.desc("score"), "title", "id").limit(top_k), chunks, stripped=True)
+    hits = hits.select("id", F.lit("document_chunk").alias("kind"), F.lit(1).alias("kind_rank"), "title", "content", F.col("path").alias("source_path"), "heading_path", F.lit("document_chunk").alias("memory_type"), F.lit("active").alias("status"), "score")
     rows = mem if kind == "memory" else hits if kind == "chunks" else mem.unionByName(hits, allowMissingColumns=True)
     if not terms:
         rows = rows.where(F.lit(False))

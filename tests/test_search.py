@@ -130,3 +130,22 @@ def test_text_functions(spark):
     assert one(T.strip_preamble_search(F.lit("INGESTION_METADATA {}\r\n\r\nbody"))) == "body"
     assert one(T.strip_preamble_candidate(F.lit("INGESTION_METADATA {}"))) == ""
     assert one(T.strip_preamble_search(F.lit("INGESTION_METADATA {}"))) == "INGESTION_METADATA {}"
+
+
+def test_no_text_or_vector_is_shuffled(spark):
+    """With broadcasts off, no exchange of a search plan carries contents or embeddings."""
+    import re
+
+    from recollect.plans import search_queries as Q
+
+    d = "/root/testdata/sf0.001"
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for query in (Q.bm25_gated_boosted, Q.dot_topk_gated):
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            text = query(spark, d)._jdf.queryExecution().explainString(mode)
+            moved = re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", text)
+            assert moved and not any(re.search(r"\b(content|body|text|embedding)#", x) for x in moved), moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from recollect.llm.common import held_out, over_batches, table
 
 BUCKETS = 1 << 16
-#: At most so many documents of each language are learnt from (those with the least hashes of their ids).
+#: At most so many documents of each language are learnt from (chosen by hashes of their ids).
 MAX_LEARNT = 4_000
 #: The matrix takes 256 kB a language; more languages than this are an error, none is left out.
 MAX_LANGS = 2_048
@@ -96,9 +96,12 @@ class NaiveBayes:
 def learn(docs: DataFrame, most: int = MAX_LEARNT) -> NaiveBayes:
     """Counts over the sample, added up by Spark; the driver gets at most buckets times languages."""
     ok = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    # the limit acts before the shuffle, so that a frequent language sends few rows
-    rank = F.row_number().over(Window.partitionBy("learn_lang").orderBy(F.xxhash64("learn_id"), "learn_id"))
-    ids = ok.select(F.col("doc_id").alias("learn_id"), F.col("lang").alias("learn_lang")).dropna().withColumn("r", rank).where(F.col("r") <= most).select("learn_id", "learn_lang").distinct()
+    ids = ok.select(F.col("doc_id").alias("learn_id"), F.col("lang").alias("learn_lang")).dropna().withColumn("h", F.xxhash64("learn_id"))
+    # rows whose hash lies below twice the share that is wanted: so few of a frequent language that one task can rank them
+    sizes = ids.groupBy("learn_lang").agg(F.count("*").alias("n"))
+    ids = ids.join(sizes, "learn_lang").where(F.pmod("h", F.lit(1 << 40)).cast("double") * F.col("n") <= float(2 * most * (1 << 40)))
+    rank = F.row_number().over(Window.partitionBy("learn_lang").orderBy("h", "learn_id"))
+    ids = ids.withColumn("r", rank).where(F.col("r") <= most).select("learn_id", "learn_lang").distinct()
     chosen = ok.join(F.broadcast(ids), (F.col("doc_id") == F.col("learn_id")) & (F.col("lang") == F.col("learn_lang"))).select("lang", "text")
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -161,3 +161,26 @@ def test_pipeline_on_a_small_table(spark):
     first = corpus_pipeline.STAGES[0][1](spark, docs, d)
     assert first.columns == docs.columns
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd, none, labels, tmp_path):
+    """Null ids and texts, repeated rows and clashing columns go through every stage; an empty table stays empty."""
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    prose = "seven grey herons stood beside a cold river while two old friends spoke of boats and nets and the price of salt"
+    more = odd.where("doc_id = 12").withColumn("text", F.lit(prose + " last mail a@b.org"))
+    for docs, full in ((odd.unionByName(more), True), (none, False)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before, columns = docs.count(), docs.columns
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{full}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{full}{k}"))
+            if name != "packing":
+                assert docs.columns == columns and docs.count() <= before and (docs.count() > 0) == full
+            if name in ("line_dedup", "pii"):
+                assert docs.count() == before and docs.where("n_chars <> length(text)").count() == 0
+            if full and name == "quality_rules":
+                assert docs.where("text is null or doc_id = 4").count() == 0 and docs.where("doc_id is null").count() == 1
+            if full and name == "pii":
+                assert docs.where("text like '%<email>%'").count() == 1
+        assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and (docs.count() > 0) == full

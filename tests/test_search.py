@@ -132,20 +132,25 @@ def test_text_functions(spark):
     assert one(T.strip_preamble_search(F.lit("INGESTION_METADATA {}"))) == "INGESTION_METADATA {}"
 
 
-def test_no_text_or_vector_is_shuffled(spark):
+def test_no_text_or_vector_is_shuffled(spark, tmp_path):
     """With broadcasts off, no exchange of a search plan carries contents or embeddings."""
     import re
 
+    from recollect.plans import fixtures as fx
     from recollect.plans import search_queries as Q
 
-    d = "/root/testdata/sf0.001"
+    d, tables = "/root/testdata/sf0.001", {}
+    for name, df in (("chunks", Q._vector_chunks(spark, d)), ("documents", fx.documents(spark, d)), ("ledger", fx.ledger(spark, d))):
+        df.write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    args = (tables["chunks"], tables["documents"], tables["ledger"])
+    vector = tables["chunks"].first().embedding
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        for query in (Q.bm25_gated_boosted, Q.dot_topk_gated):
-            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-            text = query(spark, d)._jdf.queryExecution().explainString(mode)
-            moved = re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", text)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        for df in (retrieval.search_chunks(*args, "storage of texts").orderBy("score").limit(5), retrieval.semantic_hits(*args, vector, 5)):
+            moved = re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", df._jdf.queryExecution().explainString(mode))
             assert moved and not any(re.search(r"\b(content|body|text|embedding)#", x) for x in moved), moved
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -98,8 +98,11 @@ def learn(docs: DataFrame, most: int = MAX_LEARNT) -> NaiveBayes:
     ok = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
     ids = ok.select(F.col("doc_id").alias("learn_id"), F.col("lang").alias("learn_lang")).dropna().withColumn("h", F.xxhash64("learn_id"))
     # rows whose hash lies below twice the share that is wanted: so few of a frequent language that one task can rank them
-    sizes = ids.groupBy("learn_lang").agg(F.count("*").alias("n"))
-    ids = ids.join(sizes, "learn_lang").where(F.pmod("h", F.lit(1 << 40)).cast("double") * F.col("n") <= float(2 * most * (1 << 40)))
+    sizes = ids.groupBy("learn_lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages can not be told apart")
+    sizes = docs.sparkSession.createDataFrame([tuple(r) for r in sizes], "learn_lang string, n long")
+    ids = ids.join(F.broadcast(sizes), "learn_lang").where(F.pmod("h", F.lit(1 << 40)).cast("double") * F.col("n") <= float(2 * most * (1 << 40)))
     rank = F.row_number().over(Window.partitionBy("learn_lang").orderBy("h", "learn_id"))
     ids = ids.withColumn("r", rank).where(F.col("r") <= most).select("learn_id", "learn_lang").distinct()
     chosen = ok.join(F.broadcast(ids), (F.col("doc_id") == F.col("learn_id")) & (F.col("lang") == F.col("learn_lang"))).select("lang", "text")
@@ -127,8 +130,6 @@ def learn(docs: DataFrame, most: int = MAX_LEARNT) -> NaiveBayes:
         return NaiveBayes([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     sizes = rows[rows.bucket < 0]
     langs = sorted(sizes.lang)
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS} can be told apart")
     number = {x: i for i, x in enumerate(langs)}
     n = np.full((BUCKETS, len(langs)), 0.5)
     body = rows[rows.bucket >= 0]

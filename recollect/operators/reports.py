@@ -81,7 +81,7 @@ def readiness(ledger: DataFrame, catalog: DataFrame, now: Column, seconds: int =
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     own = ledger.agg(n(F.col("status") == "active").alias("active"), n(F.col("status") == "missing").alias("missing"), n(F.col("status") == "error").alias("error"), n(skipped & ~expected_skip()).alias("other"))
     confirmed = catalog.agg(n(F.col("confirmation_status") == "confirmed").alias("confirmed"))
-    row = own.join(confirmed).join(freshness_split(ledger, now, seconds))
+    row = own.join(F.broadcast(confirmed)).join(F.broadcast(freshness_split(ledger, now, seconds)))
     actionable = F.greatest(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("other") - F.col("transient")) - F.col("stale"))
     say = lambda c, text: F.when(c, text)
     number = lambda c, text: F.concat(c.cast("string"), F.lit(text))

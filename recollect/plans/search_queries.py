@@ -141,8 +141,8 @@ def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold for any chunking of a text without headings: all its words, in chunks."""
-    parts = chunking.chunk(_text(spark, d).where("instr(text, '#') = 0"), "text", 1200, ("doc_id",))
+    """What must hold for any chunking: all words of a text, headings included, are in its chunks."""
+    parts = chunking.chunk(_text(spark, d), "text", 1200, ("doc_id",))
     return parts.groupBy("doc_id").agg(F.sum("token_count").alias("n_tokens"))
 
 
@@ -230,7 +230,7 @@ list_extract(string_split(path, '/'), -1) as basename, '.' || list_extract(strin
     "excerpts": (excerpts, f"select doc_id, {S.excerpt('text', 120)} as excerpt, cast(case when length(text) > 400 then 403 else length(text) end as int) as n_head, substr({S.strip(f'list_extract(string_split({S.strip("text")}, chr(10)), 1)')}, 1, 80) as title from documents"),
     "strip_preambles": (strip_preambles, S.model(f"select id, sha256({S.strip_search('content')}) as search, sha256({S.strip_candidate('content')}) as candidate from m_chunks")),
     "heading_chunks": (heading_chunks, None),
-    "chunk_bounds": (chunk_bounds, f"select doc_id, cast({S.token_estimate('text')} as bigint) as n_tokens from documents where not contains(text, '#') and {S.token_estimate('text')} > 0"),
+    "chunk_bounds": (chunk_bounds, f"select doc_id, cast({S.token_estimate('text')} as bigint) as n_tokens from documents where {S.token_estimate('text')} > 0"),
     "session_exchanges": (
         session_exchanges,
         f"""with k as (select conv_id, turn, role, text, case when role = 'user' and length({S.strip("text")}) >= 3 then 1 else 0 end as opens from conversations where role in ('user', 'assistant'))

@@ -1,14 +1,17 @@
-"""Hashing embedder as a plan: the hash is taken once per distinct token, the rest is SQL aggregation."""
+"""Hashing embedder as a plan of narrow steps: a text's vector follows from its own row, so nothing is shuffled."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from recollect.functions.text import TOKEN
 from recollect.schemas import EMBEDDING_DIMENSIONS
@@ -21,6 +24,12 @@ def bucket_of(token: str, dimensions: int = EMBEDDING_DIMENSIONS) -> tuple[int,
     return int.from_bytes(d[:8], "big") % dimensions, 1.0 if d[8] % 2 == 0 else -1.0
 
 
+def bucket_of_sha2(token: str, dimensions: int = EMBEDDING_DIMENSIONS) -> tuple[int, float]:
+    """The same from a SHA-256 digest: its first seven hex digits give the component, the eighth the sign."""
+    d = int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big")
+    return (d >> 4) % dimensions, 1.0 if d % 2 == 0 else -1.0
+
+
 def embed_text(text: str, dimensions: int = EMBEDDING_DIMENSIONS) -> list[float]:
     """The vector of one query text, on the driver."""
     if not text.strip():
@@ -33,49 +42,42 @@ def embed_text(text: str, dimensions: int = EMBEDDING_DIMENSIONS) -> list[float]
     return [x / n for x in v] if n else v
 
 
-def _dense(dimensions: int) -> Column:
-    """A dense vector from `pairs` (cell, x) sorted by cell: each pair is preceded by the zeros since the last one."""
-    last = F.when(F.size("pairs") > 0, F.element_at("pairs", -1)["cell"]).otherwise(-1)
-    runs = F.transform("pairs", lambda p, i: F.concat(F.array_repeat(F.lit(0.0), (p["cell"] - F.when(i > 0, F.get("pairs", i - 1)["cell"]).otherwise(-1) - 1).cast("int")), F.array(p["x"])))
-    return F.concat(F.flatten(runs), F.array_repeat(F.lit(0.0), (F.lit(dimensions - 1) - last).cast("int")))
-
-
-def _embedded(docs: DataFrame, key: str, text: str, prefix: str, place, dimensions: int) -> DataFrame:
-    # tokens are cut out before they are lower-cased
-    words = docs.select(key, F.explode_outer(F.transform(F.regexp_extract_all(F.concat(F.lit(prefix), F.col(text)), F.lit(TOKEN), F.lit(0)), F.lower)).alias("token"))
-    counts = words.groupBy(key, "token").agg(F.count("token").alias("n"))
-    cells = place(counts).groupBy(key, "cell").agg(F.sum(F.col("n") * F.col("sign")).alias("x"))
-    # at most `dimensions` pairs for each text
-    sparse = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "x")))).alias("pairs"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    # scaled after it is dense: inside the lambda of _dense a computed array would be worked out anew for each element
-    unit = F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))
-    return sparse.select(key, F.transform(_dense(dimensions), lambda x: x / unit).alias("embedding"))
-
+def _tokens(docs: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
+    """key and the tokens of each text, cut out before they are lower-cased; a null text has none."""
+    words = F.transform(F.regexp_extract_all(F.concat(F.lit(prefix), F.col(text)), F.lit(TOKEN), F.lit(0)), F.lower)
+    return docs.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("tokens"))
 
-def embed(docs: DataFrame, key: str = "id", text: str = "content", prefix: str = "", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
-    """key and embedding; `prefix` is put before each text ("query: ", "passage: "). A text without tokens gives zeros."""
 
+def _embedded(docs: DataFrame, key: str, text: str, prefix: str, dimensions: int, bucket: Callable[[str, int], tuple[int, float]]) -> DataFrame:
+    """Nothing is shuffled: a batch's distinct tokens are hashed once, its vectors summed at once."""
     ship(docs)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [bucket_of(t, dimensions) for t in b["token"]]
-            yield pd.DataFrame({"word": b["token"], "cell": [i for i, _ in at], "sign": [s for _, s in at]})
+            n, words = b.num_rows, b.column(1)
+            coded = pc.list_flatten(words).dictionary_encode()
+            places = [bucket(t, dimensions) for t in coded.dictionary.to_pylist()]
+            cell = np.array([i for i, _ in places], np.int64)
+            sign = np.array([s for _, s in places])
+            code, row = coded.indices.to_numpy(), pc.list_parent_indices(words).to_numpy()
+            v = np.bincount(row * dimensions + cell[code], sign[code], n * dimensions).reshape(n, dimensions)
+            norm = np.sqrt((v * v).sum(1, keepdims=True))
+            v = v / np.where(norm > 0, norm, 1.0)
+            ends = pa.array(np.arange(0, v.size + 1, dimensions, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=[key, "embedding"])
+
+    words = _tokens(docs, key, text, prefix)
+    return words.mapInArrow(vectors, StructType([words.schema[0], StructField("embedding", ArrayType(DoubleType()))]))
 
-    def place(counts: DataFrame) -> DataFrame:
-        words = counts.select("token").where("token is not null").distinct().mapInPandas(hashed, "word string, cell int, sign double")
-        return counts.join(words, counts["token"] == words["word"], "left")
 
-    return _embedded(docs, key, text, prefix, place, dimensions)
+def embed(docs: DataFrame, key: str = "id", text: str = "content", prefix: str = "", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
+    """key and embedding of each row; `prefix` is put before each text ("query: ", "passage: ").
 
+    A null text, or one without tokens, gives zeros.
+    """
+    return _embedded(docs, key, text, prefix, dimensions, bucket_of)
 
-def embed_sha2(docs: DataFrame, key: str = "id", text: str = "content", prefix: str = "", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
-    """The same with SHA-256 digests, within the JVM: the first seven hex digits give the component, the eighth the sign."""
 
-    def place(counts: DataFrame) -> DataFrame:
-        h = F.sha2(F.col("token").cast("binary"), 256)
-        cell = (F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % dimensions).cast("int")
-        sign = F.when(F.conv(F.substring(h, 8, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-        return counts.withColumn("cell", cell).withColumn("sign", sign)
-
-    return _embedded(docs, key, text, prefix, place, dimensions)
+def embed_sha2(docs: DataFrame, key: str = "id", text: str = "content", prefix: str = "", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
+    """The same with SHA-256 digests."""
+    return _embedded(docs, key, text, prefix, dimensions, bucket_of_sha2)

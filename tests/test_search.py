@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -117,6 +118,26 @@ def test_embedding_matches_the_formula(spark):
         embedding.embed_text("  ")
 
 
+def test_sha2_embedding_matches_plain_code(spark):
+    texts = ["Red fox, red FOX!", "", "...", None, "a b c d e f g a b a " * 50]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
+    got = {r.id: r.embedding for r in embedding.embed_sha2(docs).collect()}
+    for i, t in enumerate(texts):
+        want = [0.0] * 384
+        for w in re.findall(r"\w+", (t or "").lower()):
+            h = hashlib.sha256(w.encode()).hexdigest()
+            want[int(h[:7], 16) % 384] += 1 if int(h[7], 16) % 2 == 0 else -1
+        n = sum(x * x for x in want) ** 0.5 or 1.0
+        assert all(abs(x - y / n) < 1e-12 for x, y in zip(got[str(i)], want, strict=True)), t
+    assert embedding.embed(docs).where("id = '3'").first().embedding == [0.0] * 384
+
+
+def test_embedding_shuffles_nothing(spark):
+    docs = spark.createDataFrame([("a", "b")], "id string, content string")
+    for f in (embedding.embed, embedding.embed_sha2):
+        assert "Exchange" not in f(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(T.strip(F.lit("\u00a0\t a b \u2003\n"))) == "a b"

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from recollect.functions import ids
 from recollect.functions import text as T
@@ -133,15 +134,8 @@ def admit(found: DataFrame, blocked: DataFrame, min_confidence: float = DEFAULT_
     return rows.where("state <> 'eligible'").unionByName(done)
 
 
-def admit_in_order(found: DataFrame, blocked: DataFrame, min_confidence: float = DEFAULT_CONFIDENCE, limit: int = CANDIDATE_LIMIT, per_source: int = CANDIDATE_SOURCE_LIMIT) -> DataFrame:
-    """The real run: as admit(), but a created memory blocks its content for the rest of the run.
-
-    What is admitted depends on all that came before, so eligible rows go through one task in
-    order, as ids and hashes without their contents; admit() is the form that stays parallel.
-    """
-    rows = _judged(found, blocked, min_confidence)
-    order = ranking()
-    thin = rows.where("state = 'eligible'").select("source_chunk_id", "source_path", "content_hash", "is_compaction", "source_type", "tokens", "chunk_index")
+def _decided(ordered: DataFrame, limit: int, per_source: int) -> DataFrame:
+    """A table in order with the outcome of each row as `final`, worked out in one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[str] = set()
@@ -161,10 +155,57 @@ def admit_in_order(found: DataFrame, blocked: DataFrame, min_confidence: float =
                     made += 1
                     used[path] = used.get(path, 0) + 1
                     seen.add(digest)
-            yield pd.DataFrame({"r_id": b["source_chunk_id"], "r_path": b["source_path"], "final": out})
+            yield b.assign(final=out)
+
+    return ordered.coalesce(1).mapInPandas(run, StructType([*ordered.schema.fields, StructField("final", StringType())]))
+
 
-    ordered = thin.orderBy(*order).coalesce(1).mapInPandas(run, "r_id string, r_path string, final string")
-    ok = rows.where("state = 'eligible'").join(ordered, (F.col("source_chunk_id") == F.col("r_id")) & (F.col("source_path") == F.col("r_path"))).withColumn("state", F.col("final")).drop("r_id", "r_path", "final")
+def _prefix(thin: DataFrame, limit: int, per_source: int) -> DataFrame:
+    """The rows, in order, that decide what is created: a bounded number, whatever the table.
+
+    Of equal contents in a source only the first can be created. A content that is not yet created was turned
+    away by full sources only, of which there are at most limit / per_source; a source's candidates were turned
+    away by created contents only, of which there are at most `limit`. So before the last creation stand at most
+    `limit` contents with that many sources each, and as many full sources with `limit` contents each.
+    """
+    order = ranking()
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    full = limit // per_source if per_source > 0 else 0
+    rows = thin.withColumn("at", rank("content_hash", "source_path")).where("at = 1")
+    rows = rows.withColumn("at", rank("content_hash")).where(F.col("at") <= full + 1)
+    if per_source > 0:
+        rows = rows.withColumn("at", rank("source_path")).where(F.col("at") <= limit)
+    return rows.drop("at").orderBy(*order).limit(limit * (full + 1) + full * limit)
+
+
+def admit_in_order(found: DataFrame, blocked: DataFrame, min_confidence: float = DEFAULT_CONFIDENCE, limit: int = CANDIDATE_LIMIT, per_source: int = CANDIDATE_SOURCE_LIMIT) -> DataFrame:
+    """The real run: as admit(), but a created memory blocks its content for the rest of the run.
+
+    What is admitted depends on all that came before. With a `limit`, a bounded number of rows decides which are
+    created; they go through one task in order, and every other row is decided by joins with the created ones. A
+    limit of 0 means none: then all eligible rows go through one task, as ids and hashes without their contents.
+    A chunk's id is expected once in a source.
+    """
+    rows = _judged(found, blocked, min_confidence)
+    thin = rows.where("state = 'eligible'").select("source_chunk_id", "source_path", "content_hash", "is_compaction", "source_type", "tokens", "chunk_index")
+    if limit <= 0:
+        done = _decided(thin.orderBy(*ranking()), limit, per_source).select(F.col("source_chunk_id").alias("r_id"), F.col("source_path").alias("r_path"), "final")
+        same = (F.col("source_chunk_id") == F.col("r_id")) & (F.col("source_path") == F.col("r_path"))
+        ok = rows.where("state = 'eligible'").join(done, same).withColumn("state", F.col("final")).drop("r_id", "r_path", "final")
+        return rows.where("state <> 'eligible'").unionByName(ok)
+    # a row's place in the order as a struct, which compares field by field
+    place = F.struct(~F.col("is_compaction"), F.coalesce(F.col("source_type") != "agent_session", F.lit(True)), -F.col("tokens"), "source_path", "chunk_index", "source_chunk_id")
+    made = _decided(_prefix(thin, limit, per_source), limit, per_source).where("final = 'created'")
+    made = made.select(F.col("content_hash").alias("m_hash"), F.col("source_path").alias("m_path"), place.alias("m_at"))
+    in_source = Window.partitionBy("m_path").orderBy("m_at")
+    filled = made.withColumn("n", F.row_number().over(in_source)).where(F.col("n") == per_source).select(F.col("m_path").alias("f_path"), F.col("m_at").alias("f_at"))
+    last = made.agg(F.count("*").alias("made_n"), F.max("m_at").alias("last_at"))
+    # at most `limit` rows on the small side of each join
+    at = rows.where("state = 'eligible'").withColumn("place", place)
+    at = at.join(F.broadcast(made.select("m_hash", F.col("m_at"))), F.col("content_hash") == F.col("m_hash"), "left")
+    at = at.join(F.broadcast(filled), F.col("source_path") == F.col("f_path"), "left").crossJoin(F.broadcast(last))
+    state = F.when(F.col("m_at") == F.col("place"), "created").when(F.col("m_at") < F.col("place"), "duplicate_unverified").when(F.col("f_at") < F.col("place"), "source_limit").when((F.col("made_n") >= limit) & (F.col("last_at") < F.col("place")), "limit")
+    ok = at.withColumn("state", state).drop("place", "m_hash", "m_at", "f_path", "f_at", "made_n", "last_at")
     return rows.where("state <> 'eligible'").unionByName(ok)
 
 

@@ -159,6 +159,29 @@ def test_in_order_blocks_within_the_run(spark):
     assert sorted(r.state for r in candidates.admit_in_order(found, _none(spark)).collect()) == ["created", "duplicate_unverified"]
 
 
+@pytest.mark.parametrize(("limit", "per_source"), [(7, 2), (3, 3), (20, 1), (5, 0), (0, 2), (500, 2)])
+def test_in_order_against_a_loop(spark, limit, per_source):
+    """Contents that come again in and across sources, sources that fill up, and both caps."""
+    texts = [f"fact number {i * i % 17} of the corpus with enough words to count" + " more" * (i * 7 % 5) for i in range(90)]
+    found = candidates.candidates(*_chunk_rows(spark, [(f"/s{i * i % 11}.md", "agent_session" if i * i % 11 in (0, 3) else "project_docs", t) for i, t in enumerate(texts)])).cache()
+    want, seen, used, made = {}, set(), {}, 0
+    for r in found.where("verdict = 'candidate'").orderBy(*candidates.ranking()).collect():
+        key = (r.source_chunk_id, r.source_path)
+        if r.content_hash in seen:
+            want[key] = "duplicate_unverified"
+        elif per_source > 0 and used.get(r.source_path, 0) >= per_source:
+            want[key] = "source_limit"
+        elif limit > 0 and made >= limit:
+            want[key] = "limit"
+        else:
+            want[key], made = "created", made + 1
+            used[r.source_path] = used.get(r.source_path, 0) + 1
+            seen.add(r.content_hash)
+    got = candidates.admit_in_order(found.where("verdict = 'candidate'"), _none(spark), 0.0, limit, per_source)
+    assert {(r.source_chunk_id, r.source_path): r.state for r in got.collect()} == want
+    found.unpersist()
+
+
 def test_noise(spark):
     bad = ["please Continue the conversation from where it left off", "x\n 2. All user messages:", " [User]: hi", "1. run `git log`\n2. check `ls`"]
     good = ["a plain fact", "1. run `git log`\n2. think\n3. write"]

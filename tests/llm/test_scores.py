@@ -139,6 +139,26 @@ def test_cutoffs_are_certified():
     assert 0.01 < cuts["en"][0] < 0.3 and cuts["en"][1:] == [math.inf] * 4 and cuts["de"] == [math.inf] * 5
 
 
+def test_small_strata_are_certified_by_one_rule():
+    """300 good holdouts carry one rule at the whole error, 100 none; a rule that adds nothing takes no share."""
+    def rows(part, n):
+        good = [(part, 1, i % 3 == 0, (0.0, 0.0, 0.0, 0.0, 0.0)) for i in range(n)]
+        return good + [(part, 0, i % 3 == 0, (0.1 + i / 1000, 0.0, 0.0, 0.0, 0.05)) for i in range(60)]
+
+    cuts = quality_rules.certify(rows("de", 450) + rows("es", 150))
+    assert 0 < cuts["de"][0] < 0.1 and cuts["de"][1:] == [math.inf] * 4 and cuts["es"] == [math.inf] * 5
+
+
+def test_false_rejections_stay_within_alpha():
+    """Where good and bad rows overlap, good rows not seen before are rejected at most at the rate alpha."""
+    r = random.Random(3)
+    for _ in range(10):
+        rows = [("en", int(i % 4 > 0), i % 3 == 0, (r.gauss(1 if i % 4 else 3, 1), 0.0, 0.0, 0.0, r.gauss(1 if i % 4 else 3, 1))) for i in range(12_000)]
+        cut = quality_rules.certify(rows)["en"]
+        fresh = [(r.gauss(1, 1), r.gauss(1, 1)) for _ in range(20_000)]
+        assert sum(a > cut[0] or b > cut[4] for a, b in fresh) <= 0.025 * len(fresh) and min(cut[0], cut[4]) < 5
+
+
 def test_all_labels_count(spark):
     """A language with 2,600 good labels among 60,000 is certified; a common sample of 40,000 rows leaves it too few."""
     rare, bad = F.col("doc_id") % 20 == 0, F.col("doc_id") % 300 < 40

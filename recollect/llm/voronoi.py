@@ -11,7 +11,7 @@ tasks of bounded size; a task visits its rings in falling order of their bounds,
 those that the best found so far rule out. Partial results are merged by query.
 
 Sums are exact: in doubles while they stay below 2^53, in whole numbers of any size beyond.
-Scores beyond the range of a long are cut to its ends.
+Scores beyond +-(2^63 - 1) are cut to these ends.
 
 Edge cases: vectors that are null or empty, or have components that are null or not finite after
 the product by 64, neither ask nor answer; a query's candidates are the vectors of its length;
@@ -37,7 +37,7 @@ from recollect.workers import ship
 
 #: Parts into which the copies of a vector are split before their least ids meet.
 SALTS = 64
-_LEAST, _MOST = -(2**63), 2**63 - 1
+_LEAST, _MOST = -(2**63 - 1), 2**63 - 1  # of scores; both can be negated
 
 
 @dataclass(frozen=True)
@@ -232,7 +232,6 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, c: Cells = Cells())
     every_bundle = blocks.select(F.col("part").alias("block"), "dim", "hs", "data").withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
     def solve(found: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = {"h": [], "ids": [], "score": []}
         if len(found) and len(block):
             row = block.iloc[0]
             dim = int(row["dim"])
@@ -273,8 +272,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, c: Cells = Cells())
                 done = times == most
                 floor[full[done]] = best[1][last[done]]
             hs = list(row["hs"])
-            return pd.DataFrame({"h": [hs[i] for i in best[0]], "ids": [ids[i] for i in best[2]], "score": best[1]})
-        return pd.DataFrame(out)
+            return pd.DataFrame({"h": [hs[i] for i in best[0]], "ids": [ids[i] for i in best[2]], "score": best[1]}, dtype=object)
+        return pd.DataFrame({"h": [], "ids": [], "score": []}, dtype=object)
 
     hits = dealt.groupBy("block", "bundle").cogroup(every_bundle.groupBy("block", "bundle")).applyInPandas(solve, "h binary, ids array<long>, score long")
     place = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("score"), F.col("ids")[0]))

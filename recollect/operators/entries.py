@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
+from recollect.operators import context
 
 #: Catalog types that are read, and the source type of their records.
 PARSED_AS = {"project_root": "project_docs", "document": "project_docs", "agent_root": "agent_session"}
@@ -47,6 +48,22 @@ def as_actions(dispatched: DataFrame) -> DataFrame:
     )
 
 
+def outside(rows: DataFrame, dirs: DataFrame) -> DataFrame:
+    """Rows whose path (column plain) lies in none of some directories (column dir): a join on each row's ancestors."""
+    inside = context.inside_any(rows, "plain", "source_id", dirs.select(F.col("dir").alias("path_or_alias")))
+    return rows.join(inside.select(F.col("source_id").alias("a_id")).distinct(), F.col("source_id") == F.col("a_id"), "left_anti")
+
+
+def listing_errors(problems: DataFrame, roots: list[tuple[int, str]]) -> DataFrame:
+    """Rows of a classified listing for directories below the roots that could not be listed; the roots' own errors are their entries'."""
+    none, plain = F.lit(None), F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    rows = problems.where(~plain.isin([p for _, p in roots]))
+    return rows.groupBy(F.col("path").alias("source_path")).agg(F.min("problem").alias("reason")).select(
+        F.col("source_path").alias("source_id"), "source_path", F.lit("directory").alias("source_type"), F.lit("error").alias("action"), "reason", none.cast("string").alias("previous_status"), none.cast("string").alias("previous_hash"),
+        none.cast("string").alias("new_hash"), none.cast("timestamp").alias("modified"),
+    )
+
+
 def ledger_rows(dispatched: DataFrame, catalog: DataFrame, now: Column) -> DataFrame:
     """Ledger rows (without times of creation) for the entries that are not walked."""
     text = F.col("reason")

@@ -63,9 +63,21 @@ def missing_sources(ledger: DataFrame, seen: DataFrame, physical: DataFrame, roo
     return unseen.join(physical.select(F.col("path").alias("p_path")), T.physical_path(unseen["source_path_or_alias"]) == F.col("p_path"), "left_anti")
 
 
+def as_unchanged(ledger: DataFrame, time: str) -> DataFrame:
+    """Rows of a classified listing for ledger rows whose files were not opened; time: the column with the files' times."""
+    none = F.lit(None)
+    return ledger.select(
+        "source_id", F.col("source_path_or_alias").alias("source_path"), "source_type", F.lit("unchanged").alias("action"), none.cast("string").alias("reason"), F.col("status").alias("previous_status"),
+        none.cast("string").alias("previous_hash"), F.col("content_hash").alias("new_hash"), F.col(time).alias("modified"),
+    )
+
+
 def upsert(table: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """New rows replace old ones of their key, except for the columns to keep; of several new ones the last by updated_at counts."""
-    last = Window.partitionBy(key).orderBy(*([F.desc("updated_at")] if "updated_at" in new.columns else [F.lit(1)]))
+    """New rows replace old ones of their key, except for the columns to keep.
+
+    Of several new ones the last by updated_at counts, then the one of the greatest hash, so that every run picks the same.
+    """
+    last = Window.partitionBy(key).orderBy(*([F.desc("updated_at")] if "updated_at" in new.columns else []), F.desc(F.xxhash64(*new.columns)))
     new = new.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
     o, n = table.alias("o"), new.select(*table.columns).withColumn("_new", F.lit(True)).alias("n")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")

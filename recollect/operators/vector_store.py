@@ -29,7 +29,7 @@ class HashingEmbedder:
     name, dimensions = "hashing", EMBEDDING_DIMENSIONS
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [embedding.embed_text(t) for t in texts]
+        return [embedding.embed_text(t) if t.strip() else [0.0] * self.dimensions for t in texts]
 
 
 def register(spark: SparkSession, embedder: Embedder, name: str = "embed"):
@@ -44,6 +44,31 @@ def register(spark: SparkSession, embedder: Embedder, name: str = "embed"):
     return embed
 
 
+def register_checked(spark: SparkSession, embedder: Embedder):
+    """The same, with errors as values: a text gives a struct of vector and error, one of them null.
+
+    A batch that fails is tried again text by text, so that one text's failure is its own.
+    """
+    ship(spark)
+
+    def one(text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return embedder.embed([text])[0], None
+        except Exception as e:
+            return None, str(e)[:200] or type(e).__name__
+
+    @F.pandas_udf("vector array<double>, error string")
+    def embed(texts: pd.Series) -> pd.DataFrame:
+        own = ["" if t is None else t for t in texts]
+        try:
+            rows = [(v, None) for v in embedder.embed(own)]
+        except Exception:
+            rows = [one(t) for t in own]
+        return pd.DataFrame({"vector": pd.Series([v for v, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
+
+    return embed
+
+
 class VectorStore(Protocol):
     def upsert(self, points: DataFrame) -> None: ...
 

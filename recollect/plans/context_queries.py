@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from recollect.operators import discovery as D
 from recollect.operators import entries as N
 from recollect.plans import fixtures as fx
 from recollect.plans import sql as S
+from recollect.scratch import shared_dir
 from recollect.streaming import streams
 
 #: Texts with paths, documents and hosts in them, made from the test tables.
@@ -126,9 +126,8 @@ def related_servers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _place(spark: SparkSession) -> str:
-    """A folder of its own, shared where the cluster names a shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one."""
+    return f"{shared_dir(spark)}/recollect/stream-{uuid.uuid4().hex}"
 
 
 def _drained(spark: SparkSession, df: DataFrame) -> DataFrame:

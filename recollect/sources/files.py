@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
+from recollect.scratch import Scratch
+from recollect.sources import walk
+from recollect.sources.walk import Rules
 
 # Fixed values
 PROJECT_EXTENSIONS = (".md", ".markdown", ".txt", ".py", ".toml", ".yaml", ".yml", ".json")
@@ -25,34 +30,38 @@ DOC_EXCLUDED_NAMES = (
 MAX_READ_CHARS = 200_000
 
 
-def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+PROJECT = Rules(PROJECT_EXCLUDED, suffixes=PROJECT_EXTENSIONS)
+DOCUMENTS = Rules(DOC_EXCLUDED, DOC_EXCLUDED_PREFIXES, DOC_EXTENSIONS, DOC_EXCLUDED_NAMES)
+LOGS = Rules(suffixes=(".jsonl",))
 
 
-def _inside(path: Column, root: str) -> Column:
-    """The path below a root, without scheme."""
-    plain = F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
-    clean = "/" + root.split("://")[-1].strip("/") if "://" in root or root.startswith("/") else root
-    return F.regexp_replace(plain, "^" + re.escape(clean), "")
+def _texts(spark: SparkSession, root: str, rules: Rules) -> DataFrame:
+    """path, modified, length, text of the files below a root that could be read."""
+    run = Scratch(spark)
+    listed = walk.listing(spark, [(0, root)], {0: rules}, run).where("problem is null")
+    return walk.read_texts(listed.select("path", "modified", "length")).where("error is null").drop("error")
 
 
 def scan_project(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """path, modified, length (and text): files of known extensions outside the excluded directories."""
-    rows = _binary(spark, root)
-    parts = F.slice(F.split(_inside(F.col("path"), root), "/"), 1, 1000)
-    keep = T.suffix("path").isin(*PROJECT_EXTENSIONS) & ~F.arrays_overlap(parts, F.array(*(F.lit(d) for d in PROJECT_EXCLUDED)))
-    rows = rows.where(keep)
-    cols = ["path", F.col("modificationTime").alias("modified"), "length"]
-    return rows.select(*cols, F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text")) if content else rows.select(*cols)
+    """path, modified, length (and text): files of known extensions outside the excluded directories, which are not entered."""
+    if not content:
+        return walk.listing(spark, [(0, root)], {0: PROJECT}, Scratch(spark)).where("problem is null").select("path", "modified", "length")
+    return _texts(spark, root, PROJECT).select("path", "modified", "length", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "text")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, on any file system that Spark reads; a malformed one is not."""
+    """Whether a path is there, on any file system that Spark reads; a malformed one is not. A file system that fails is an error."""
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    except Exception:
+    except IllegalArgumentException as e:
+        if "UnknownHostException" in str(e):
+            raise OSError(f"{path}: {e}"[:200]) from e
         return False
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "UnsupportedFileSystemException":
+            return False
+        raise OSError(f"{path}: {e.java_exception.getMessage()}") from e
 
 
 def is_dir(spark: SparkSession, path: str) -> bool:
@@ -70,30 +79,23 @@ def plain_text(path: str) -> str:
 
 
 def scan_documents(spark: SparkSession, root: str) -> DataFrame:
-    """path, modified, content_hash, text of documents: by extension and name, outside excluded directories, mostly letters."""
-    rows = _binary(spark, root)
-    parts = F.split(_inside(F.col("path"), root), "/")
-    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1)))
-    bad_dir = F.exists(dirs, lambda d: d.isin(*DOC_EXCLUDED) | d.rlike("^(" + "|".join(DOC_EXCLUDED_PREFIXES) + ")"))
-    name = F.element_at(parts, -1)
-    rows = rows.where(T.suffix("path").isin(*DOC_EXTENSIONS) & ~bad_dir & ~name.isin(*DOC_EXCLUDED_NAMES))
-    texts = rows.select("path", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
-    return texts.where(T.passes_alpha_filter("text"))
+    """path, modified, content_hash, text of documents: by extension and name, mostly letters; excluded directories are not entered."""
+    texts = _texts(spark, root, DOCUMENTS).where(T.passes_alpha_filter("text"))
+    return texts.select("path", "modified", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "text")
 
 
-def document_records(spark: SparkSession, root: str, project: str, source_tool: str = "", privacy_scope: str = "local_only") -> DataFrame:
-    rows = scan_documents(spark, root)
+def as_records(rows: DataFrame) -> DataFrame:
+    """RECORD rows (and error) of documents read: path, modified, text, error, project, source_tool, privacy_scope."""
     none = F.lit(None)
     return rows.select(
-        F.lit(project).alias("project"), F.lit("project_docs").alias("source_type"), F.col("path").alias("source_path"), F.lit(source_tool).alias("source_tool"), "text", none.cast("string").alias("session_id"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"),
-        F.col("modified").alias("last_modified"), F.lit(privacy_scope).alias("privacy_scope"), none.cast("int").alias("exchange_index"), none.cast("int").alias("session_line_count"), F.lit(False).alias("is_compaction"),
+        "project", F.lit("project_docs").alias("source_type"), F.col("path").alias("source_path"), "source_tool", "text", none.cast("string").alias("session_id"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"),
+        F.col("modified").alias("last_modified"), "privacy_scope", none.cast("int").alias("exchange_index"), none.cast("int").alias("session_line_count"), F.lit(False).alias("is_compaction"), "error",
     )
 
 
-def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path and SHA-256 of each file; files that cannot be read get an empty hash."""
-    rows = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(paths)
-    return rows.select("path", F.coalesce(F.sha2("content", 256), F.lit("")).alias("content_hash"))
+def document_records(spark: SparkSession, root: str, project: str, source_tool: str = "", privacy_scope: str = "local_only") -> DataFrame:
+    rows = scan_documents(spark, root).withColumns({"project": F.lit(project), "source_tool": F.lit(source_tool), "privacy_scope": F.lit(privacy_scope), "error": F.lit(None).cast("string")})
+    return as_records(rows).drop("error")
 
 
 def bounded(text: Column | str, limit: int = MAX_READ_CHARS) -> tuple[Column, Column]:

@@ -1,5 +1,6 @@
 """Agent session logs: JSON lines of several dialects, as VARIANT, into exchanges and digests.
 
+Logs are read in splits, and nothing that is gathered grows with a session, but for its digests.
 `content` is a string in some rows and an array of blocks in others, which is why lines are
 parsed to VARIANT and not with an inferred schema.
 """
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
+from recollect.scratch import Scratch
 
 MAX_EXCHANGE_CHARS = 600
 # Fixed values
@@ -20,14 +22,24 @@ RESUMED = "This session is being continued"
 ROLES = ("user", "assistant", "system")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, modified, line_no, v: every line of the *.jsonl files below a path that is a JSON object.
+def log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, modified, line_no and line of the *.jsonl files below paths; large files are read in splits.
 
-    Line numbers count within a file and stay in order: each file is read whole by one task.
+    Line numbers rise in a file, with gaps: within a split rows come in order and Spark's ids
+    rise; splits are told apart by where they start.
     """
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-    rows = lines.withColumn("line", T.strip("line")).where("line <> ''").withColumn("v", F.try_parse_json("line"))
+    if not paths:
+        return spark.createDataFrame([], "file string, modified timestamp, line_no long, line string")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", True).text(paths)
+    meta = "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_block_start"
+    rows = raw.select(*(F.col(m) for m in meta), F.monotonically_increasing_id().alias("i"), "value")
+    line_no = F.col("file_block_start") * 1024 + F.col("i") % F.lit(1 << 33)
+    return rows.select(F.col("file_path").alias("file"), F.col("file_modification_time").alias("modified"), line_no.alias("line_no"), F.col("value").alias("line")).where("trim(line) <> ''")
+
+
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, modified, line_no, v: every line that is a JSON object."""
+    rows = log_lines(spark, paths).withColumn("v", F.try_parse_json(T.strip("line")))
     return rows.where("v is not null and schema_of_variant(v) like 'OBJECT%'").select("file", "modified", "line_no", "v")
 
 
@@ -98,17 +110,27 @@ def exchange_text(user: Column, assistant: Column, limit: int = MAX_EXCHANGE_CHA
     return F.when((assistant != "") & (left > 20), F.concat(F.lit("[User]: "), u, F.lit("\n[Assistant]: "), F.substring(assistant, F.lit(1), left))).otherwise(F.concat(F.lit("[User]: "), u))
 
 
-def exchanges(rows: DataFrame, session: str = "file", order: str = "line_no") -> DataFrame:
+def exchanges(rows: DataFrame, session: str = "file", order: str = "line_no", limit: int = MAX_EXCHANGE_CHARS) -> DataFrame:
     """session, exchange_index (from 0), text: a user's message and the answers up to the next one.
 
     rows: session, order, role, text. Messages of the user that are noise neither open nor close.
+    One shuffle by session. Running sums, which need one row at a time, number the turns and tell
+    where in its turn an answer begins; answers beyond the limit go before any are gathered, so a
+    turn holds at most `limit` pieces, however long the session is.
     """
-    w = Window.partitionBy(session).orderBy(order)
     opens = F.col("role").eqNullSafe("user") & ~noise_user_text("text")
-    kept = rows.where(opens | (F.col("role") == "assistant")).withColumn("turn", F.sum(opens.cast("int")).over(w)).where("turn > 0")
-    answers = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct(F.col(order), T.strip("text").alias("t"))))), lambda x: x["t"])
-    grouped = kept.groupBy(session, "turn").agg(F.max(F.when(F.col("role") == "user", T.strip("text"))).alias("user"), T.strip(F.array_join(answers, " ")).alias("assistant"))
-    return grouped.select(session, (F.col("turn") - 1).cast("int").alias("exchange_index"), exchange_text(F.col("user"), F.col("assistant")).alias("text"))
+    cut = rows.select(session, order, opens.alias("opens"), (F.col("role") == "assistant").alias("answers"), T.strip("text").alias("t")).where("opens or answers")
+    cut = cut.select(session, order, "opens", F.length("t").alias("size"), F.substring("t", 1, limit + 1).alias("t"))
+    past = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = cut.withColumn("turn", F.sum(F.col("opens").cast("int")).over(past(session))).where("turn > 0")
+    # blank answers at the start of a turn are not part of the text
+    said = turns.withColumn("said", F.sum((~F.col("opens") & (F.col("size") > 0)).cast("int")).over(past(session, "turn"))).where("opens or said > 0")
+    before = F.sum(F.when(~F.col("opens"), F.col("size") + 1).otherwise(0)).over(past(session, "turn").rowsBetween(Window.unboundedPreceding, -1))
+    kept = said.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("opens") | (F.col("before") < limit))
+    pieces = F.transform(F.array_sort(F.collect_list(F.when(~F.col("opens"), F.struct(F.col(order), "t")))), lambda x: x["t"])
+    grouped = kept.groupBy(session, "turn").agg(F.max(F.when(F.col("opens"), F.col("t"))).alias("user"), F.array_join(pieces, " ").alias("joined"))
+    assistant = F.when(F.length("joined") > limit, F.substring("joined", 1, limit)).otherwise(T.strip("joined"))
+    return grouped.select(session, (F.col("turn") - 1).cast("int").alias("exchange_index"), exchange_text(F.col("user"), assistant, limit).alias("text"))
 
 
 def digests(lines: DataFrame) -> DataFrame:
@@ -161,9 +183,12 @@ def session_values(lines: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(first("i").alias("i"), first("w").alias("created_at"), first("m").alias("model"), F.count("*").cast("int").alias("n_lines")).select("file", F.coalesce("i", stem).alias("session_id"), "created_at", "model", "n_lines")
 
 
-def session_records(spark: SparkSession, path: str, project: str, source_tool: str = "", privacy_scope: str = "local_only") -> DataFrame:
-    """Ingestion records of all sessions below a path: one for each exchange, and one digest."""
-    lines = read_lines(spark, path).cache()
+def session_records(spark: SparkSession, path: str | list[str], project: str, source_tool: str = "", privacy_scope: str = "local_only", run: Scratch | None = None) -> DataFrame:
+    """Ingestion records of all sessions below a path (or of a list of files): one for each exchange, and one digest.
+
+    Parsed lines are written once, to the tables of `run`.
+    """
+    lines = (run or Scratch(spark)).keep(read_lines(spark, path), "lines")
     turns = exchanges(messages(lines)).withColumn("is_compaction", F.lit(False))
     n = turns.groupBy(F.col("file").alias("n_file")).agg(F.count("*").cast("int").alias("n"))
     summary = digests(lines)

@@ -1,23 +1,37 @@
-"""A store of versioned Parquet snapshots: every change of tables is a new version, named by one small file.
-
-<root>/<table>/v=<n>-<key>/ holds a table as version n wrote it; <root>/history/<n>.json names the
-folders of all tables in version n. That file is created last and never replaced, so readers see
-all of a change or nothing, and of two writers of one version the later one fails. The greatest
-complete file is the version in force. Paths go through Hadoop's file system, so the store can
-lie on any that Spark reads.
+"""A store of versioned Parquet tables: every change is a new version, named by one small file.
+
+A table is a list of folders, each written by one job: <root>/<table>/v=<n>-<key>/. The version
+file <root>/history/<n>.json names the folders of all tables. It is created last and never
+replaced, so readers see all of a change or nothing. The greatest complete file is the version
+in force. Paths go through Hadoop's file system, so the store can lie on any that Spark reads.
+
+* Appended rows are a folder of their own, so an append writes its rows and one version file. It
+  holds nothing that another change could contradict: if another version came first, the
+  same folder goes into the next one. Every FAN folders of a level are merged into one of the next.
+* Rows that a change replaces are looked up by key. The files that hold some are written anew
+  without them and left out of their folders from then on; all other files stay.
+* A change made from a state that is no longer in force fails with ConflictError. `change` makes
+  it again from the new state.
+* A change can carry the number of a stream's batch; a batch that is in already is passed by.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import ids
+from recollect.operators.refresh import upsert
 from recollect.schemas import KEYS, SCHEMA_VERSION, TABLES
 
+#: Folders of one level that become one of the next.
+FAN = 16
+
 
 class ConflictError(RuntimeError):
     """Another writer has published a version meanwhile."""
@@ -84,37 +98,129 @@ class Store:
 
     def init(self) -> None:
         """Create every table that is not there yet; safe to repeat."""
-        have = self.current()["tables"]
-        new = {t: self.spark.createDataFrame([], s) for t, s in TABLES.items() if t not in have}
-        if new:
-            self.publish(new)
+        self.change(lambda base: {t: [] for t in TABLES if t not in base["tables"]})
 
     def exists(self, table: str) -> bool:
         return table in self.current()["tables"]
 
-    def read(self, table: str) -> DataFrame:
-        """A table as the pointer says now; an absent one is empty."""
-        at = self.current()["tables"].get(table)
-        if at is None:
+    # folders
+
+    @staticmethod
+    def _folders(state: dict, table: str) -> list[dict]:
+        """at, level and the names of files left out, of each folder; a plain name is a folder of an earlier store."""
+        held = state["tables"].get(table, [])
+        return [{"at": held, "level": 0, "without": []}] if isinstance(held, str) else held
+
+    def _names(self, table: str, folder: dict) -> list[str]:
+        found = self._fs().listStatus(self._path(f"{self.root}/{table}/v={folder['at']}"))
+        names = (s.getPath().getName() for s in found)
+        return [n for n in names if not n.startswith(("_", ".")) and n not in folder["without"]]
+
+    def _rows(self, table: str, folders: list[dict]) -> DataFrame:
+        paths = []
+        for f in folders:
+            at = f"{self.root}/{table}/v={f['at']}"
+            paths += [f"{at}/{n}" for n in self._names(table, f)] if f["without"] else [at]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={at}")
+        return self.spark.read.schema(TABLES[table]).parquet(*paths)
+
+    def read(self, table: str, state: dict | None = None) -> DataFrame:
+        """A table as it is now, or in a given state; an absent one is empty."""
+        return self._rows(table, self._folders(state or self.current(), table))
+
+    def write(self, table: str, rows: DataFrame, level: int = 0) -> dict:
+        """A new folder with these rows; it is in no version yet."""
+        at = f"{(self._versions() or [0])[0] + 1}-{uuid.uuid4().hex[:12]}"
+        names = [f.strip().split(" ")[0] for f in _fields(TABLES[table])]
+        rows.select(*names).write.parquet(f"{self.root}/{table}/v={at}")
+        return {"at": at, "level": level, "without": []}
+
+    def appended(self, base: dict, table: str, folder: dict) -> list[dict]:
+        return [*self._folders(base, table), folder]
+
+    def replaced(self, base: dict, table: str, keys: DataFrame, key: str, new: Callable[[DataFrame], DataFrame]) -> list[dict]:
+        """The table's folders after the rows of some keys (a column `key`) change.
+
+        new gets the rows of the files that hold one of the keys, and returns what takes their place.
+        """
+        folders = self._folders(base, table)
+        old = self._rows(table, folders)
+        wanted = keys.select(F.col(key).alias("_key")).distinct()
+        hit = old.withColumn("_file", F.col("_metadata.file_path")).join(wanted, F.col(key) == F.col("_key"), "left_semi").select("_file").distinct() if folders else None
+        touched = {tuple(r["_file"].rsplit("/", 2)[-2:]) for r in hit.collect()} if folders else set()  # names of files
+        left, out = [], []
+        for f in folders:
+            own = {name for folder, name in touched if folder == f"v={f['at']}"}
+            if not own:
+                out.append(f)
+                continue
+            left += [f"{self.root}/{table}/v={f['at']}/{n}" for n in sorted(own)]
+            rest = f | {"without": sorted({*f["without"], *own})}
+            if self._names(table, rest):
+                out.append(rest)
+        rows = self.spark.read.schema(TABLES[table]).parquet(*left) if left else self.spark.createDataFrame([], TABLES[table])
+        return [*out, self.write(table, new(rows))]
+
+    def _compacted(self, table: str, folders: list[dict]) -> list[dict]:
+        """Every FAN folders of the lowest full level become one of the next."""
+        for level in sorted({f["level"] for f in folders}):
+            own = [f for f in folders if f["level"] == level]
+            if len(own) >= FAN:
+                return [*(f for f in folders if f["level"] != level), self.write(table, self._rows(table, own), level + 1)]
+        return folders
+
+    # changes
+
+    def commit(self, base: dict, folders: dict[str, list[dict]], stream: tuple[str, int] | None = None) -> int:
+        """The version after `base`, in which some tables have other folders; ConflictError if it is not the next one any more."""
+        now = self.current()
+        if now["n"] != base["n"]:
+            raise ConflictError(f"version {now['n']} has come since {base['n']}")
+        n = max([base["n"], *self._versions()[:1]]) + 1
+        streams = base.get("streams", {}) | ({stream[0]: stream[1]} if stream else {})
+        state = {"n": n, "schema_version": SCHEMA_VERSION, "tables": base["tables"] | folders, "streams": streams}
+        self._create(f"{self.root}/history/{n:010d}.json", json.dumps(state))
+        return n
+
+    def change(self, make: Callable[[dict], dict[str, list[dict]]], stream: tuple[str, int] | None = None, attempts: int = 20) -> int:
+        """Commit what `make` makes of the state in force; if another version comes first, make it again from that one."""
+        for left in range(attempts, 0, -1):
+            base = self.current()
+            if stream and base.get("streams", {}).get(stream[0], -1) >= stream[1]:
+                return base["n"]
+            try:
+                folders = make(base)
+                return self.commit(base, folders, stream) if folders else base["n"]
+            except ConflictError:
+                if left == 1:
+                    raise
+        return 0
+
+    def append(self, tables: dict[str, DataFrame]) -> int:
+        """Add rows to tables, in one version. What is written grows with the rows, not with the tables."""
+        new = {t: self.write(t, df) for t, df in tables.items()}
+        n = self.change(lambda base: {t: self.appended(base, t, f) for t, f in new.items()})
+        for t in tables:
+            if max(Counter(f["level"] for f in self._folders(self.current(), t)).values(), default=0) >= FAN:
+                self.change(lambda base, t=t: {t: self._compacted(t, self._folders(base, t))})
+        return n
+
+    def merge(self, table: str, new: DataFrame, key: str | None = None, stream: tuple[str, int] | None = None) -> int:
+        """Rows replace those of their key, except for the time of creation. Only files that hold such rows are written anew."""
+        key = key or KEYS[table]
+        return self.change(lambda base: {table: self.replaced(base, table, new, key, lambda old: upsert(old, new, key))}, stream)
 
     def publish(self, tables: dict[str, DataFrame], base: dict | None = None) -> int:
-        """Write new versions of the tables, then the file that names them.
+        """New contents for whole tables, in one version.
 
         base: the state that the tables were made from (by default the present one); if another
         version has come since, ConflictError, and nothing changes.
         """
-        now = base or self.current()
-        n, key = max([now["n"], *self._versions()[:1]]) + 1, uuid.uuid4().hex[:12]
-        if base is not None and self.current()["n"] != base["n"]:
+        base = base or self.current()
+        if self.current()["n"] != base["n"]:
             raise ConflictError(f"version {self.current()['n']} has come since {base['n']}")
-        for t, df in tables.items():
-            names = [f.strip().split(" ")[0] for f in _fields(TABLES[t])]
-            df.select(*names).write.parquet(f"{self.root}/{t}/v={n}-{key}")
-        state = {"n": n, "schema_version": SCHEMA_VERSION, "tables": now["tables"] | {t: f"{n}-{key}" for t in tables}}
-        self._create(f"{self.root}/history/{n:010d}.json", json.dumps(state))
-        return n
+        return self.commit(base, {t: [self.write(t, df)] for t, df in tables.items()})
 
     def backups(self) -> list[int]:
         """Versions that can be restored, newest first."""
@@ -124,10 +230,28 @@ class Store:
         """Point at an earlier version's tables again; the present one stays restorable."""
         if version not in self.backups():
             raise LookupError(f"no version {version}")
-        state = self._state(version) | {"n": max(self._versions()) + 1}
+        state = self._state(version) | {"n": max(self._versions()) + 1, "streams": self.current().get("streams", {})}
         self._create(f"{self.root}/history/{state['n']:010d}.json", json.dumps(state))
         return state["n"]
 
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete version files but for the newest `keep`, and folders that no kept version names; how many folders went.
+
+        Not for times at which others write: a folder is written before its version.
+        """
+        fs, kept = self._fs(), self.backups()[:keep]
+        named = {(t, f["at"]) for v in kept for t in TABLES for f in self._folders(self._state(v), t)}
+        for v in self._versions():
+            if v not in kept and v < kept[0]:
+                fs.delete(self._path(f"{self.root}/history/{v:010d}.json"), False)
+        gone = 0
+        for t in TABLES:
+            at = self._path(f"{self.root}/{t}")
+            for s in fs.listStatus(at) if fs.exists(at) else ():
+                if (t, s.getPath().getName().removeprefix("v=")) not in named:
+                    gone += bool(fs.delete(s.getPath(), True))
+        return gone
+
     # export
 
     def export(self, path: str, tables: tuple[str, ...] = tuple(TABLES)) -> None:
@@ -138,7 +262,7 @@ class Store:
 
     def load_export(self, path: str) -> int:
         """Replace or add rows by key from an export; ValueError for another version or rows without a key."""
-        fs = self._fs()
+        fs, base = self._fs(), self.current()
         new = {}
         for t, schema in TABLES.items():
             at = f"{path}/table={t}"
@@ -150,9 +274,9 @@ class Store:
             rows = raw.select(F.from_json("row", schema).alias("r")).select("r.*")
             if not rows.where(F.col(KEYS[t]).isNull()).isEmpty():
                 raise ValueError(f"{t}: a row without {KEYS[t]}")
-            old = self.read(t)
+            old = self.read(t, base)
             new[t] = old.join(rows.select(F.col(KEYS[t]).alias("_k")), F.col(KEYS[t]) == F.col("_k"), "left_anti").unionByName(rows)
-        return self.publish(new) if new else self.current()["n"]
+        return self.publish(new, base) if new else base["n"]
 
 
 def _fields(schema: str) -> list[str]:

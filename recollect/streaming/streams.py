@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recollect.operators.refresh import upsert
 from recollect.schemas import STABILITY_SECONDS
+from recollect.sources.store import Store
 
 
 def quiet_sessions(events: DataFrame, time: str = "ts", key: str = "user_id", seconds: int = STABILITY_SECONDS, lateness: str = "10 minutes") -> DataFrame:
@@ -67,13 +67,16 @@ def exchanges(turns: DataFrame, idle_ms: int | None = 600_000) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, exchange_index int, user string, assistant string", "exchange_index int, user string, assistant string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def refresh_into(stream: DataFrame, read, publish, key: str, checkpoint: str) -> StreamingQuery:
-    """Merge whatever has arrived into a table and stop: read() gives its snapshot, publish(df) makes the new one.
+def refresh_into(stream: DataFrame, store: Store, table: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Merge whatever has arrived into a store's table by its key, and stop.
 
-    A file stream sees new files only; files changed in place need the batch comparison.
+    The store keeps the number of the stream's last batch (under `name`, the checkpoint's path by
+    default) in the version that the batch made. If a run ends between that version and the
+    checkpoint, the batch comes again and is passed by. A file stream sees new files only; files
+    changed in place need the batch comparison.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        publish(upsert(read(), batch, key))
+    def merge(batch: DataFrame, number: int) -> None:
+        store.merge(table, batch, stream=(name or checkpoint, number))
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()

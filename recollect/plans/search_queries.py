@@ -136,8 +136,20 @@ def strip_preambles(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.sha2(T.strip_preamble_search("content").cast("binary"), 256).alias("search"), F.sha2(T.strip_preamble_candidate("content").cast("binary"), 256).alias("candidate"))
 
 
+#: Lines that become headings of three depths, by how they begin.
+_AS_HEADINGS = ((r"(?m)^([A-D].*)$", "# "), (r"(?m)^([E-L].*)$", "### "), (r"(?m)^([M-P].*)$", "## "))
+
+
+def _headed(text):
+    for pattern, mark in _AS_HEADINGS:
+        text = F.regexp_replace(text, pattern, mark + "$1")
+    return text
+
+
 def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk(_text(spark, d), "text", 1200, ("doc_id",)).select("doc_id", "chunk_index", "heading_path", "content_hash", "token_count")
+    """Lines of the texts stand for headings by their first letter, as the texts have none."""
+    docs = _text(spark, d).select("doc_id", _headed(F.col("text")).alias("text"))
+    return chunking.chunk(docs, "text", 1200, ("doc_id",)).select("doc_id", "chunk_index", "heading_path", "content_hash", "token_count")
 
 
 def chunk_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -155,9 +167,18 @@ def session_exchanges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_first_values(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d)
-    first = lambda r: F.min_by("text", F.when(F.col("role") == r, F.col("turn")))
-    return t.groupBy("conv_id").agg(F.sha2(first("user").cast("binary"), 256).alias("first_user"), F.sha2(first("assistant").cast("binary"), 256).alias("first_assistant"), F.count("*").alias("n_turns"))
+    """Turns as log lines: the first id, time and model of each session, by the operator that reads logs."""
+    turn = F.col("turn")
+    lines = _turns(spark, d).select(
+        F.concat(F.lit("/logs/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), turn.alias("line_no"),
+        F.struct(
+            F.when(F.col("role") == "assistant", "system").otherwise(F.col("role")).alias("type"), F.when((turn > 0) & (F.col("conv_id") % 3 > 0), F.substring("text", 1, 12)).alias("session_id"),
+            F.struct(F.when(F.col("role") == "user", (F.lit(1767225600) + turn * 60).cast("long")).alias("timestamp"), F.when((F.col("conv_id") % 3 == 0) & (turn > 1), F.concat(F.lit("p-"), turn.cast("string"))).alias("id")).alias("payload"),
+            F.substring("text", 1, 5).alias("model"),
+        ).alias("row"),
+    )
+    values = sessions.session_values(lines.select("file", "line_no", F.parse_json(F.to_json("row")).alias("v")))
+    return values.select("file", "session_id", "created_at", "model", F.col("n_lines").cast("long").alias("n_lines"))
 
 
 def noise_user_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +211,31 @@ _LEXICAL = f"""
           union all select r.id, 1, coalesce(nullif(r.heading_path, ''), {_BASENAME.format("r.path")}), r.path, 'document_chunk', 'active', round(raw * {S.BOOST}, 6) from scored s join rows_ r using (row_id))
 """
 
+def _headed_sql(text: str) -> str:
+    for pattern, mark in _AS_HEADINGS:
+        text = rf"regexp_replace({text}, '{pattern}', '{mark}\1', 'g')"
+    return text
+
+
+#: Line by line: a heading, or a line that does not fit, opens a chunk; headings of the same or a greater depth go when one comes.
+_HEAD = rf"regexp_extract(line, '\A(#{{1,6}}){S.WS}+(.+?){S.WS}*\z', ['depth', 'title'])"
+_HEADING_CHUNKS = rf"""with recursive lines as (
+    select doc_id, generate_subscripts(ls, 1) as i, unnest(ls) as line from (select doc_id, string_split({S.strip(r"regexp_replace(text, '\r\n?', chr(10), 'g')")}, chr(10)) as ls from (select doc_id, {_headed_sql("text")} as text from documents where text is not null))
+), heads as (
+    select doc_id, i, line, length(line) as n, length(h.depth) as depth, {S.strip("h.title")} as title from (select *, {_HEAD} as h from lines)
+), cut as (
+    select doc_id, i, 0 as chunk, n + 1 as size, case when depth > 0 then [{{'d': depth, 't': title}}] else [] end as path from heads where i = 1
+    union all
+    select h.doc_id, h.i, case when h.depth > 0 or c.size + h.n > 1200 then c.chunk + 1 else c.chunk end, case when h.depth > 0 or c.size + h.n > 1200 then h.n + 1 else c.size + h.n + 1 end,
+        case when h.depth > 0 then list_append(list_filter(c.path, lambda p: p.d < h.depth), {{'d': h.depth, 't': h.title}}) else c.path end
+    from cut c join heads h on h.doc_id = c.doc_id and h.i = c.i + 1
+), bodies as (
+    select doc_id, chunk, any_value(path) as path, {S.strip("string_agg(line, chr(10) order by i)")} as body from cut join lines using (doc_id, i) group by doc_id, chunk
+)
+select doc_id, cast(row_number() over (partition by doc_id order by chunk) - 1 as int) as chunk_index, case when len(path) > 0 then array_to_string(list_transform(path, lambda p: p.t), ' > ') end as heading_path,
+    sha256(body) as content_hash, cast({S.token_estimate("body")} as int) as token_count from bodies where body <> ''"""
+
+
 QUERIES = {
     "bm25_topk": (bm25_topk, f"with rows_ as (select doc_id as row_id, text as body from documents) {_BM25_DOCS} select row_id as doc_id, round(raw, 6) as score from scored order by score desc, doc_id limit 50"),
     "bm25_gated_boosted": (bm25_gated_boosted, S.model(f"{_GATED.format(body='c.content')}{_BM25_DOCS}{_CHUNK_HITS} order by score desc, id limit 50")),
@@ -229,7 +275,7 @@ list_extract(string_split(path, '/'), -1) as basename, '.' || list_extract(strin
     "alpha_ratio_filter": (alpha_ratio_filter, r"select * from (select doc_id, round(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text)::double, 6) as ratio, length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text)::double as raw from documents where length(text) > 0) where raw >= 0.75".replace("select * from", "select doc_id, ratio from")),
     "excerpts": (excerpts, f"select doc_id, {S.excerpt('text', 120)} as excerpt, cast(case when length(text) > 400 then 403 else length(text) end as int) as n_head, substr({S.strip(f'list_extract(string_split({S.strip("text")}, chr(10)), 1)')}, 1, 80) as title from documents"),
     "strip_preambles": (strip_preambles, S.model(f"select id, sha256({S.strip_search('content')}) as search, sha256({S.strip_candidate('content')}) as candidate from m_chunks")),
-    "heading_chunks": (heading_chunks, None),
+    "heading_chunks": (heading_chunks, _HEADING_CHUNKS),
     "chunk_bounds": (chunk_bounds, f"select doc_id, cast({S.token_estimate('text')} as bigint) as n_tokens from documents where {S.token_estimate('text')} > 0"),
     "session_exchanges": (
         session_exchanges,
@@ -238,7 +284,17 @@ list_extract(string_split(path, '/'), -1) as basename, '.' || list_extract(strin
 , t as (select conv_id, ex, max(case when role = 'user' then {S.strip("text")} end) as u, {S.strip("string_agg(case when role = 'assistant' then " + S.strip("text") + " end, ' ' order by turn)")} as a from g where ex > 0 group by 1, 2)
 select conv_id, cast(ex - 1 as int) as exchange_index, case when coalesce(a, '') <> '' and 600 - length(substr(u, 1, 600)) > 20 then '[User]: ' || substr(u, 1, 600) || chr(10) || '[Assistant]: ' || substr(a, 1, 600 - length(substr(u, 1, 600))) else '[User]: ' || substr(u, 1, 600) end as text from t""",
     ),
-    "session_first_values": (session_first_values, "select conv_id, sha256(arg_min(text, turn) filter (where role = 'user')) as first_user, sha256(arg_min(text, turn) filter (where role = 'assistant')) as first_assistant, count(*) as n_turns from conversations group by 1"),
-    "noise_user_filter": (noise_user_filter, f"select conv_id, turn from conversations where role = 'user' and turn % 4 <> 0 and turn % 7 <> 3 and length({S.strip('text')}) >= 3"),
+    "session_first_values": (
+        session_first_values,
+        f"""with t as (select *, {S.strip("substr(text, 1, 12)")} as short, {S.strip("substr(text, 1, 5)")} as name from conversations)
+select '/logs/' || conv_id || '.jsonl' as file, coalesce(arg_min(case when conv_id % 3 = 0 then case when turn > 1 then 'p-' || turn end when turn > 0 then nullif(short, '') end, turn), 'session:' || conv_id) as session_id,
+    arg_min(case when role = 'user' then strftime(to_timestamp(1767225600 + turn * 60) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' end, turn) as created_at,
+    arg_min(case when role in ('assistant', 'system') then nullif(name, '') end, turn) as model, count(*) as n_lines from t group by conv_id""",
+    ),
+    "noise_user_filter": (
+        noise_user_filter,
+        f"""with t as (select conv_id, turn, role, {S.strip("case when turn % 4 = 0 then ' <system>' || text when turn % 7 = 3 then substr(text, 1, 2) else text end")} as t from conversations)
+select conv_id, turn from t where role = 'user' and length(t) >= 3 and not ({" or ".join(f"starts_with(t, '{p}')" for p in sessions.NOISE_PREFIXES)})""",
+    ),
     "epoch_values": (epoch_values, "select event_id, case event_id % 3 when 0 then strftime(to_timestamp(1767225600 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' when 1 then strftime(to_timestamp(1770887989 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' end as iso from events"),
 }

@@ -10,7 +10,8 @@ in every shard; hits are rescored in double precision on the original vectors an
 
 Edge cases: null or zero vectors, or ones with null or non-finite components, neither ask nor
 answer; vectors of another length than the most frequent one take no part; null ids take no
-part; rows that share an id are candidates each; fewer than k candidates give all of them; an
+part; rows of the same id and the same vector are one row, rows of one id with other vectors are
+candidates each, but none for its own id; fewer than k candidates give all of them; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -28,6 +29,10 @@ from recollect.llm.common import stored, table
 from recollect.workers import ship
 
 
+#: Bound of the error of a cosine of single precision unit vectors.
+ROUNDING = 2e-6
+
+
 @dataclass(frozen=True)
 class Graph:
     """Neighbours of a node, candidates kept in building and searching, nodes inserted at once, vectors of a shard, queries of a block."""
@@ -189,6 +194,25 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def found_by(world: SmallWorld, q: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and the nodes found for them. Where what is found ends in a tie, within rounding, the shard's other nodes of that tie are added."""
+    found, sims = world.search(q, keep)
+    n = len(world.x)
+    last = np.where(found >= 0, sims, np.inf).min(1)
+    tied = np.flatnonzero((last >= sims[:, min(k, sims.shape[1] - 1)] - ROUNDING) & ((found >= 0).sum(1) < n))
+    rows, cols = np.nonzero(found >= 0)
+    nodes = found[rows, cols]
+    kept = ~np.isin(rows, tied)
+    rows, nodes = [rows[kept]], [nodes[kept]]
+    for at in (tied[i : i + 256] for i in range(0, len(tied), 256)):
+        all_ = q[at] @ world.x.T
+        least = np.partition(all_, max(0, n - k - 1), axis=1)[:, max(0, n - k - 1)]
+        r, c = np.nonzero(all_ >= least[:, None] - ROUNDING)
+        rows.append(at[r])
+        nodes.append(c)
+    return np.concatenate(rows), np.concatenate(nodes)
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, g: Graph = Graph()) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of each row whose vec_id `every` divides."""
     spark = vectors.sparkSession
@@ -203,7 +227,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, g: Graph = Graph())
     fine = fine.where(F.size("v") == dim)
     # the least k + 1 ids of each vector; the limit acts before the shuffle too
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = stored(fine.withColumn("place", place).where(F.col("place") <= k + 1), "vectors")
+    few = stored(fine.distinct().withColumn("place", place).where(F.col("place") <= k + 1), "vectors")
     shards = max(1, -(-rows // g.shard))
     nodes = few.where("place = 1").select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
 
@@ -232,12 +256,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, g: Graph = Graph())
             for i in range(0, len(queries), g.batch):
                 part = queries.iloc[i : i + g.batch]
                 q = np.stack(part["v"].to_numpy()).astype(np.float64)
-                found, _ = world.search(_unit(q), g.search)
-                r, c = np.nonzero(found[:, : k + 3] >= 0)
-                at = found[r, c]
-                out["query_id"].append(part["vec_id"].to_numpy()[r])
-                out["node"].append(ids[at])
-                out["score"].append(cosine(q[r], raw[at]))
+                r, at = found_by(world, _unit(q), k, g.search)
+                score = cosine(q[r], raw[at])
+                order = np.lexsort((ids[at], -score, r))
+                r, at, score = r[order], at[order], score[order]
+                start = np.searchsorted(r, r)  # of the query's own
+                kept = np.arange(len(r)) - start <= k
+                out["query_id"].append(part["vec_id"].to_numpy()[r[kept]])
+                out["node"].append(ids[at[kept]])
+                out["score"].append(score[kept])
         return pd.DataFrame({n: np.concatenate(a) if a else np.zeros(0) for n, a in out.items()})
 
     hits = stored(dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(look, "query_id long, node long, score double"), "hits")

@@ -11,8 +11,10 @@ tokens, which bounds the memory of one text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -170,3 +172,17 @@ def active_runs(text: str, active: Iterator[tuple[int, int]], spaces: str = " \t
         after = _WORD.search(text, tokens[-1][1])
         out.append(Run(tokens, _last_word(text[at : tokens[0][0]], spaces), after[0].lower() if after else ""))
     return out
+
+
+class Covered:
+    """Spans of a text, sorted once, so that each question costs a binary search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [s for s, _ in ordered]
+        self.tops = list(accumulate((e for _, e in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether some span shares a character with this one."""
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.tops[i - 1] > start

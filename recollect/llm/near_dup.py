@@ -277,6 +277,10 @@ def near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
     links = _Links(docs, classes.select("rep", "n", "bits"), plan)
+    # an id whose rows have several sets is one node all the same: it links their classes
+    several = full.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("s_id"))
+    owned = full.select("doc_id", "h1", "h2").join(several, F.col("doc_id") == F.col("s_id"), "left_semi").distinct()
+    links.found.append(stored(owned.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(*_ordered("doc_id", "rep")).distinct(), "links"))
 
     def placed(part: DataFrame, *more: str) -> DataFrame:
         """Classes with the component that they are in so far."""

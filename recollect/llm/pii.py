@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.common import over_batches, table
-from recollect.llm.crf import AT_ONCE, LinearChainCRF, Run, active_runs, collapsed
+from recollect.llm.crf import AT_ONCE, Covered, LinearChainCRF, Run, active_runs, collapsed
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -154,7 +154,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None) -> L
     return LinearChainCRF(TAGS, WIDTH).fit(runs, tags)
 
 
-def _added(text: str, run: list[tuple[int, int]], tags, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+def _added(text: str, run: list[tuple[int, int]], tags, taken: Covered) -> list[tuple[str, int, int]]:
     out: list[list] = []
     last = ""
     for (s, e), tag in zip(run, tags, strict=True):
@@ -172,7 +172,7 @@ def _added(text: str, run: list[tuple[int, int]], tags, taken: list[tuple[int, i
             out[-1][2] = e
         else:
             out.append([last, s, e])
-    return [(k, s, e) for k, s, e in out if not any(s < b and a < e for a, b in taken)]
+    return [(k, s, e) for k, s, e in out if not taken.meets(s, e)]
 
 
 def find(texts: list[str], model: LinearChainCRF) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]]:
@@ -181,10 +181,14 @@ def find(texts: list[str], model: LinearChainCRF) -> list[tuple[dict[str, list[t
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     waiting: list[tuple[int, Run]] = []
 
+    taken: dict[int, Covered] = {}
+
     def decode() -> None:
         for (i, run), tags in zip(waiting, model.decode([_features(texts[i], run) for i, run in waiting]), strict=True):
             if tags.any():
-                added[i] += _added(texts[i], run.tokens, tags, [x for spans in bases[i].values() for x in spans])
+                if i not in taken:
+                    taken[i] = Covered(x for spans in bases[i].values() for x in spans)
+                added[i] += _added(texts[i], run.tokens, tags, taken[i])
         waiting.clear()
 
     tokens = 0

@@ -197,3 +197,11 @@ def test_line_oracle(spark):
     want = {r[0]: r[1:] for r in c.sql(line_dedup.ORACLE_SQL).fetchall()}
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.op5_line_dedup(spark, d).collect()}
     assert got == want
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b, c = ("one two three four five six seven", "red blue green grey black white pink", "up down left right here there now")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, c), (12, c), (20, "something else"), (20, ""), (21, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df, near_dup.OP4).collect()), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 3, False), (12, 3, False), (20, 20, True), (20, 20, True), (21, 21, True), (None, None, False)], key=str)

@@ -144,6 +144,38 @@ def test_recall_over_shards(spark):
     assert np.mean([len(got[q] & {j for j, _ in v}) / 5 for q, v in want.items()]) > 0.95
 
 
+def test_ties_and_repeats_are_exact(spark):
+    """One direction in 40 lengths, neighbours a millionth apart, one row seven times, more ties than a search keeps, and clashing names."""
+    r = np.random.default_rng(8)
+    rows = [(50 + i, [2.0**i, 2.0**i], 0) for i in range(40)]  # all cosines are exactly 1
+    rows += [(101 + i, [1.0, -1.0 + 1e-6 * i], 0) for i in range(39)] + [(100, [1.0, -1.0], 0)]
+    rows += [(7, [1.0, 0.0], 0)] * 7 + [(i, [1.0, 0.0], 0) for i in (8, 9, 11, 12)] + [(200, [1.0, 0.0], 0), (201, [1.0, 0.125], 0)]
+    for some, graph in ((rows, ann.Graph()), (rows, ann.Graph(search=8, shard=30))):
+        df = _vectors(spark, some).withColumns({"score": F.lit(1.0), "rank": F.lit("x"), "query_id": F.lit(None).cast("int")})
+        got = sorted((x.query_id, x.rank, x.vec_id) for x in ann.nearest(df, 5, 50, graph).collect())
+        distinct = list({(i, tuple(v)): (i, v, 0) for i, v, _ in some}.values())
+        want = []
+        for q, v, _ in distinct:
+            if q % 50 == 0:
+                a = np.array([v])
+                scores = sorted((-ann.cosine(a, np.array([w]))[0], i) for i, w, _ in distinct if i != q)
+                want += [(q, n, i) for n, (_, i) in enumerate(scores[:5], 1)]
+        assert got == sorted(want)
+    many = [(i, [float(x) for x in np.array([1.0, 2.0]) * 2.0 ** r.integers(-200, 200)], 0) for i in range(600)]
+    got = sorted((x.query_id, x.rank, x.vec_id) for x in ann.nearest(_vectors(spark, many), 5, 300).collect())
+    assert [x[2] for x in got] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
+
+
+def test_recall_of_the_given_table(spark):
+    """The production parameters on sf0.1, against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for y in ann.nearest(df).collect():
+        got.setdefault(y.query_id, set()).add(y.vec_id)
+    want = _brute([(x.vec_id, [float(a) for a in x.embedding], 0) for x in df.collect()], 5, 50)
+    assert got.keys() == want.keys() and np.mean([len(got[q] & {j for j, _ in v}) / 5 for q, v in want.items()]) > 0.9
+
+
 def test_no_or_few_vectors(spark):
     assert ann.nearest(_vectors(spark, [])).count() == 0
     assert ann.nearest(_vectors(spark, [(0, [1.0, 0.0], 0)])).count() == 0

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from recollect.functions import ids
 from recollect.functions import text as T
 from recollect.schemas import CANDIDATE_EXTENSIONS, CANDIDATE_LIMIT, CANDIDATE_SOURCE_LIMIT, COMPACTION_CONFIDENCE, CONFIDENCE, DEFAULT_CONFIDENCE, METADATA_MARKER, MIN_CANDIDATE_TOKENS
+from recollect.scratch import Scratch
 
 # Fixed patterns
 COMPACTION_FLAG = r'"is_compaction"\s*:\s*true'
@@ -178,32 +179,63 @@ def _prefix(thin: DataFrame, limit: int, per_source: int) -> DataFrame:
     return rows.drop("at").orderBy(*order).limit(limit * (full + 1) + full * limit)
 
 
-def admit_in_order(found: DataFrame, blocked: DataFrame, min_confidence: float = DEFAULT_CONFIDENCE, limit: int = CANDIDATE_LIMIT, per_source: int = CANDIDATE_SOURCE_LIMIT) -> DataFrame:
+def _in_rounds(thin: DataFrame, per_source: int, run: Scratch) -> tuple[DataFrame, int]:
+    """The rows that an ordered run without a limit creates, found in parallel rounds, and how many rounds it took.
+
+    A row that is the first left of its content, and no farther back in its source than the source
+    has room, is created whatever becomes of the rows before it. What it blocks leaves: all of its
+    content, and all of its source if that is full. The first row of all is always such a row, so
+    each round ends with fewer. Only rows left are carried on, as ids and hashes; limits of the
+    windows act in the tasks, so that no frequent content or source gathers.
+    """
+    order, made, rounds = ranking(), [], 0
+    first = lambda by, n: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    # a null source is one source
+    left = run.keep(thin.withColumn("source", F.struct(F.col("source_path").isNull(), F.coalesce("source_path", F.lit(""))).cast("string")), "undecided")
+    used = left.select("source").where("false").withColumn("used", F.lit(0).cast("long"))
+    while not left.isEmpty():
+        rounds += 1
+        heads = left.withColumn("at", first("content_hash", 1)).where("at = 1").drop("at")
+        if per_source > 0:
+            front = left.withColumn("at", first("source", per_source)).where(F.col("at") <= per_source).select(F.col("source_chunk_id").alias("f_id"), F.col("source").alias("f_source"), "at")
+            room = front.join(used.withColumnRenamed("source", "u_source"), F.col("f_source") == F.col("u_source"), "left").where(F.col("at") + F.coalesce("used", F.lit(0)) <= per_source).select("f_id", "f_source")
+            heads = heads.join(room, (F.col("source_chunk_id") == F.col("f_id")) & (F.col("source") == F.col("f_source")), "left_semi")
+        now = run.keep(heads, "created")
+        made.append(now)
+        left = left.join(now.select(F.col("content_hash").alias("n_hash")), F.col("content_hash") == F.col("n_hash"), "left_anti")
+        if per_source > 0:
+            used = run.keep(used.unionByName(now.groupBy("source").agg(F.count("*").alias("used"))).groupBy("source").agg(F.sum("used").alias("used")), "used")
+            left = left.join(used.where(F.col("used") >= per_source).select(F.col("source").alias("full")), F.col("source") == F.col("full"), "left_anti")
+        left = run.keep(left, "undecided")
+    out = thin.where("false")
+    for part in made:
+        out = out.union(part.select(thin.columns))
+    return out, rounds
+
+
+def admit_in_order(found: DataFrame, blocked: DataFrame, min_confidence: float = DEFAULT_CONFIDENCE, limit: int = CANDIDATE_LIMIT, per_source: int = CANDIDATE_SOURCE_LIMIT, run: Scratch | None = None) -> DataFrame:
     """The real run: as admit(), but a created memory blocks its content for the rest of the run.
 
     What is admitted depends on all that came before. With a `limit`, a bounded number of rows decides which are
-    created; they go through one task in order, and every other row is decided by joins with the created ones. A
-    limit of 0 means none: then all eligible rows go through one task, as ids and hashes without their contents.
-    A chunk's id is expected once in a source.
+    created, and those go through one task in order. Without one (0), the created rows are found in
+    parallel rounds. Every other row is decided by joins with the created ones. A chunk's id is expected once in a source.
     """
-    rows = _judged(found, blocked, min_confidence)
+    run = run or Scratch(found.sparkSession)
+    # judged once; contents are joined for what is returned
+    rows = run.keep(_judged(found, blocked, min_confidence), "judged")
     thin = rows.where("state = 'eligible'").select("source_chunk_id", "source_path", "content_hash", "is_compaction", "source_type", "tokens", "chunk_index")
-    if limit <= 0:
-        done = _decided(thin.orderBy(*ranking()), limit, per_source).select(F.col("source_chunk_id").alias("r_id"), F.col("source_path").alias("r_path"), "final")
-        same = (F.col("source_chunk_id") == F.col("r_id")) & (F.col("source_path") == F.col("r_path"))
-        ok = rows.where("state = 'eligible'").join(done, same).withColumn("state", F.col("final")).drop("r_id", "r_path", "final")
-        return rows.where("state <> 'eligible'").unionByName(ok)
     # a row's place in the order as a struct, which compares field by field
     place = F.struct(~F.col("is_compaction"), F.coalesce(F.col("source_type") != "agent_session", F.lit(True)), -F.col("tokens"), "source_path", "chunk_index", "source_chunk_id")
-    made = _decided(_prefix(thin, limit, per_source), limit, per_source).where("final = 'created'")
+    made = _in_rounds(thin, per_source, run)[0] if limit <= 0 else _decided(_prefix(thin, limit, per_source), limit, per_source).where("final = 'created'")
     made = made.select(F.col("content_hash").alias("m_hash"), F.col("source_path").alias("m_path"), place.alias("m_at"))
     in_source = Window.partitionBy("m_path").orderBy("m_at")
     filled = made.withColumn("n", F.row_number().over(in_source)).where(F.col("n") == per_source).select(F.col("m_path").alias("f_path"), F.col("m_at").alias("f_at"))
     last = made.agg(F.count("*").alias("made_n"), F.max("m_at").alias("last_at"))
-    # at most `limit` rows on the small side of each join
+    # with a limit, at most so many rows on the small side of each join
+    small = F.broadcast if limit > 0 else lambda df: df
     at = rows.where("state = 'eligible'").withColumn("place", place)
-    at = at.join(F.broadcast(made.select("m_hash", F.col("m_at"))), F.col("content_hash") == F.col("m_hash"), "left")
-    at = at.join(F.broadcast(filled), F.col("source_path") == F.col("f_path"), "left").crossJoin(F.broadcast(last))
+    at = at.join(small(made.select("m_hash", F.col("m_at"))), F.col("content_hash") == F.col("m_hash"), "left")
+    at = at.join(small(filled), F.col("source_path").eqNullSafe(F.col("f_path")), "left").join(F.broadcast(last))
     state = F.when(F.col("m_at") == F.col("place"), "created").when(F.col("m_at") < F.col("place"), "duplicate_unverified").when(F.col("f_at") < F.col("place"), "source_limit").when((F.col("made_n") >= limit) & (F.col("last_at") < F.col("place")), "limit")
     ok = at.withColumn("state", state).drop("place", "m_hash", "m_at", "f_path", "f_at", "made_n", "last_at")
     return rows.where("state <> 'eligible'").unionByName(ok)

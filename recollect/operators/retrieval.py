@@ -95,31 +95,6 @@ def bm25(corpus: DataFrame, terms: list[str], text: Column | str = "content", k1
     return bm25_scores(term_counts(corpus, terms, text), terms, k1, b)
 
 
-def build_postings(chunks: DataFrame, path: str, buckets: int = 256, text: Column | str = "content") -> None:
-    """Write postings (term, chunk_id, tf, dl), sorted by term within term-hash buckets, and corpus statistics.
-
-    A query then reads the buckets of its own terms only, instead of the corpus.
-    """
-    toks = chunks.select(F.col("id").alias("chunk_id"), T.tokens(text).alias("toks")).withColumn("dl", F.size("toks"))
-    posts = toks.select("chunk_id", "dl", F.explode("toks").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    posts = posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    # a frequent term spreads over several tasks by its chunk
-    posts.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def bm25_from_postings(spark, path: str, terms: list[str], buckets: int = 256, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """chunk_id and raw_score from postings; partitions of other buckets are pruned, other terms skipped by statistics."""
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-    at = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
-    posts = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(at) & F.col("term").isin(terms))
-    stats = spark.read.parquet(f"{path}/stats")
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    rows = posts.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("chunk_id").agg(F.sum(part).alias("raw_score"))
-
-
 def overlap(rows: DataFrame, terms: list[str], text: Column, scale: float = 1.0) -> DataFrame:
     """Rows sharing a token with the query, with `score`: the share of the query's tokens, times `scale`."""
     share = F.size(F.array_intersect(_terms(terms), T.tokens(text))) / F.lit(len(terms)) * F.lit(scale)

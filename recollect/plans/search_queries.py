@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from recollect.functions import ids
 from recollect.functions import text as T
 from recollect.functions import vectors as V
-from recollect.operators import chunking, embedding, retrieval
+from recollect.operators import chunking, embedding, postings, retrieval
 from recollect.plans import fixtures as fx
 from recollect.plans import sql as S
+from recollect.scratch import Scratch
 from recollect.sources import sessions
 
 TERMS = ["of", "the", "tion", "erly", "que", "und"]
@@ -27,6 +28,15 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", F.round("raw_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking from a postings index. Ids are padded, so that ties stand in the order of numbers."""
+    index = postings.Postings(spark, Scratch(spark).at)
+    index.update(None, _text(spark, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), "text"), "text")
+    # a place more than wanted at the end: scores are ranked before they are rounded
+    hits = index.search(_T, 50 + len(_T))
+    return hits.select(F.col("id").cast("long").alias("doc_id"), F.round("raw_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
 def bm25_gated_boosted(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieval.search_chunks(fx.chunks(spark, d), fx.documents(spark, d), fx.ledger(spark, d), QUERY)
     return hits.select("id", "path", "score").orderBy(F.desc("score"), "id").limit(50)
@@ -236,8 +246,11 @@ select doc_id, cast(row_number() over (partition by doc_id order by chunk) - 1 a
     sha256(body) as content_hash, cast({S.token_estimate("body")} as int) as token_count from bodies where body <> ''"""
 
 
+_BM25_TOPK = f"with rows_ as (select doc_id as row_id, text as body from documents) {_BM25_DOCS} select row_id as doc_id, round(raw, 6) as score from scored order by score desc, doc_id limit 50"
+
 QUERIES = {
-    "bm25_topk": (bm25_topk, f"with rows_ as (select doc_id as row_id, text as body from documents) {_BM25_DOCS} select row_id as doc_id, round(raw, 6) as score from scored order by score desc, doc_id limit 50"),
+    "bm25_topk": (bm25_topk, _BM25_TOPK),
+    "bm25_postings": (bm25_postings, _BM25_TOPK),
     "bm25_gated_boosted": (bm25_gated_boosted, S.model(f"{_GATED.format(body='c.content')}{_BM25_DOCS}{_CHUNK_HITS} order by score desc, id limit 50")),
     "ledger_gate": (ledger_gate, S.model(f"select c.id, d.path from m_chunks c join m_documents d on d.id = c.document_id left join m_ledger l on l.source_path_or_alias = d.path where {S.VISIBLE}")),
     "token_overlap_search": (token_overlap_search, S.model(f"select * from (select id, {_OVERLAP} as score from m_memory where {_ACTIVE}) where score > 0 order by score desc, id limit 50")),

@@ -46,7 +46,13 @@ def candidate_caps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_in_order(spark: SparkSession, d: str) -> DataFrame:
-    return C.admit_in_order(_found(spark, d), _blocked(spark, d), 0.55, 100, 3).groupBy("state").agg(F.count("*").alias("n"))
+    return C.admit_in_order(_found(spark, d), _blocked(spark, d), 0.55, 100, 3).select("source_chunk_id", "source_path", "state")
+
+
+def candidate_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Without a limit, one source for each project, and contents by their first words, so that both the cap and repeats bind."""
+    rows = _found(spark, d).withColumn("source_path", F.substring_index("source_path", "/", 3)).withColumn("content_hash", F.lower(F.substring("content", 1, 2)))
+    return C.admit_in_order(rows, _blocked(spark, d).where(F.lit(False)), 0.0, 0, 7).select("source_chunk_id", "source_path", "state")
 
 
 def blocklist_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -281,6 +287,19 @@ _CLASS = f"""
 , cl as (select *, case action when 'skipped' then '{R.UNSTABLE}' when 'missing' then '{R.GONE}' end as reason from cls where action is not null)
 """
 
+def _in_order(rows: str, limit: int, per_source: int) -> str:
+    """Row by row in order, with the contents and sources of what was created so far."""
+    return S.model(f"""{_CAND}, base as (select * from {rows}), ok as (select source_chunk_id, source_path, content_hash, row_number() over (order by {_RANK}) as i from base where state = 'eligible')
+, walk as (
+    select 0::bigint as i, ''::varchar as state, []::varchar[] as hashes, []::varchar[] as sources
+    union all
+    select i, state, case when state = 'created' then list_append(hashes, content_hash) else hashes end, case when state = 'created' then list_append(sources, source_path) else sources end
+    from (select ok.i, hashes, sources, content_hash, source_path, case when list_contains(hashes, content_hash) then 'duplicate_unverified'
+        when len(list_filter(sources, lambda x: x = source_path)) >= {per_source} then 'source_limit' when len(hashes) >= {limit} then 'limit' else 'created' end as state from walk join ok on ok.i = walk.i + 1)
+)
+select source_chunk_id, source_path, state from base where state <> 'eligible' union all select source_chunk_id, source_path, walk.state from walk join ok using (i)""").replace("with ", "with recursive ", 1)
+
+
 QUERIES = {
     "candidate_ranking": (candidate_ranking, S.model(f"{_CAND} select source_chunk_id, source_path, tokens, is_compaction, confidence, content_hash from cand where verdict = 'candidate' order by {_RANK} limit 60")),
     "candidate_states": (candidate_states, S.model(f"{_CAND} select source_chunk_id, case when state = 'eligible' then 'created' else state end as state from judged")),
@@ -291,7 +310,11 @@ QUERIES = {
 , f as (select source_path, count(*) as filled from b where rs <= 4 and rg <= 40 group by 1)
 select source_chunk_id, b.source_path, case when rs <= 4 and rg <= 40 then 'created' when rs > 4 and coalesce(filled, 0) >= 4 then 'source_limit' else 'limit' end as state from b left join f using (source_path)"""),
     ),
-    "candidate_in_order": (candidate_in_order, None),
+    "candidate_in_order": (candidate_in_order, _in_order("judged", 100, 3)),
+    "candidate_in_rounds": (
+        candidate_in_rounds,
+        _in_order("(select cand.* replace (array_to_string(list_slice(string_split(source_path, '/'), 1, 3), '/') as source_path, lower(substr(content, 1, 2)) as content_hash), case verdict when 'candidate' then 'eligible' else verdict end as state from cand)", 1_000_000_000, 7),
+    ),
     "blocklist_reasons": (blocklist_reasons, S.model("""select content_hash, ['active', 'unverified', 'rejected'][min(r) + 1] as reason from (select content_hash, case status when 'active' then 0 when 'unverified' then 1 else 2 end as r from m_memory where status in ('active', 'unverified') or (status = 'obsolete' and source_kind = 'auto' and created_by = 'auto') union all select content_hash, 0 from m_memory where id like '%7') group by 1""")),
     "blocklist_dedup": (blocklist_dedup, S.model(f"{_CAND} select doc_id, ['active', 'unverified', 'rejected'][r + 1] as reason from documents join blocked on b_hash = sha256({S.strip('text')})")),
     "candidate_telemetry": (

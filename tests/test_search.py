@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
-from recollect.operators import chunking, embedding, retrieval
+from recollect.operators import chunking, embedding, postings, retrieval
 
 
 def _corpus(spark, texts):
@@ -38,12 +38,46 @@ def test_bm25_facts(spark):
     assert retrieval.bm25(_corpus(spark, []), ["x"]).count() == 0
 
 
-def test_postings_give_the_same_scores(spark, tmp_path):
-    rows = _corpus(spark, ["red fox", "red red fox", "blue", "fox in blue", ""]).withColumn("id", F.col("id").cast("string"))
-    retrieval.build_postings(rows, str(tmp_path), buckets=4)
-    a = {r.chunk_id: round(r.raw_score, 9) for r in retrieval.bm25_from_postings(spark, str(tmp_path), ["red", "fox"], 4).collect()}
-    b = {r.id: round(r.raw_score, 9) for r in retrieval.bm25(rows, ["red", "fox"]).collect()}
-    assert a == b
+def _scanned(spark, rows, terms, k):
+    df = spark.createDataFrame(rows, "id string, content string")
+    return [(r.id, round(r.raw_score, 9)) for r in retrieval.bm25(df, sorted(terms)).orderBy(F.desc("raw_score"), "id").limit(k).collect()]
+
+
+def test_postings_give_the_same_ranking(spark, tmp_path):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["common"] * 30
+    rows = {f"c{i:05d}": " ".join(r.choices(words, k=r.randint(1, 60))) + (" rare" if i % 700 == 3 else "") for i in range(4000)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id string, content string")
+    index = postings.Postings(spark, str(tmp_path))
+    index.update(None, frame(rows))
+    for terms in (["rare", "common"], ["w1"], ["w1", "w2", "common"], ["absent"], ["absent", "rare"]):
+        assert [(x.id, round(x.raw_score, 9)) for x in index.search(terms, 5).collect()] == _scanned(spark, list(rows.items()), terms, 5), terms
+    index.search(["rare", "common"], 5).collect()
+    assert index.blocks > 25 and index.read <= 8  # one block of the rare term, those with its chunks of the frequent one
+    # one changed, one removed and one new chunk: one small segment, the same ranking as anew
+    before = {p: p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()}
+    old = {k: rows[k] for k in ("c00003", "c00010")}
+    rows |= {"c00003": "rare rare common words", "d": "a rare new one"}
+    del rows["c00010"]
+    index.update(frame(old), frame({k: rows[k] for k in ("c00003", "d")}))
+    after = {p: p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()}
+    assert all(after[p] == n for p, n in before.items()) and sum(after.values()) - sum(before.values()) < 60_000
+    for terms in (["rare", "common"], ["rare", "new", "w3"]):
+        assert [(x.id, round(x.raw_score, 9)) for x in index.search(terms, 5).collect()] == _scanned(spark, list(rows.items()), terms, 5), terms
+
+
+def test_segments_are_merged_by_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "FAN", 3)
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id string, content string")
+    index, rows = postings.Postings(spark, str(tmp_path)), {}
+    for i in range(4):
+        old = {k: v for k, v in rows.items() if k == f"c{i - 1}"}
+        new = {f"c{i}": f"red fox number {i}", **({f"c{i - 1}": f"blue fox {i}"} if i else {})}
+        index.update(frame(old) if old else None, frame(new))
+        rows |= new
+    assert [s["level"] for s in index._segments()] == [1, 0]
+    assert [(x.id, round(x.raw_score, 9)) for x in index.search(["red", "fox"], 10).collect()] == _scanned(spark, list(rows.items()), ["fox", "red"], 10)
+    assert index.search([], 3).count() == 0 and postings.Postings(spark, str(tmp_path / "none")).search(["a"], 3).count() == 0
 
 
 def test_boosts(spark):

@@ -182,6 +182,26 @@ def test_in_order_against_a_loop(spark, limit, per_source):
     found.unpersist()
 
 
+def test_rounds_of_adversarial_chains(spark):
+    """A chain in which each row waits for the one before, and ties across sources: as a loop, in counted rounds, without a stage of one task."""
+    rows = []
+    for i in range(12):  # source i starts with the content that source i - 1 ends with
+        rows += [(f"s{i:02d}", f"c{i}", 1000 - 10 * i), (f"s{i:02d}", f"c{i + 1}", 1000 - 10 * i - 5)]
+    rows += [(None, "c3", 5), (None, "only", 4), (None, "more", 3), ("s00", "late", 2)]
+    thin = spark.createDataFrame([(f"k{n:03d}", p, c, False, "project_docs", t, 0) for n, (p, c, t) in enumerate(rows)], "source_chunk_id string, source_path string, content_hash string, is_compaction boolean, source_type string, tokens int, chunk_index int")
+    for per_source in (0, 1, 2):
+        run = candidates.Scratch(spark)
+        made, rounds = candidates._in_rounds(thin, per_source, run)
+        want, seen, used = set(), set(), {}
+        for r in thin.orderBy(*candidates.ranking()).collect():
+            if r.content_hash not in seen and (not per_source or used.get(r.source_path, 0) < per_source):
+                want.add(r.source_chunk_id)
+                seen.add(r.content_hash)
+                used[r.source_path] = used.get(r.source_path, 0) + 1
+        assert {r.source_chunk_id for r in made.collect()} == want and 1 <= rounds <= 13
+        run.close()
+
+
 def test_noise(spark):
     bad = ["please Continue the conversation from where it left off", "x\n 2. All user messages:", " [User]: hi", "1. run `git log`\n2. check `ls`"]
     good = ["a plain fact", "1. run `git log`\n2. think\n3. write"]

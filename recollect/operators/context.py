@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
+from recollect.operators import names
 
 PHASES = ("exact_name", "path_alias", "basename", "substring")
 
@@ -95,8 +96,7 @@ def related_documents(catalog: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def related_servers(catalog: DataFrame, roots: DataFrame) -> DataFrame:
-    """Server entries whose provenance names a root's project or path. roots: the resolved ones (usually a single row)."""
+    """Server entries whose provenance names a root's project or path; any number of either, see names.pairs()."""
     servers = catalog.where("source_type = 'server_alias'").withColumn("_from", F.lower(F.array_join("discovered_from", " ")))
-    r = roots.select(F.lower(T.strip(F.coalesce("project_name", F.lit("")))).alias("r_name"), F.lower(F.coalesce("path_or_alias", F.lit(""))).alias("r_path"))
-    hit = ((F.col("r_name") != "") & (F.instr("_from", F.col("r_name")) > 0)) | ((F.col("r_path") != "") & (F.instr("_from", F.col("r_path")) > 0))
-    return servers.join(r, hit, "left_semi").drop("_from")
+    sought = F.array(F.lower(T.strip(F.coalesce("project_name", F.lit("")))), F.lower(F.coalesce("path_or_alias", F.lit(""))))
+    return names.holding(servers, "_from", roots.select(F.explode(sought).alias("name"))).drop("_from")

@@ -122,6 +122,14 @@ def related_servers(spark: SparkSession, d: str) -> DataFrame:
     return X.related_servers(fx.catalog(spark, d), _one(spark, d)).select("id")
 
 
+def servers_of_any_root(spark: SparkSession, d: str) -> DataFrame:
+    """Servers that name any confirmed root."""
+    catalog = fx.catalog(spark, d)
+    roots = catalog.where("source_type = 'project_root' and confirmation_status = 'confirmed'")
+    return X.related_servers(catalog, roots).select("id")
+
+
+
 # streams: the table as a file stream, run to its end; the result must be that of the batch
 
 
@@ -254,6 +262,7 @@ union all select 'src', id, 'substring', (select count(*) from r) > 1 from r""")
     "context_memories": (context_memories, S.model("select id, status, confidence from (select * from m_memory where status in ('active', 'unverified') and (confidence is null or confidence >= 0.5) order by case when status = 'active' then 0 else 1 end, confidence desc nulls last, created_at desc, id limit 30)")),
     "related_documents": (related_documents, S.model("select id from m_catalog where source_type = 'document' and (starts_with(path_or_alias, '/srv/src5/') or list_contains(discovered_from, 'root_src5'))")),
     "related_servers": (related_servers, S.model("select id from m_catalog where source_type = 'server_alias' and (contains(array_to_string(discovered_from, ' '), 'src5') or contains(array_to_string(discovered_from, ' '), '/srv/src5'))")),
+    "servers_of_any_root": (servers_of_any_root, S.model("select s.id from m_catalog s where s.source_type = 'server_alias' and exists (select 1 from m_catalog r where r.source_type = 'project_root' and r.confirmation_status = 'confirmed' and (contains(array_to_string(s.discovered_from, ' '), lower(r.project_name)) or contains(array_to_string(s.discovered_from, ' '), r.path_or_alias)))")),
     "stream_session_windows": (
         stream_session_windows,
         "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1800 second then 0 else 1 end as opens from events), s as (select user_id, ts, sum(opens) over (partition by user_id order by ts, opens desc rows unbounded preceding) as k from g) select user_id, rtrim(rtrim(strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') as started, count(*) as n from s group by user_id, k",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions import ids
 from recollect.functions import text as T
 from recollect.functions import vectors as V
-from recollect.operators import chunking, embedding, postings, retrieval
+from recollect.operators import chunking, embedding, postings, retrieval, vector_index
 from recollect.plans import fixtures as fx
 from recollect.plans import sql as S
 from recollect.scratch import Scratch
@@ -91,6 +91,25 @@ def dot_topk_gated(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("id", "path", "score")
 
 
+def _indexed(spark: SparkSession, d: str, key: str) -> vector_index.VectorIndex:
+    points = fx.load(spark, d, "embeddings").select(F.expr(key).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    index = vector_index.VectorIndex(spark, Scratch(spark).at, len(_vector(spark, d)))
+    index.upsert(points)
+    return index
+
+
+def cosine_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking from the index of cells, all of them probed."""
+    hits = _indexed(spark, d, "cast(vec_id as string)").nearest(_vector(spark, d), 25, cosine=True)
+    return hits.select(F.col("id").cast("long").alias("point_id"), F.round("sim", 4).alias("score")).where("score > 0").orderBy(F.desc("score"), "point_id").limit(25)
+
+
+def dot_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """dot_topk_gated from the index of cells, all of them probed."""
+    index = _indexed(spark, d, "concat('d', vec_id, '_chunk_0')")
+    return vector_index.semantic_hits(index, fx.chunks(spark, d), fx.documents(spark, d), fx.ledger(spark, d), _vector(spark, d), 25).select("id", "path", "score")
+
+
 def semantic_then_lexical(spark: SparkSession, d: str) -> DataFrame:
     """With vectors there: semantic hits alone."""
     hits = retrieval.project_search(_vector_chunks(spark, d), fx.documents(spark, d), fx.ledger(spark, d), fx.memory(spark, d), QUERY, 25, _vector(spark, d))
@@ -266,7 +285,9 @@ select id, kind, title, source_path, memory_type, status, score, {S.excerpt("con
     "project_search_lexical": (project_search_lexical, S.model(f"{_LEXICAL} select id, title, source_path, memory_type, status, score from lex where score > 0 order by score desc, kr, id limit 40")),
     "and_substring_search": (and_substring_search, "select doc_id as id, length(text) as n from documents where contains(lower(text), 'the') and contains(lower(text), 'tion') order by doc_id limit 30"),
     "cosine_topk": (cosine_topk, f"select * from (select vec_id as point_id, round(list_cosine_similarity(cast(embedding as double[]), cast({_VEC} as double[])), 4) as score from embeddings) where score > 0 order by score desc, point_id limit 25"),
+    "cosine_topk_indexed": (cosine_topk_indexed, f"select * from (select vec_id as point_id, round(list_cosine_similarity(cast(embedding as double[]), cast({_VEC} as double[])), 4) as score from embeddings) where score > 0 order by score desc, point_id limit 25"),
     "dot_topk_gated": (dot_topk_gated, S.model(f"select * from (select c.id, d.path, round({_DOT}, 4) as score from m_chunks c join embeddings e on e.vec_id = c.doc_id join m_documents d on d.id = c.document_id left join m_ledger l on l.source_path_or_alias = d.path where {S.VISIBLE} and {_DOT} > 0) order by score desc, id limit 25")),
+    "dot_topk_indexed": (dot_topk_indexed, S.model(f"select * from (select c.id, d.path, round({_DOT}, 4) as score from m_chunks c join embeddings e on e.vec_id = c.doc_id join m_documents d on d.id = c.document_id left join m_ledger l on l.source_path_or_alias = d.path where {S.VISIBLE} and {_DOT} > 0) order by score desc, id limit 25")),
     "semantic_then_lexical": (semantic_then_lexical, S.model(f"select id, 'document_chunk' as memory_type, score from (select c.id, round({_DOT}, 4) as score from m_chunks c join embeddings e on e.vec_id = c.doc_id join m_documents d on d.id = c.document_id left join m_ledger l on l.source_path_or_alias = d.path where {S.VISIBLE} and {_DOT} > 0) order by score desc, id limit 25")),
     "semantic_empty_then_lexical": (semantic_empty_then_lexical, S.model(f"{_LEXICAL} select id, memory_type, score from lex where score > 0 order by score desc, kr, id limit 40")),
     "l2_normalize": (l2_normalize, "with v as (select vec_id, cast(embedding as double[]) as v from embeddings), n as (select *, sqrt(list_dot_product(v, v)) as nn from v) select vec_id, round(nn, 4) as norm, round(v[1] / nn, 4) as u0, case when nn = 0 then 0.0::double else 1.0::double end as unit from n"),

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions import ids
 from recollect.functions import text as T
-from recollect.operators import candidates, chunking, context, embedding, entries, lifecycle, refresh, reports, retrieval, vector_store
-from recollect.schemas import CHUNK_CHARS, JUDGMENTS, LEDGER_STATUSES, MEMORY_STATUSES, RECORD, SESSION_CHUNK_CHARS, STABILITY_SECONDS, TABLES, TASK_TYPES
+from recollect.operators import candidates, chunking, context, embedding, entries, lifecycle, refresh, reports, retrieval, vector_index, vector_store
+from recollect.schemas import CHUNK_CHARS, EMBEDDING_DIMENSIONS, JUDGMENTS, LEDGER_STATUSES, MEMORY_STATUSES, RECORD, SESSION_CHUNK_CHARS, STABILITY_SECONDS, TABLES, TASK_TYPES
 from recollect.scratch import Scratch
 from recollect.sources import files, manifest, store, walk
 from recollect.sources.store import ConflictError, Store
@@ -379,6 +379,24 @@ class MemoryEngine:
         row = row.select(F.concat(F.lit("ret_"), key).alias("id"), F.lit("default").alias("project_id"), F.lit(query).alias("query"), F.lit(top_k).alias("top_k"), "result_count", "results", now.alias("created_at"))
         self.store.append({"retrieval_logs": row})
 
+    def _vector_index(self) -> vector_index.VectorIndex:
+        size = self.embedder.dimensions if self.embedder is not None else EMBEDDING_DIMENSIONS
+        return vector_index.VectorIndex(self.spark, f"{self.store.root}/vectors", size)
+
+    def sync_vectors(self) -> tuple[int, int]:
+        """Bring the index of chunk vectors up to the store: how many chunks went in, and how many out."""
+        return vector_index.sync(self._vector_index(), self._t("chunks"))
+
+    def semantic_search(self, query: str, top_k: int = 5, probe: int | None = None) -> DataFrame:
+        """The best visible chunks by similarity from the index of vectors; `probe` cells of it, or all.
+
+        Chunks changed since the last sync_vectors() are no hits until the next one.
+        """
+        retrieval.check_top_k(top_k)
+        vector = vector_store.HashingEmbedder().embed([query])[0] if self.embedder is None else self.embedder.embed([query])[0]
+        hits = vector_index.semantic_hits(self._vector_index(), self._t("chunks"), self._t("documents"), self._t("source_ledger"), vector, top_k, probe, stamped=True)
+        return hits.select("id", "path", "heading_path", "content", "score").orderBy(F.desc("score"), "id")
+
     def global_search(self, query: str, top_k: int = 10, kind: str = "all", **more) -> DataFrame:
         return retrieval.global_search(self._t("chunks"), self._t("documents"), self._t("source_ledger"), self._t("memory_nodes"), query, top_k, kind, **more)
 

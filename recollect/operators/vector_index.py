@@ -100,8 +100,14 @@ class VectorIndex:
         self._append(rows, rows.select("id"))
 
     def delete(self, ids: list[str]) -> None:
-        gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        self._append(None, gone)
+        self.remove(self.spark.createDataFrame([(i,) for i in ids], "id string"))
+
+    def remove(self, ids: DataFrame) -> None:
+        self._append(None, ids.select("id"))
+
+    def stored(self) -> DataFrame:
+        """id and payload of all points."""
+        return self._live(self._segments()).select("id", "payload")
 
     def rebuild(self) -> None:
         """Fit cells and codes anew on all points and write these as one segment."""
@@ -244,14 +250,14 @@ class VectorIndex:
         return out.join(gone, (F.col("id") == F.col("g_id")) & (F.col("seg") < F.col("g_seg")), "left_anti")
 
     def ranges(self, query: list[float], probe: int | None = None, cosine: bool = False) -> DataFrame:
-        """id and seg of the points in the `probe` best cells (all, if None), with lo and hi, between which the similarity lies."""
+        """id, seg and payload of the points in the `probe` best cells (all, if None), with lo and hi, between which the similarity lies."""
         return self._ranges(self.log.current()["tables"], query, probe, cosine)
 
     def _ranges(self, tables: dict, query: list[float], probe: int | None, cosine: bool) -> DataFrame:
         q = np.array(query, dtype=float)
         size = float(np.sqrt((q**2).sum()))
         if not tables.get("model") or len(q) != self.dimensions or not math.isfinite(size) or size == 0:
-            return self.spark.createDataFrame([], "id string, seg int, lo double, hi double")
+            return self.spark.createDataFrame([], "id string, seg int, payload string, lo double, hi double")
         model = self._model(tables["model"][0])
         cells = None if probe is None else model.probed(q, probe)
         at = model.centers @ q
@@ -270,14 +276,14 @@ class VectorIndex:
             scale = np.full(len(scale), 1 / size) if cosine else scale
             return pd.DataFrame({"lo": (middle - off) * scale, "hi": (middle + off) * scale})
 
-        rows = self._live(tables.get("segments", []), cells).select("id", "seg", "cell", "code", "norm", "miss")
-        return rows.select("id", "seg", range_of("cell", "code", "norm", "miss").alias("r")).select("id", "seg", "r.lo", "r.hi")
+        rows = self._live(tables.get("segments", []), cells).select("id", "seg", "payload", "cell", "code", "norm", "miss")
+        return rows.select("id", "seg", "payload", range_of("cell", "code", "norm", "miss").alias("r")).select("id", "seg", "payload", "r.lo", "r.hi")
 
     def nearest(self, query: list[float], top_k: int, probe: int | None = None, cosine: bool = False, gate: Callable[[DataFrame], DataFrame] | None = None, slack: float = 1e-4) -> DataFrame:
         """id, payload and sim of every point, let through by the gate, that can be among the best `top_k` above 0, or within `slack` below.
 
         More rows than `top_k` are left where similarities lie close, so that a caller can
-        round them and settle ties by its own key. The gate gets id, seg, lo and hi and may drop rows and add columns.
+        round them and settle ties by its own key. The gate gets id, seg, payload, lo and hi and may drop rows and add columns.
         """
         if top_k < 1:
             raise ValueError("top_k must be at least 1")
@@ -307,12 +313,35 @@ class VectorIndex:
         return hits.select("id", F.round("sim", 6).alias("score"), "payload").where("score > 0").orderBy(F.desc("score"), "id").limit(top_k)
 
 
-def semantic_hits(index: VectorIndex, chunks: DataFrame, documents: DataFrame, ledger: DataFrame | None, vector: list[float], top_k: int, probe: int | None = None) -> DataFrame:
-    """As retrieval.semantic_hits(), with vectors from an index of the chunks' ids instead of a scan of all chunks."""
-    about = chunks.select("id", "document_id", "heading_path", "source_type")
+def sync(index: VectorIndex, chunks: DataFrame) -> tuple[int, int]:
+    """Bring an index up to the chunks: those that are new or were changed go in, those no longer there go out. How many of each.
+
+    A point's payload is the time of its chunk's last change, so ids and times are all that is
+    compared. A chunk whose vector can be no hit is looked at again each time.
+    """
+    have = index.stored().toDF("h_id", "h_stamp")
+    stamped = chunks.where("embedding is not null").select("id", F.col("embedding").alias("vector"), F.col("updated_at").cast("string").alias("payload"))
+    new = stamped.join(have, (F.col("id") == F.col("h_id")) & F.col("payload").eqNullSafe(F.col("h_stamp")), "left_anti")
+    there = chunks.where("embedding is not null").select(F.col("id").alias("t_id"))
+    gone = have.join(there, F.col("h_id") == F.col("t_id"), "left_anti").select(F.col("h_id").alias("id"))
+    n_gone, n_new = gone.count(), new.count()
+    if n_gone:
+        index.remove(gone)
+    if n_new:
+        index.upsert(new)
+    return n_new, n_gone
+
+
+def semantic_hits(index: VectorIndex, chunks: DataFrame, documents: DataFrame, ledger: DataFrame | None, vector: list[float], top_k: int, probe: int | None = None, stamped: bool = False) -> DataFrame:
+    """As retrieval.semantic_hits(), with vectors from an index of the chunks' ids instead of a scan of all chunks.
+
+    stamped: only points whose payload is the time of their chunk's last change, as sync() leaves it, are hits.
+    """
+    about = chunks.select("id", "document_id", "heading_path", "source_type", *([F.col("updated_at").cast("string").alias("stamp")] if stamped else []))
 
     def gate(near: DataFrame) -> DataFrame:
-        return retrieval.gated_chunks(near.join(about, "id"), documents, ledger)
+        rows = near.join(about, "id")
+        return retrieval.gated_chunks(rows.where(F.col("stamp").eqNullSafe(F.col("payload"))) if stamped else rows, documents, ledger)
 
     hits = index.nearest(vector, top_k, probe, gate=gate).select("id", "sim")
     rows = retrieval.gated_chunks(about.join(hits, "id"), documents, ledger)

@@ -1,8 +1,11 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import retrieval, vector_index
+from recollect.engine import MemoryEngine
+from recollect.operators import embedding, retrieval, vector_index
 from recollect.operators.vector_index import VectorIndex
 from recollect.plans import fixtures as fx
 
@@ -131,3 +134,29 @@ def test_gated_hits_equal_the_scan(spark, tmp_path):
     args = fx.documents(spark, d), fx.ledger(spark, d), q, 15
     shown = lambda df: [(r.id, r.path, r.score) for r in df.orderBy(F.desc("score"), "id").collect()]
     assert shown(vector_index.semantic_hits(index, chunks, *args)) == shown(retrieval.semantic_hits(chunks, *args))
+
+
+def test_engine_keeps_its_index_up_to_date(spark, tmp_path):
+    engine = MemoryEngine(spark, str(tmp_path / "store"))
+    engine.init()
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for n, text in (("a", "the stdio transport of a server"), ("b", "a transport of goods by rail"), ("c", "nothing alike")):
+        (docs / f"{n}.md").write_text(text)
+    engine.index(str(docs), datetime(2026, 1, 1))
+    assert engine.sync_vectors() == (3, 0) and engine.sync_vectors() == (0, 0)
+    q = "stdio transport"
+
+    def scanned():
+        tables = (engine._t(t) for t in ("chunks", "documents", "source_ledger"))
+        return [(r.id, r.score) for r in retrieval.semantic_hits(*tables, embedding.embed_text(q), 5).orderBy(F.desc("score"), "id").collect()]
+
+    got = [(r.id, r.score) for r in engine.semantic_search(q).collect()]
+    assert len(got) >= 2 and got == scanned()
+    (docs / "b.md").write_text("stdio transport, and nothing else")
+    engine.index(str(docs / "b.md"), datetime(2026, 1, 2))
+    # the changed chunk is no hit until the index has it
+    assert len(engine.semantic_search(q).collect()) == len(scanned()) - 1
+    assert engine.sync_vectors() == (1, 0)
+    got = engine.semantic_search(q, 1).collect()
+    assert got[0].path.endswith("b.md") and [(r.id, r.score) for r in engine.semantic_search(q).collect()] == scanned()

@@ -1,10 +1,11 @@
 """A linear-chain conditional random field in numpy: trained on the driver, decoded in batches.
 
-Tokens come in runs. Tokens that cannot be part of an entity (plain words) are fixed to the
-outside tag by the lattice, in training as in decoding, so the chain falls apart into the
-runs between them; plain neighbours still count as features, whole. A token of more than `PIECE`
+A caller may score every token of a text and decode whole chains (`decode_scored`), or give runs: tokens
+that cannot be part of an entity (plain words) are then fixed to the outside tag by the lattice, in
+training as in decoding, so the chain falls apart into the runs between them; plain neighbours still
+count as features, whole. A token of more than `PIECE`
 characters is cut at quotes, brackets and separators and into pieces of at most `PIECE`
-characters, each a token of the chain, so the whole of it is looked at. Runs are cut after `RUN`
+characters, each a token of the chain, so the whole of it is looked at. Given runs are cut after `RUN`
 tokens, which bounds the memory of one text.
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 
 #: Characters of a piece, tokens of a run, tokens decoded at once.
 PIECE, RUN, AT_ONCE = 64, 4096, 1 << 15
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SEPARATORS = r"""["'`,;{}\[\]<>&|]"""
 _CUT = re.compile(rf"(?:{_SEPARATORS}|(?<=[\"'`]):)+|([^{_SEPARATORS[1:]}{{1,%d}})" % PIECE)
 
@@ -87,12 +88,14 @@ class LinearChainCRF:
         for t in range(length - 2, -1, -1):
             beta[t] = _lse(self.move[None] + (score[:, t + 1] + beta[t + 1])[:, None, :], 2)
         z = _lse(alpha[-1] + self.end, 1)
+        every = -np.exp(alpha + beta - z[:, None])
+        every[np.arange(length)[:, None], np.arange(n), gold.T] += 1
+        seen = ids.transpose(1, 2, 0).ravel()
+        for tag in range(k):
+            each = np.broadcast_to(every[:, None, :, tag], (length, ids.shape[2], n)).ravel()
+            grad["emit"][:, tag] += weight * np.bincount(seen, each, len(grad["emit"]))
         for t in range(length):
-            p = np.exp(alpha[t] + beta[t] - z[:, None])
-            diff = -p
-            diff[np.arange(n), gold[:, t]] += 1
-            for j in range(ids.shape[2]):
-                np.add.at(grad["emit"], ids[:, t, j], weight * diff)
+            diff = every[t]
             if t == 0:
                 grad["start"] += weight * diff.sum(0)
             if t == length - 1:
@@ -104,27 +107,63 @@ class LinearChainCRF:
 
     def decode(self, runs: list[list[list[str]]]) -> list[np.ndarray]:
         """The best tag numbers of each run, by Viterbi over all runs of a length at once."""
-        x = self._ids(runs, False)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
-        for length, every in _by_length(x).items():
+        return self._best([self.emit[a].sum(1) for a in self._ids(runs, False)], [self.start] * len(runs), [self.end] * len(runs))
+
+    def _best(self, scores: list[np.ndarray], heads: list[np.ndarray], tails: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of runs, given each token's scores and the weights of each run's first and last tag."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
+        for length, every in _by_length(scores).items():
             step = max(1, 200_000 // length)
             for i in range(0, len(every), step):
                 at = every[i : i + step]
-                score = self.emit[np.stack([x[i] for i in at])].sum(2)
+                score = np.stack([scores[i] for i in at])
                 n, _, k = score.shape
-                best, back = self.start + score[:, 0], np.zeros((length, n, k), np.int16)
+                best, back = np.stack([heads[i] for i in at]) + score[:, 0], np.zeros((length, n, k), np.int16)
                 for t in range(1, length):
                     way = best[:, :, None] + self.move[None]
                     back[t] = way.argmax(1)
                     best = way.max(1) + score[:, t]
                 tag = np.zeros((n, length), np.int64)
-                tag[:, -1] = (best + self.end).argmax(1)
+                tag[:, -1] = (best + np.stack([tails[i] for i in at])).argmax(1)
                 for t in range(length - 1, 0, -1):
                     tag[:, t - 1] = back[t][np.arange(n), tag[:, t]]
                 for row, i_run in enumerate(at):
                     out[i_run] = tag[row]
         return out
 
+    def weight(self, names: Iterable[str]) -> np.ndarray:
+        """What features add to the scores of a token's tags."""
+        return self.emit[[self.features.get(n, 0) for n in names]].sum(0)
+
+    def decode_scored(self, score: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The best tags of chains laid end to end; `first` and `last` mark the ends of each.
+
+        The result is that of Viterbi over the whole chains. Where the first tag (outside) beats each
+        other one whatever tags the neighbours have, every best path has it; settled tokens
+        narrow what their neighbours' neighbours can be, and only what stays open is searched.
+        """
+        n, k = score.shape
+        lead = score[:, :1] - score[:, 1:]
+        before, after = self.move[:, :1] - self.move[:, 1:], (self.move[:1] - self.move[1:]).T
+        fixed = np.zeros(n, bool)
+        for _ in range(8):
+            prev = np.where(np.concatenate([[False], fixed[:-1]])[:, None], before[0], before.min(0))
+            then = np.where(np.concatenate([fixed[1:], [False]])[:, None], after[0], after.min(0))
+            prev[first], then[last] = self.start[0] - self.start[1:], self.end[0] - self.end[1:]
+            now = fixed | (lead + prev + then > 1e-9).all(1)
+            if (now == fixed).all():
+                break
+            fixed = now
+        open_ = ~fixed
+        begins = np.flatnonzero(open_ & (first | np.concatenate([[True], fixed[:-1]])))
+        ends = np.flatnonzero(open_ & (last | np.concatenate([fixed[1:], [True]]))) + 1
+        runs = list(zip(begins.tolist(), ends.tolist(), strict=True))
+        tags = np.zeros(n, np.int64)
+        found = self._best([score[a:b] for a, b in runs], [self.start if first[a] else self.move[0] for a, _ in runs], [self.end if last[b - 1] else self.move[:, 0] for _, b in runs])
+        for (a, b), own in zip(runs, found, strict=True):
+            tags[a:b] = own
+        return tags
+
 
 def _by_length(x: list[np.ndarray]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = defaultdict(list)
@@ -139,14 +178,22 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(a - top).sum(axis)) + top.squeeze(axis)
 
 
+class _Classes(dict):
+    """Code points as digits, capitals, other letters or themselves."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+        return self[point]
+
+
+_CLASSES = _Classes()
+_REPEATS = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def collapsed(word: str) -> str:
     """Shape of a word with repeats collapsed: 'AKIA12' -> 'X9', '(017)' -> '(9)'."""
-    out = []
-    for c in word:
-        s = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-        if not out or out[-1] != s:
-            out.append(s)
-    return "".join(out)
+    return _REPEATS.sub(r"\1", word.translate(_CLASSES))
 
 
 def _last_word(gap: str, spaces: str) -> str:
@@ -154,14 +201,26 @@ def _last_word(gap: str, spaces: str) -> str:
     return gap[max(gap.rfind(c) for c in spaces) + 1 :].lower()
 
 
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A token as the chain takes it: whole, or cut if it is long."""
+    return [(start, end)] if end - start <= PIECE else [m.span() for m in _CUT.finditer(text, start, end) if m[1]]
+
+
+def all_tokens(text: str) -> list[tuple[int, int]]:
+    """Every token of a text, long ones in pieces."""
+    out = [m.span() for m in WORD.finditer(text)]
+    if any(e - s > PIECE for s, e in out):
+        out = [p for s, e in out for p in pieces(text, s, e)]
+    return out
+
+
 def active_runs(text: str, active: Iterator[tuple[int, int]], spaces: str = " \t\n\x0b\x0c\r") -> list[Run]:
     """Runs of neighbouring active tokens; `active` gives their [start, end) in rising order. Linear in the text."""
     groups: list[tuple[int, list[tuple[int, int]]]] = []  # where the gap before begins, tokens
     done = 0
     for start, end in active:
-        pieces = [(start, end)] if end - start <= PIECE else [m.span() for m in _CUT.finditer(text, start, end) if m[1]]
         near = groups and not text[done:start].strip(spaces)
-        for piece in pieces:
+        for piece in pieces(text, start, end):
             if not near or len(groups[-1][1]) >= RUN:
                 groups.append((done, []))
                 near = True
@@ -169,7 +228,7 @@ def active_runs(text: str, active: Iterator[tuple[int, int]], spaces: str = " \t
             done = piece[1]
     out = []
     for at, tokens in groups:
-        after = _WORD.search(text, tokens[-1][1])
+        after = WORD.search(text, tokens[-1][1])
         out.append(Run(tokens, _last_word(text[at : tokens[0][0]], spaces), after[0].lower() if after else ""))
     return out
 

@@ -2,9 +2,8 @@
 
 Patterns give the base spans of assignments, access keys and long hex strings. The field uses
 token shape, neighbouring words and features of the whole file, and adds spans of kind
-"secret" where it finds a secret that no base span touches. The field looks at tokens with a
-digit, `=` or `_`, with a small letter before a capital one, of 20 characters or more, or after a
-cue such as "password is" or "bearer"; all others are plain: their tag is fixed to outside.
+"secret" where it finds a secret that no base span touches. Every token of a text is scored, plain
+words too, and the best tags are those of the whole text's chain.
 
 Edge cases: a null text counts as empty and gives no spans; a null doc_id stays null; repeated
 rows each give their own row; an empty table gives an empty result; other columns are not read.
@@ -16,13 +15,14 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.common import over_batches, table
-from recollect.llm.crf import AT_ONCE, Covered, LinearChainCRF, Run, active_runs, collapsed
+from recollect.llm.crf import PIECE, WORD, Covered, LinearChainCRF, all_tokens, collapsed
 
 KINDS = ("assign", "access", "hex", "secret")
 TAGS = ("O", "B", "I")
@@ -30,14 +30,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_W = r"[^\x20\x09-\x0D]"
-#: Whole tokens, only tried at token starts, so that the scan is linear.
-_ACTIVE = re.compile(rf"(?<!{_W})(?:[^\x20\x09-\x0D0-9=_]*+[0-9=_]{_W}*+|(?:[^\x20\x09-\x0Da-z]|[a-z](?![A-Z]))*+[a-z]{_W}*+|{_W}{{20,}}+)")
-_AFTER_CUE = re.compile(rf"(?i:password|passwd|passphrase|secret|credential|bearer|auth|pwd|key|token)[\"':=]*+[\x20\x09]++(?:(?:is|[=:]++)[\x20\x09]++)*+(?=({_W}++))")
 _CUES = ("password", "passwd", "secret", "token", "key", "bearer", "credential", "passphrase", "auth", "pwd")
+_ANY_CUE = re.compile("|".join(_CUES))
+_SIGNS = frozenset("/@-")
 _CODE = "{}=;<>_/"
 _QUOTES = "\"'`()[]{},;<>"
 WIDTH = 15
+#: Tokens decoded at once; words whose scores are held.
+TOKENS, WORDS = 1 << 17, 100_000
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -60,43 +60,120 @@ def file_features(text: str) -> list[str]:
     return [f"fc={min(3, int(code * 100))}", f"fn={any(c in low for c in ('password', 'passwd', 'secret', 'api_key', 'credential'))}"]
 
 
-def _entropy(word: str) -> float:
-    n = len(word)
-    return -sum(c / n * math.log2(c / n) for c in Counter(word).values()) if n else 0.0
+@lru_cache(100_000)
+def _entropy(counts: tuple[int, ...]) -> float:
+    n = sum(counts)
+    return -sum(c / n * math.log2(c / n) for c in counts)
 
 
 def _tokens(text: str) -> list[tuple[int, int]]:
-    found = {m.span() for m in _ACTIVE.finditer(text)}
-    low = text.lower()
-    if any(c in low for c in _CUES):
-        # a cue's token may be a part of an active one (cue at a token's end); only whole tokens count
-        found |= {m.span(1) for m in _AFTER_CUE.finditer(text)}
-    return sorted(found)
+    return all_tokens(text)
 
 
-def _runs(text: str) -> list[Run]:
-    return active_runs(text, iter(_tokens(text)))
+def _words(text: str) -> list[str]:
+    """The tokens' texts; their places are only sought where the field finds something."""
+    out = WORD.findall(text)
+    return [text[s:e] for s, e in _tokens(text)] if max(map(len, out), default=0) > PIECE else out
 
 
 def _ends(shape: str) -> str:
     return shape if len(shape) <= 8 else shape[:4] + "~" + shape[-4:]
 
 
-def _features(text: str, run: Run, whole: list[str]) -> list[list[str]]:
-    words = [text[s:e].strip(_QUOTES) for s, e in run.tokens]
+def _has_small(word: str, shape: str) -> bool:
+    return "x" in shape if word.isascii() else any(map(str.islower, word))
+
+
+def _bits(word: str) -> int:
+    return int(_entropy(tuple(sorted(map(word.count, set(word))))) * 2)
+
+
+def _formed(word: str, shape: str, small: bool) -> list[str]:
+    """Features that follow from shape, length and small letters, but for `url` in a shape with one of its signs."""
+    n, classes = len(word), f"{'X' in shape}{small}{'9' in shape}"
+    url = f"url={'://' in word}{'@' in word}{word.count('/') > 1}{word.count('-') > 2}"
+    return ["s=" + _ends(shape), f"t={min(len(shape), 32) // 4}", f"l={min(n, 48) // 4}", f"c={classes}", f"cl={classes}{n >= 16}", url, "b"]
+
+
+def _in(cue: bool, word: str) -> str:
+    return f"in={cue}{'=' in word}{len(word) > 16}"
+
+
+def _own(word: str) -> list[str]:
+    """What a token shows by itself."""
+    shape = collapsed(word)
+    return [*_formed(word, shape, _has_small(word, shape)), f"e={_bits(word)}", _in(_cue(word), word), f"pre={word[:3]}"]
+
+
+def _side(word: str) -> str:
+    return word.lower().strip("\"'.,:;()=")
+
+
+def _cue(word: str) -> bool:
+    return _ANY_CUE.search(word.lower()) is not None
+
+
+def _features(words: list[str], whole: list[str]) -> list[list[str]]:
+    """Features of all tokens of a text; they are of one word each, but for the cue before a long shape."""
     out = []
+    words = [w.strip(_QUOTES) for w in words]
     for i, w in enumerate(words):
-        left, right = (words[i - 1].lower() if i else run.before), (words[i + 1].lower() if i + 1 < len(words) else run.after)
-        low, shape = w.lower(), collapsed(w)
-        classes = f"{any(map(str.isupper, w))}{any(map(str.islower, w))}{any(map(str.isdigit, w))}"
-        out.append([
-            "s=" + _ends(shape), f"t={min(len(shape), 32) // 4}", f"l={min(len(w), 48) // 4}", f"e={int(_entropy(w) * 2)}", "p=" + left.strip("\"'.,:;()="), "q=" + right.strip("\"'.,:;()="),
-            f"c={classes}", f"cl={classes}{len(w) >= 16}", f"cue={any(c in left for c in _CUES)}{len(shape) > 3}", f"in={any(c in low for c in _CUES)}{'=' in w}{len(w) > 16}", f"pre={w[:3]}",
-            f"url={'://' in w}{'@' in w}{w.count('/') > 1}{w.count('-') > 2}", *whole, "b",
-        ])
+        left, right = (words[i - 1] if i else ""), (words[i + 1] if i + 1 < len(words) else "")
+        out.append([*_own(w), "p=" + _side(left), "q=" + _side(right), f"cue={_cue(left)}{len(collapsed(w)) > 3}", *whole])
     return out
 
 
+class Scores(dict):
+    """Numbers of tokens' texts as they are first met, with the numbers of features that each gives its own, the next and the last token."""
+
+    def __init__(self, model: LinearChainCRF):
+        super().__init__()
+        self.model = model
+        self.rows: list[tuple[int, ...]] = []
+        self.forms: dict[tuple, tuple] = {}
+        self.cue = np.array([[model.weight([f"cue={c}{long}"]) for long in (False, True)] for c in (False, True)])
+        self[""]  # number 0: no neighbour
+
+    def _form(self, word: str, shape: str, small: bool) -> tuple:
+        """Numbers of the features by form, and of `in` without and with a cue; words of one form share them."""
+        get = self.model.features.get
+        return tuple(get(f, 0) for f in _formed(word, shape, small)), get(_in(False, word), 0), get(_in(True, word), 0), len(shape) > 3
+
+    def __missing__(self, token: str) -> int:
+        word = token.strip(_QUOTES)
+        get, side, cue, shape = self.model.features.get, _side(word), _cue(word), collapsed(word)
+        small = _has_small(word, shape)
+        if _SIGNS.isdisjoint(shape):
+            key = (shape, len(word), small)
+            form = self.forms.get(key)
+            if form is None:
+                form = self.forms[key] = self._form(word, shape, small)
+        else:
+            form = self._form(word, shape, small)
+        self.rows.append((*form[0], form[1 + cue], get(f"e={_bits(word)}", 0), get("pre=" + word[:3], 0), get("p=" + side, 0), get("q=" + side, 0), cue, form[3]))
+        self[token] = n = len(self.rows) - 1
+        return n
+
+    def trim(self) -> None:
+        """Forget all words once they are many."""
+        if len(self) > WORDS:
+            self.clear()
+            self.rows.clear()
+            self.forms.clear()
+            self[""]
+
+    def of(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Scores of tokens in chains laid end to end, but for the features of the whole text."""
+        used, at = np.unique(codes, return_inverse=True)
+        rows = np.array([self.rows[0], *(self.rows[i] for i in used.tolist())], np.int32)
+        emit = self.model.emit
+        own, after, before, cue, long = emit[rows[:, :-4]].sum(1), emit[rows[:, -4]], emit[rows[:, -3]], rows[:, -2], rows[:, -1]
+        here = at + 1
+        left, right = np.concatenate([[0], here[:-1]]), np.concatenate([here[1:], [0]])
+        left[first], right[last] = 0, 0
+        return own[here] + after[left] + before[right] + self.cue[cue[left], long[here]]
+
+
 def labelled_table(n: int = 900, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
     """The small labelled table: lines with marked secrets and look-alikes that are none."""
     r = random.Random(seed)
@@ -144,13 +221,12 @@ def labelled_table(n: int = 900, seed: int = 5) -> list[tuple[str, list[tuple[in
 def train(rows: list[tuple[str, list[tuple[int, int]]]] | None = None) -> LinearChainCRF:
     runs, tags = [], []
     for text, spans in labelled_table() if rows is None else rows:
-        whole = file_features(text)
-        for run in _runs(text):
-            own = []
-            for s, e in run.tokens:
-                hit = next(((a, b) for a, b in spans if a < e and s < b), None)
-                own.append("O" if hit is None else "B" if s <= hit[0] else "I")
-            runs.append(_features(text, run, whole))
+        tokens, own = _tokens(text), []
+        for s, e in tokens:
+            hit = next(((a, b) for a, b in spans if a < e and s < b), None)
+            own.append("O" if hit is None else "B" if s <= hit[0] else "I")
+        if tokens:
+            runs.append(_features(_words(text), file_features(text)))
             tags.append(own)
     return LinearChainCRF(TAGS, WIDTH).fit(runs, tags)
 
@@ -176,33 +252,43 @@ def _added(text: str, run: list[tuple[int, int]], tags, taken: Covered) -> list[
     return [(s, e) for s, e in out if not taken.meets(s, e)]
 
 
-def find(texts: list[str], model: LinearChainCRF) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int]]]]:
+def find(texts: list[str], model: LinearChainCRF, scores: Scores | None = None) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int]]]]:
     """For each text its base spans and the spans that the field adds; a bounded number of tokens is decoded at once."""
     bases = [base_spans(text) for text in texts]
     added: list[list[tuple[int, int]]] = [[] for _ in texts]
-    waiting: list[tuple[int, Run, list[str]]] = []
-
-    taken: dict[int, Covered] = {}
+    scores = Scores(model) if scores is None else scores
+    waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def decode() -> None:
-        for (i, run, _), tags in zip(waiting, model.decode([_features(texts[i], run, whole) for i, run, whole in waiting]), strict=True):
-            if tags.any():
-                if i not in taken:
-                    taken[i] = Covered(x for spans in bases[i].values() for x in spans)
-                added[i] += _added(texts[i], run.tokens, tags, taken[i])
+        sizes = [len(codes) for _, codes, _ in waiting]
+        ends = np.cumsum(sizes)
+        first, last = np.zeros(ends[-1], bool), np.zeros(ends[-1], bool)
+        first[0], first[ends[:-1]], last[ends - 1] = True, True, True
+        score = scores.of(np.concatenate([codes for _, codes, _ in waiting]), first, last)
+        score += np.repeat(np.stack([whole for *_, whole in waiting]), sizes, axis=0)
+        tags = model.decode_scored(score, first, last)
+        for (i, codes, _), end in zip(waiting, ends.tolist(), strict=True):
+            own = tags[end - len(codes) : end]
+            at = np.flatnonzero(own)
+            if len(at):
+                tokens, taken = _tokens(texts[i]), Covered(x for spans in bases[i].values() for x in spans)
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    added[i] += _added(texts[i], tokens[part[0] : part[-1] + 1], own[part], taken)
         waiting.clear()
 
-    tokens = 0
+    met = 0
     for i, text in enumerate(texts):
-        own = _runs(text)
-        whole = file_features(text) if own else []
-        for run in own:
-            waiting.append((i, run, whole))
-            tokens += len(run.tokens)
-            if tokens >= AT_ONCE:
-                decode()
-                tokens = 0
-    decode()
+        words = _words(text)
+        if words:
+            waiting.append((i, np.fromiter(map(scores.__getitem__, words), np.int64, len(words)), model.weight(file_features(text))))
+            met += len(words)
+        if met >= TOKENS:
+            decode()
+            met = 0
+            scores.trim()
+    if waiting:
+        decode()
+    scores.trim()
     return list(zip(bases, added, strict=True))
 
 
@@ -213,11 +299,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def secret_spans(docs: DataFrame, model: LinearChainCRF | None = None) -> DataFrame:
     """One row per document with counts of base spans, their digest and all spans."""
     model = model or train()
+    scores = Scores(model)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in b.column(1).to_pylist()]
         cols: list[list] = [[] for _ in range(6)]
-        for base, added in find(texts, model):
+        for base, added in find(texts, model, scores):
             own = [(k, s, e) for k in KINDS[:3] for s, e in base[k]]
             for j, k in enumerate(KINDS[:3]):
                 cols[j].append(len(base[k]))

@@ -208,3 +208,24 @@ def test_plain_words_of_the_tables_are_no_secrets():
     texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
     wrong = [t[s:e] for t, (_, added) in zip(texts, secrets.find(texts, model), strict=True) for s, e in added if not re.search("[0-9]", t[s:e])]
     assert wrong == []
+
+
+def test_every_token_of_a_text_is_looked_at():
+    """Plain words without a cue can be secrets too, if the labelled rows say so."""
+    r = random.Random(8)
+    line = lambda w: " ".join(r.choices("the of and for set use".split(), k=4)) + f" open {w} " + " ".join(r.choices("line file note".split(), k=3))
+    rows = [(t, [(t.index("zebra"), t.index("zebra") + 5)]) for t in (line("zebra") for _ in range(60))]
+    model = secrets.train(rows)
+    text = "we open zebra again"
+    assert secrets.find([text], model)[0][1] == [(8, 13)]
+
+
+def test_settled_tokens_leave_the_best_path():
+    """The scan's tags are those of Viterbi over the whole text, also in texts longer than a run."""
+    model, r = secrets.train(), random.Random(4)
+    parts = ["the", "password is", "correct-horse-batt", "AbC9" * 9, "x" * 150, "über", "ghp_a1B2c3D4e5F6g7H8i9J0", "\n", "key", '{"a":1}', "Bearer", "qWeRtYuIoPaSdFgHjKlZxCvBnM"]
+    texts = [" ".join(r.choices(parts, k=r.randint(1, 40))) for _ in range(300)] + [" ".join(r.choices(parts, k=9000))]
+    for text, (base, added) in zip(texts, secrets.find(texts, model), strict=True):
+        tokens = secrets._tokens(text)
+        tags = model.decode([secrets._features(secrets._words(text), secrets.file_features(text))])[0] if tokens else []
+        assert added == secrets._added(text, tokens, tags, Covered(x for spans in base.values() for x in spans))

@@ -15,7 +15,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from recollect.functions.text import TOKEN
 from recollect.schemas import EMBEDDING_DIMENSIONS
-from recollect.workers import ship
+from recollect.workers import ship, slices
+
+#: Tokens whose components a worker holds.
+PLACES = 200_000
 
 
 def bucket_of(token: str, dimensions: int = EMBEDDING_DIMENSIONS) -> tuple[int, float]:
@@ -48,17 +51,35 @@ def _tokens(docs: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
     return docs.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("tokens"))
 
 
+class _Places(dict):
+    """Tokens' components, twice, plus one where the sign is negative; forgotten once they are many."""
+
+    def __init__(self, dimensions: int, bucket: Callable[[str, int], tuple[int, float]]):
+        super().__init__()
+        self.dimensions, self.bucket = dimensions, bucket
+
+    def __missing__(self, token: str) -> int:
+        cell, sign = self.bucket(token, self.dimensions)
+        self[token] = at = 2 * cell + (sign < 0)
+        return at
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > PLACES:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return at >> 1, 1.0 - 2.0 * (at & 1)
+
+
 def _embedded(docs: DataFrame, key: str, text: str, prefix: str, dimensions: int, bucket: Callable[[str, int], tuple[int, float]]) -> DataFrame:
-    """Nothing is shuffled: a batch's distinct tokens are hashed once, its vectors summed at once."""
+    """Nothing is shuffled: a slice's vectors are summed at once, its distinct tokens hashed unless they are known from those before."""
     ship(docs)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        places = _Places(dimensions, bucket)
+        for b in (part for batch in batches for part in slices(batch)):
             n, words = b.num_rows, b.column(1)
             coded = pc.list_flatten(words).dictionary_encode()
-            places = [bucket(t, dimensions) for t in coded.dictionary.to_pylist()]
-            cell = np.array([i for i, _ in places], np.int64)
-            sign = np.array([s for _, s in places])
+            cell, sign = places.of(coded.dictionary.to_pylist())
             code, row = coded.indices.to_numpy(), pc.list_parent_indices(words).to_numpy()
             v = np.bincount(row * dimensions + cell[code], sign[code], n * dimensions).reshape(n, dimensions)
             norm = np.sqrt((v * v).sum(1, keepdims=True))

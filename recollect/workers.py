@@ -1,14 +1,25 @@
-"""Makes this package importable in Python workers, wherever the driver found it."""
+"""Makes this package importable in Python workers, wherever the driver found it, and bounds what they hold."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes and rows of Arrow data that a worker turns into objects or arrays at once (one row at least).
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that a worker's memory follows from a part and not from the rows that Spark sends at once."""
+    rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def ship(source: SparkSession | DataFrame) -> None:

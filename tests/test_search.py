@@ -209,3 +209,11 @@ def test_no_text_or_vector_is_shuffled(spark, tmp_path):
             assert moved and not any(re.search(r"\b(content|body|text|embedding)#", x) for x in moved), moved
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_vectors_come_in_bounded_parts(spark):
+    """A worker holds the vectors of a slice, not of all rows that Spark sends at once."""
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id", "concat('a', id, ' b c ', id % 7) as content")
+    for f in (embedding.embed, embedding.embed_sha2):
+        rows = f(docs).mapInArrow(lambda batches: (b.select(["id"]).append_column("n", [b.num_rows] * b.num_rows) for b in batches), "id long, n long")
+        assert rows.where("n > 1000").count() == 0 and rows.count() == 5000

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import ids
 from recollect.functions.text import token_estimate
-from recollect.workers import ship
+from recollect.workers import SLICE_BYTES, ship, slices
 
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
 
@@ -52,16 +52,24 @@ def chunk(docs: DataFrame, text: str = "text", max_chars: int = 1200, keep: tupl
     fields = [f for f in docs.select(*keep).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, index, heading, body = [], [], [], []
+        for b in (part for batch in batches for part in slices(batch)):
+            row, index, heading, body, held = [], [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(row, pa.int64())
+                return pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(len(keep))), pa.array(index, pa.int32()), pa.array(heading, pa.string()), pa.array(body, pa.string())], [*keep, "chunk_index", "heading_path", "content"])
+
             for i, t in enumerate(b.column(len(keep)).to_pylist()):
                 for k, (content, under) in enumerate(split_text(t or "", max_chars)):
                     row.append(i)
                     index.append(k)
                     heading.append(under)
                     body.append(content)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(len(keep))), pa.array(index, pa.int32()), pa.array(heading, pa.string()), pa.array(body, pa.string())], [*keep, "chunk_index", "heading_path", "content"])
+                    held += len(content) + len(under or "")
+                    if held >= SLICE_BYTES:  # paths of headings may be longer than the text
+                        yield made()
+                        row, index, heading, body, held = [], [], [], [], 0
+            yield made()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", chunk_index int, heading_path string, content string"
     out = docs.select(*keep, F.col(text)).mapInArrow(run, schema)

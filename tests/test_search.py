@@ -217,3 +217,25 @@ def test_vectors_come_in_bounded_parts(spark):
     for f in (embedding.embed, embedding.embed_sha2):
         rows = f(docs).mapInArrow(lambda batches: (b.select(["id"]).append_column("n", [b.num_rows] * b.num_rows) for b in batches), "id long, n long")
         assert rows.where("n > 1000").count() == 0 and rows.count() == 5000
+
+
+def test_chunks_come_in_bounded_parts(spark):
+    """Paths of headings repeat their titles in each chunk; a batch of chunks stays bounded all the same."""
+    text = "# " + "t" * 20_000 + "\n" + "\n".join(f"line {i} " + "x" * 100 for i in range(1000))
+    docs = spark.range(0, 3, 1, 1).select("id", F.lit(text).alias("text"))
+    rows = chunking.chunk(docs, "text", 100).select("id", "chunk_index", F.length("heading_path").alias("n"))
+    want = [(i, k, u and len(u)) for i in range(3) for k, (_, u) in enumerate(chunking.split_text(text, 100))]
+    assert sorted(map(tuple, rows.collect())) == want
+    sizes = chunking.chunk(docs, "text", 100).select("id", "heading_path").mapInArrow(lambda bs: (b.select(["id"]).append_column("size", [b.nbytes] * b.num_rows) for b in bs), "id long, size long")
+    assert sizes.agg(F.max("size")).first()[0] < 8 << 20
+
+
+def test_postings_are_counted_without_a_shuffle(spark, tmp_path):
+    index = postings.Postings(spark, str(tmp_path))
+    new = spark.createDataFrame([("a", "x y x"), ("a", "y x z"), ("b", ""), ("c", None), ("d", "é É y")], "id string, content string")
+    posts = index._counted(new, "content")
+    assert "Exchange" not in posts._jdf.queryExecution().toString() and ("d", "é", 2, 3) in {(r.id, r.term, r.tf, r.dl) for r in posts.collect()}
+    index.update(None, new)
+    at = index._segments()[0]["at"]
+    stats = {r["term"]: (r["df"], r["n"], r["total"]) for r in spark.read.parquet(f"{tmp_path}/stats/{at}").collect()}
+    assert stats == {None: (0, 5, 9), "x": (1, 0, 0), "y": (2, 0, 0), "z": (1, 0, 0), "é": (1, 0, 0)}

@@ -19,17 +19,20 @@ import math
 import uuid
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.schemas import BM25_B, BM25_K1
 from recollect.sources.store import FAN, Store
-from recollect.workers import ship
+from recollect.workers import ship, slices
 
 #: Postings of a block; candidates that are looked up by block, beyond which a term is read whole.
 BLOCK, LOOKED_UP = 128, 20_000
@@ -47,31 +50,51 @@ class Postings:
 
     def update(self, old: DataFrame | None, new: DataFrame | None, text: str = "content") -> int:
         """One segment in which the chunks `old` (id and text as they were) are gone and `new` are there. Returns the version."""
-        gone, made = self._counted(old, text), self._counted(new, text)
-        segment = self._write(made[0], self._stats(gone, made), old.select("id") if old is not None else None, 0)
+        segment = self._write(self._counted(new, text), lambda made: self._stats(old, new, made, text), old.select("id") if old is not None else None, 0, repeats=True)
         n = self.log.change(lambda base: {"segments": [*base["tables"].get("segments", []), segment]})
         if max(Counter(s["level"] for s in self._segments()).values()) >= FAN:
             self.log.change(self._merged)
         return n
 
-    def _counted(self, chunks: DataFrame | None, text: str) -> tuple[DataFrame, DataFrame]:
-        """Postings (term, id, tf, dl) and the chunks' lengths (dl)."""
-        if chunks is None:
-            chunks = self.spark.createDataFrame([], f"id string, {text} string")
-        toks = chunks.select(F.col("id").cast("string").alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks"))
-        return toks.select("id", "dl", F.explode("toks").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf")), toks.select("dl")
-
-    @staticmethod
-    def _stats(gone: tuple[DataFrame, DataFrame], made: tuple[DataFrame, DataFrame]) -> DataFrame:
-        """Changes of document frequencies by term, and of the number and total length of chunks (a null term)."""
-        parts = []
-        for (posts, lengths), sign in ((gone, -1), (made, 1)):
-            none = F.lit(None).cast("string")
-            parts.append(posts.groupBy("term").agg((sign * F.count("*")).alias("df")).select("term", "df", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total")))
-            parts.append(lengths.agg((sign * F.count("*")).alias("n"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).cast("long").alias("total")).select(none.alias("term"), F.lit(0).cast("long").alias("df"), "n", "total"))
-        return _summed(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
-
-    def _write(self, posts: DataFrame, stats: DataFrame, gone: DataFrame | None, level: int) -> dict:
+    def _counted(self, chunks: DataFrame, text: str) -> DataFrame:
+        """Postings (term, id, tf, dl), counted row by row, so that nothing is shuffled; rows of one id give postings each."""
+        ship(self.spark)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (part for batch in batches for part in slices(batch)):
+                words = b.column(1)
+                coded = pc.list_flatten(words).dictionary_encode()
+                n = max(1, len(coded.dictionary))
+                keys, tfs = np.unique(pc.list_parent_indices(words).to_numpy().astype(np.int64) * n + coded.indices.to_numpy(), return_counts=True)
+                row = pa.array(keys // n)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(keys % n)), b.column(0).take(row), pa.array(tfs.astype(np.int32)), pc.list_value_length(words).take(row)], ["term", "id", "tf", "dl"])
+
+        toks = chunks.select(F.col("id").cast("string").alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
+        return toks.mapInArrow(count, "term string, id string, tf int, dl int")
+
+    def _stats(self, old: DataFrame | None, new: DataFrame, made: DataFrame, text: str) -> DataFrame:
+        """Changes of document frequencies by term, and of the number and total length of chunks (a null term).
+
+        Those of the chunks that are there now come from their blocks.
+        """
+        none, zero = F.lit(None).cast("string").alias("term"), lambda name: F.lit(0).cast("long").alias(name)
+        length = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+        parts = [
+            made.select("term", F.col("n").cast("long").alias("df"), zero("n"), zero("total")),
+            made.agg(F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("total")).select(none, zero("df"), zero("n"), "total"),
+            new.agg(F.count("*").alias("n")).select(none, zero("df"), "n", zero("total")),
+        ]
+        if old is not None:
+            gone = self._counted(old, text)
+            parts += [
+                gone.select("term", "id", "dl").distinct().select("term", F.lit(-1).cast("long").alias("df"), zero("n"), zero("total")),
+                gone.agg((-F.coalesce(F.sum("tf"), F.lit(0))).cast("long").alias("total")).select(none, zero("df"), zero("n"), "total"),
+                old.agg((-F.count("*")).alias("n")).select(none, zero("df"), "n", zero("total")),
+            ]
+        return _summed(reduce(DataFrame.union, parts))
+
+    def _write(self, posts: DataFrame, stats: Callable[[DataFrame], DataFrame], gone: DataFrame | None, level: int, repeats: bool = False) -> dict:
+        """With `repeats`, postings of one term, id and length are added up."""
         ship(self.spark)
         at = uuid.uuid4().hex
 
@@ -92,6 +115,9 @@ class Postings:
 
             for b in batches:
                 for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    if repeats and held and (row[0], row[1], row[3]) == (held[-1][0], held[-1][1], held[-1][3]):
+                        held[-1] = (*row[:2], held[-1][2] + row[2], row[3])
+                        continue
                     if held and (row[0] != held[0][0] or len(held) == BLOCK):
                         close()
                         if len(out) >= 2000:
@@ -103,10 +129,10 @@ class Postings:
                 yield batch()
 
         # by ranges of term and id, so that a frequent term spreads over many tasks
-        ordered = posts.select("term", "id", "tf", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        ordered = posts.select("term", "id", "tf", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id", "dl")
         blocks = ordered.mapInArrow(pack, _BLOCKS.rsplit(", ", 1)[0]).withColumn("block", F.monotonically_increasing_id())
-        blocks.write.parquet(f"{self.root}/blocks/{at}")
-        stats.write.parquet(f"{self.root}/stats/{at}")
+        blocks.write.option("compression", "zstd").parquet(f"{self.root}/blocks/{at}")
+        stats(self.spark.read.schema(_BLOCKS).parquet(f"{self.root}/blocks/{at}")).write.parquet(f"{self.root}/stats/{at}")
         (gone if gone is not None else self.spark.createDataFrame([], "id string")).select(F.col("id").cast("string")).write.parquet(f"{self.root}/gone/{at}")
         return {"at": at, "level": level}
 
@@ -120,7 +146,7 @@ class Postings:
             own = [s for s in segments if s["level"] == level]
             if len(own) >= FAN:
                 rows = self._live(own).select("term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"), "seg").select("term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), "seg")
-                new = self._write(self._without_gone(rows, own), _summed(self._all("stats", own, _STATS)), self._all("gone", own, "id string").select("id").distinct(), level + 1)
+                new = self._write(self._without_gone(rows, own), lambda _: _summed(self._all("stats", own, _STATS)), self._all("gone", own, "id string").select("id").distinct(), level + 1)
                 first = segments.index(own[0])
                 return {"segments": [*segments[:first], new, *segments[first + len(own) :]]}
         return {}

@@ -69,3 +69,17 @@ def test_no_cross_product_in_containment(spark):
     docs = spark.createDataFrame([("a", "/w/alpha/x.md")], "id string, path string")
     plan = context.inside_any(docs, "path", "id", _roots(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_document_paths_of_long_runs_take_linear_time(spark):
+    """The pattern is tried where a run begins only; what it finds is what every start would give."""
+    import time
+
+    old = discovery.DOC_PATH.replace("""(?<![^\\s"'<>|])""", "")
+    assert old != discovery.DOC_PATH
+    texts = ["a.md", "x/a.md.txt y", "'b.json'|c.tomlx>d.YAML.z", "a.mdb.md b.m d.yml.", ".md", "a..txt.txtt\ta.mD", "no end.", "p/q.md,r.json;s"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~discovery._found("t", discovery.DOC_PATH).eqNullSafe(discovery._found("t", old))).count() == 0
+    began = time.time()
+    assert spark.range(1).select(F.size(discovery.doc_paths(F.repeat(F.concat(F.lit("x"), F.col("id").cast("string")), 100_000)))).first()[0] == 0
+    assert time.time() - began < 10

@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm.common import over_batches, table
-from recollect.llm.crf import PIECE, WORD, Covered, LinearChainCRF, all_tokens, collapsed
+from recollect.llm.common import SPACES, over_batches, table
+from recollect.llm.crf import _CLASSES, PIECE, Covered, LinearChainCRF, all_tokens, collapsed
 
 KINDS = ("assign", "access", "hex", "secret")
 TAGS = ("O", "B", "I")
@@ -32,23 +32,31 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _CUES = ("password", "passwd", "secret", "token", "key", "bearer", "credential", "passphrase", "auth", "pwd")
 _ANY_CUE = re.compile("|".join(_CUES))
-_SIGNS = frozenset("/@-")
 _CODE = "{}=;<>_/"
 _QUOTES = "\"'`()[]{},;<>"
+_EDGE = "\"'.,:;()="
+#: Letters without case in raw shapes: no token holds a space.
+_CASELESS = " "
+#: The class of each code point that was met, as a code point (0: not met yet).
+_MET = np.zeros(0x110000, np.uint32)
 WIDTH = 15
 #: Tokens decoded at once; words whose scores are held.
-TOKENS, WORDS = 1 << 17, 100_000
+TOKENS, WORDS = 1 << 17, 250_000
 
 
-def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
-    """The spans of each kind that the fixed patterns give, in code points, ends exclusive."""
+def base_spans(text: str, longest: int | None = None) -> dict[str, list[tuple[int, int]]]:
+    """The spans of each kind that the fixed patterns give, in code points, ends exclusive.
+
+    A caller that knows how long the longest token is spares texts without one of 32 characters the search for hex.
+    """
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS[:3]}
     low = text.lower()
     if any(n in low for n in _NAMES):
         out["assign"] = [m.span() for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         out["access"] = [m.span() for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    out["hex"] = [m.span() for m in _HEX.finditer(text)]
+    if longest is None or longest >= 32:
+        out["hex"] = [m.span() for m in _HEX.finditer(text)]
     return out
 
 
@@ -72,8 +80,17 @@ def _tokens(text: str) -> list[tuple[int, int]]:
 
 def _words(text: str) -> list[str]:
     """The tokens' texts; their places are only sought where the field finds something."""
-    out = WORD.findall(text)
-    return [text[s:e] for s, e in _tokens(text)] if max(map(len, out), default=0) > PIECE else out
+    return _cut(text)[0]
+
+
+def _cut(text: str) -> tuple[list[str], int]:
+    """The tokens' texts, and the length of the longest before long ones are cut in pieces."""
+    spaced = text
+    for c in SPACES[1:]:
+        spaced = spaced.replace(c, " ")
+    out = list(filter(None, spaced.split(" ")))
+    longest = max(map(len, out), default=0)
+    return ([text[s:e] for s, e in _tokens(text)] if longest > PIECE else out), longest
 
 
 def _ends(shape: str) -> str:
@@ -89,7 +106,7 @@ def _bits(word: str) -> int:
 
 
 def _formed(word: str, shape: str, small: bool) -> list[str]:
-    """Features that follow from shape, length and small letters, but for `url` in a shape with one of its signs."""
+    """Features that follow from a word's classes; these may stand for the word."""
     n, classes = len(word), f"{'X' in shape}{small}{'9' in shape}"
     url = f"url={'://' in word}{'@' in word}{word.count('/') > 1}{word.count('-') > 2}"
     return ["s=" + _ends(shape), f"t={min(len(shape), 32) // 4}", f"l={min(n, 48) // 4}", f"c={classes}", f"cl={classes}{n >= 16}", url, "b"]
@@ -106,7 +123,7 @@ def _own(word: str) -> list[str]:
 
 
 def _side(word: str) -> str:
-    return word.lower().strip("\"'.,:;()=")
+    return word.lower().strip(_EDGE)
 
 
 def _cue(word: str) -> bool:
@@ -123,55 +140,122 @@ def _features(words: list[str], whole: list[str]) -> list[list[str]]:
     return out
 
 
+class Forms(dict):
+    """Numbers of raw shapes (words in the classes of `_points`) as they are first met; words of one raw shape share features."""
+
+    def __init__(self, features: dict[str, int]):
+        super().__init__()
+        self.features = features
+        #: Of each new one the numbers of its features by form, of `in` without and with a cue, and whether the shape is long.
+        self.new: list[tuple[int, ...]] = []
+
+    def __missing__(self, raw: str) -> int:
+        word, small, get = raw.replace(_CASELESS, "x"), any(map(str.islower, raw)), self.features.get
+        shape = collapsed(word)
+        self.new.append((*[get(f, 0) for f in _formed(word, shape, small)], get(_in(False, word), 0), get(_in(True, word), 0), len(shape) > 3))
+        self[raw] = n = len(self)
+        return n
+
+
+def _points(points: np.ndarray) -> np.ndarray:
+    """Code points as the classes of a shape, but letters without case as `_CASELESS`; sought once for each that is met."""
+    out = _MET[points]
+    if not out.all():
+        for p in np.unique(points[out == 0]).tolist():
+            own = _CLASSES[p]
+            _MET[p] = ord(_CASELESS if own == "x" and not chr(p).islower() else own)
+        out = _MET[points]
+    return out
+
+
+def _all_bits(words: list[str], points: np.ndarray) -> np.ndarray:
+    """`_bits` of words that are given as code points too, each word but the last with a line feed after it."""
+    word = np.cumsum(points == 10)
+    letters = np.sort((word << 21 | points)[points != 10])
+    begins = np.flatnonzero(np.diff(letters, prepend=-1))
+    counts = np.diff(begins, append=len(letters))
+    size = np.maximum(1, np.bincount(letters >> 21, minlength=len(words)))
+    twice = 2 * (np.log2(size) - np.bincount(letters[begins] >> 21, counts * np.log2(counts), len(words)) / size)
+    out = np.floor(twice).astype(np.int64)
+    for i in np.flatnonzero(np.abs(twice - np.rint(twice)) < 1e-9).tolist():  # where rounding decides
+        out[i] = _bits(words[i])
+    return out
+
+
 class Scores(dict):
-    """Numbers of tokens' texts as they are first met, with the numbers of features that each gives its own, the next and the last token."""
+    """Numbers of tokens' texts as they are first met, with what each adds to the scores of its own, the next and the last token.
+
+    New texts wait until scores are asked for, and are then worked out all at once.
+    """
 
     def __init__(self, model: LinearChainCRF):
         super().__init__()
-        self.model = model
-        self.rows: list[tuple[int, ...]] = []
-        self.forms: dict[tuple, tuple] = {}
-        self.cue = np.array([[model.weight([f"cue={c}{long}"]) for long in (False, True)] for c in (False, True)])
-        self[""]  # number 0: no neighbour
-
-    def _form(self, word: str, shape: str, small: bool) -> tuple:
-        """Numbers of the features by form, and of `in` without and with a cue; words of one form share them."""
-        get = self.model.features.get
-        return tuple(get(f, 0) for f in _formed(word, shape, small)), get(_in(False, word), 0), get(_in(True, word), 0), len(shape) > 3
+        self.model, self.forms = model, Forms(model.features)
+        self.named = {kind: {f[len(kind) :]: i for f, i in model.features.items() if f.startswith(kind)} for kind in ("pre=", "p=", "q=")}
+        self.beside = np.array([[model.weight([f"cue={c}{long}"]) for long in (False, True)] for c in (False, True)])
+        self._forget()
 
     def __missing__(self, token: str) -> int:
-        word = token.strip(_QUOTES)
-        get, side, cue, shape = self.model.features.get, _side(word), _cue(word), collapsed(word)
-        small = _has_small(word, shape)
-        if _SIGNS.isdisjoint(shape):
-            key = (shape, len(word), small)
-            form = self.forms.get(key)
-            if form is None:
-                form = self.forms[key] = self._form(word, shape, small)
-        else:
-            form = self._form(word, shape, small)
-        self.rows.append((*form[0], form[1 + cue], get(f"e={_bits(word)}", 0), get("pre=" + word[:3], 0), get("p=" + side, 0), get("q=" + side, 0), cue, form[3]))
-        self[token] = n = len(self.rows) - 1
+        self[token] = n = len(self)
+        self.new.append(token)
         return n
 
+    def _forget(self) -> None:
+        self.clear()
+        self.forms.clear()
+        self.forms.new = []
+        self.new: list[str] = []
+        none, no = np.zeros((0, len(self.model.tags))), np.zeros(0, bool)
+        self.own, self.after, self.before, self.cue, self.long = none, none, none, no, no
+        #: By form: the weights without a cue and with one, and whether the shape is long.
+        self.plain, self.cued, self.far = none, none, no
+        self[""]  # number 0: no neighbour
+
     def trim(self) -> None:
         """Forget all words once they are many."""
         if len(self) > WORDS:
-            self.clear()
-            self.rows.clear()
-            self.forms.clear()
-            self[""]
+            self._forget()
+
+    def _settle(self) -> None:
+        """Work out what the texts that wait add to scores."""
+        if not self.new:
+            return
+        emit = self.model.emit
+        words = [token.strip(_QUOTES) for token in self.new]
+        text = "\n".join(words)  # no token holds a line feed
+        low = text.lower()
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        raws = _points(points).tobytes().decode("utf-32-le", "surrogatepass").split("\n")
+        forms = np.fromiter(map(self.forms.__getitem__, raws), np.int64, len(words))
+        cue, at, word = np.zeros(len(words), bool), 0, 0
+        for m in _ANY_CUE.finditer(low):
+            word += low.count("\n", at, m.start())
+            at = m.start()
+            cue[word] = True
+        if self.forms.new:
+            ids = np.array(self.forms.new)
+            shared = emit[ids[:, :-3]].sum(1)
+            self._append(plain=shared + emit[ids[:, -3]], cued=shared + emit[ids[:, -2]], far=ids[:, -1] > 0)
+            self.forms.new = []
+        bits = _all_bits(words, points)
+        bit = np.array([self.model.features.get(f"e={b}", 0) for b in range(bits.max() + 1)])
+        start, left, right = (self.named[kind].get for kind in ("pre=", "p=", "q="))
+        sides = [w.strip(_EDGE) for w in low.split("\n")]
+        own = np.where(cue[:, None], self.cued[forms], self.plain[forms]) + emit[bit[bits]] + emit[[start(w[:3], 0) for w in words]]
+        after, before = emit[[left(w, 0) for w in sides]], emit[[right(w, 0) for w in sides]]
+        self._append(own=own, after=after, before=before, cue=cue, long=self.far[forms])
+        self.new = []
+
+    def _append(self, **new: np.ndarray) -> None:
+        for name, rows in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), rows]))
 
     def of(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Scores of tokens in chains laid end to end, but for the features of the whole text."""
-        used, at = np.unique(codes, return_inverse=True)
-        rows = np.array([self.rows[0], *(self.rows[i] for i in used.tolist())], np.int32)
-        emit = self.model.emit
-        own, after, before, cue, long = emit[rows[:, :-4]].sum(1), emit[rows[:, -4]], emit[rows[:, -3]], rows[:, -2], rows[:, -1]
-        here = at + 1
-        left, right = np.concatenate([[0], here[:-1]]), np.concatenate([here[1:], [0]])
+        self._settle()
+        left, right = np.concatenate([[0], codes[:-1]]), np.concatenate([codes[1:], [0]])
         left[first], right[last] = 0, 0
-        return own[here] + after[left] + before[right] + self.cue[cue[left], long[here]]
+        return self.own[codes] + self.after[left] + self.before[right] + self.beside[self.cue[left].astype(int), self.long[codes].astype(int)]
 
 
 def labelled_table(n: int = 900, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -254,7 +338,7 @@ def _added(text: str, run: list[tuple[int, int]], tags, taken: Covered) -> list[
 
 def find(texts: list[str], model: LinearChainCRF, scores: Scores | None = None) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int]]]]:
     """For each text its base spans and the spans that the field adds; a bounded number of tokens is decoded at once."""
-    bases = [base_spans(text) for text in texts]
+    bases: list[dict[str, list[tuple[int, int]]]] = []
     added: list[list[tuple[int, int]]] = [[] for _ in texts]
     scores = Scores(model) if scores is None else scores
     waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -278,7 +362,8 @@ def find(texts: list[str], model: LinearChainCRF, scores: Scores | None = None)
 
     met = 0
     for i, text in enumerate(texts):
-        words = _words(text)
+        words, longest = _cut(text)
+        bases.append(base_spans(text, longest))
         if words:
             waiting.append((i, np.fromiter(map(scores.__getitem__, words), np.int64, len(words)), model.weight(file_features(text))))
             met += len(words)

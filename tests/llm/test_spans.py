@@ -229,3 +229,36 @@ def test_settled_tokens_leave_the_best_path():
         tokens = secrets._tokens(text)
         tags = model.decode([secrets._features(secrets._words(text), secrets.file_features(text))])[0] if tokens else []
         assert added == secrets._added(text, tokens, tags, Covered(x for spans in base.values() for x in spans))
+
+
+def test_words_of_one_form_share_its_features(monkeypatch):
+    """New words are worked out together: what follows from their classes is worked out once, not for each of them."""
+    model, r, shapes = secrets.train(), random.Random(2), []
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(5000)]
+    monkeypatch.setattr(secrets, "collapsed", lambda w: shapes.append(w) or collapsed(w))
+    secrets.find([" ".join(words)], model)
+    assert len(shapes) < 10
+
+
+def test_scores_are_the_sums_of_the_plain_features():
+    """In any script, with cues, signs, letters without case, and after words were forgotten."""
+    model, r = secrets.train(), random.Random(9)
+    parts = [*"aZ9=/-@:.,\"'()#%_", "key", "TOKEN", "Key", "Σ", "ΑΣ", "İ", "ª", "ⓐ", "Ⅰ", "ⅰ", "ͅ", "中", "ǅ", "é", "\0", "\x1c", "\x85", "\xa0", "　", "🙂", "abab", "abcd"]
+    scores = secrets.Scores(model)
+    for _ in range(300):
+        text = " ".join("".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(r.randint(1, 30)))
+        words = secrets._words(text)
+        first, last = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        first[0] = last[-1] = True
+        got = scores.of(np.array([scores[w] for w in words]), first, last)
+        assert np.allclose(got, [model.weight(f) for f in secrets._features(words, [])], rtol=0, atol=1e-12)
+        if r.random() < 0.1:
+            scores._forget()
+
+
+def test_tokens_and_hex_of_a_scan_are_the_plain_ones():
+    """Only six characters part tokens; a text without a token of 32 characters has no hex span."""
+    model = secrets.train()
+    for t in _texts("ab0 \t\n\x0b\x0c\r\x1c\x85\xa0　=é", ["0123456789abcdef" * 2, "f" * 31, "f" * 33, "G" * 40, "x" * 70, "token="], n=300, seed=5):
+        assert secrets._words(t) == [t[s:e] for s, e in secrets._tokens(t)]
+        assert secrets.find([t], model)[0][0] == secrets.base_spans(t)
